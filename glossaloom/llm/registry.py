@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "records")
+MODULES = ("packing", "langid", "records", "simhash")
 
 
 def _merged(name: str) -> dict:
