@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "langid", "records", "simhash")
+MODULES = ("packing", "langid", "records", "decontam", "simhash")
 
 
 def _merged(name: str) -> dict:
