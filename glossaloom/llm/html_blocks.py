@@ -19,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,9 @@ class Blocks(HTMLParser):
         self.silent = self.links = self.link_chars = 0
         self.path: tuple | None = None
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # lines aren't counted
+
     def flush(self) -> None:
         text = " ".join("".join(self.text).split()) if self.text else ""
         if text:
@@ -166,15 +170,24 @@ def path_vector(path: tuple) -> np.ndarray:
 
 def vectors(blocks: list[tuple[tuple, str, int]]) -> np.ndarray:
     """SIZE inputs for each block."""
-    x = np.zeros((len(blocks), SIZE), np.float32)
-    for k, (path, text, link_chars) in enumerate(blocks):
-        words = text.lower().split(" ")
-        x[k, :PATH_DIM] = path_vector(path)
-        counts = np.bincount(np.fromiter(map(_BUCKETS.__getitem__, words), np.int64, len(words)), minlength=WORD_DIM)
-        x[k, PATH_DIM : PATH_DIM + WORD_DIM] = counts / np.sqrt((counts * counts).sum())
-        n = len(text)
-        stops = text.count(".") + text.count(",") + text.count("!") + text.count("?")
-        x[k, -MEASURES:] = (np.log1p(len(words)) / 4, link_chars / n, 10 * stops / n, n / len(words) / 10, k / len(blocks), len(blocks) / (len(blocks) + 30), text[-1] in ".!?:\"”»", ("©" in text) or ("|" in text))
+    n_blocks = len(blocks)
+    words = [text.lower().split(" ") for _, text, _ in blocks]
+    sizes = np.array([len(w) for w in words])
+    buckets = np.fromiter(map(_BUCKETS.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+    counts = np.bincount(np.repeat(np.arange(n_blocks) * WORD_DIM, sizes) + buckets, minlength=n_blocks * WORD_DIM).reshape(n_blocks, WORD_DIM)
+    chars = np.array([len(text) for _, text, _ in blocks])
+    k = np.arange(n_blocks)
+    x = np.empty((n_blocks, SIZE), np.float32)
+    x[:, :PATH_DIM] = [path_vector(path) for path, _, _ in blocks]
+    x[:, PATH_DIM : PATH_DIM + WORD_DIM] = counts / np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+    x[:, -8] = np.log1p(sizes) / 4
+    x[:, -7] = np.array([links for _, _, links in blocks]) / chars
+    x[:, -6] = 10 * np.array([t.count(".") + t.count(",") + t.count("!") + t.count("?") for _, t, _ in blocks]) / chars
+    x[:, -5] = chars / sizes / 10
+    x[:, -4] = k / n_blocks
+    x[:, -3] = n_blocks / (n_blocks + 30)
+    x[:, -2] = [t[-1] in ".!?:\"”»" for _, t, _ in blocks]
+    x[:, -1] = ["©" in t or "|" in t for _, t, _ in blocks]
     return x
 
 

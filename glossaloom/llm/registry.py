@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "pii", "langid", "kdtree", "records", "decontam", "spans", "warc", "simhash")
+MODULES = ("packing", "pii", "langid", "kdtree", "records", "decontam", "html_blocks", "spans", "warc", "simhash")
 
 
 def _merged(name: str) -> dict:
