@@ -189,21 +189,38 @@ def shingle_lookup(ids: list[int], *parts: list[tuple]) -> set[tuple]:
     return found
 
 
+def _indexes(items: DataFrame, id_col: str, text_col: str, ratio: float, block_chars: int) -> Iterator[tuple]:
+    """The index of each block of items. Statistics are those of all items; items stream to the driver, a block at a time."""
+    items = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    df: Counter = Counter()
+    n_items = total_words = 0
+    blocks: list[list[tuple[int, str]]] = [[]]
+    chars = 0
+    for r in items.toLocalIterator():
+        words = WORD.findall(r["text"].lower())
+        n_items += 1
+        total_words += len(words)
+        df.update(set(words))
+        if chars + len(r["text"]) > block_chars and blocks[-1]:
+            blocks.append([])
+            chars = 0
+        blocks[-1].append((r["item_id"], r["text"]))
+        chars += len(r["text"])
+    for block in blocks:
+        yield build_index(block, df, n_items, total_words / n_items if total_words else 1.0, ratio)
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", ratio: float = 0.7, overlap: float = 0.8, block_chars: int = 20_000_000) -> DataFrame:
     """One row per document row and leaked item, with its best passage."""
-    spark = docs.sparkSession
-    items = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
     queries = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("at_word", pa.int64())])
 
-    def leaks_of(block: list[tuple[int, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(build_index(block, df, n_items, mean_words, ratio))
+    def leaks_of(index: tuple) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vocabulary, classes = shared.value
-            if not classes:
-                return
-            for batch in batches:
+            for batch in batches if classes else ():
                 for part in slices(batch, "t"):
                     found = []
                     for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("t").to_pylist()):
@@ -214,29 +231,33 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
         return queries.mapInArrow(rows, OUT)
 
-    # statistics over all items; the items then stream to the driver, a bounded block at a time
-    df: dict[str, int] = {}
-    n_items = total_words = 0
-    blocks: list[list[tuple[int, str]]] = [[]]
-    chars = 0
-    for r in items.toLocalIterator():
-        words = WORD.findall(r["text"].lower())
-        n_items += 1
-        total_words += len(words)
-        for w in set(words):
-            df[w] = df.get(w, 0) + 1
-        if chars + len(r["text"]) > block_chars and blocks[-1]:
-            blocks.append([])
-            chars = 0
-        blocks[-1].append((r["item_id"], r["text"]))
-        chars += len(r["text"])
-    mean_words = total_words / n_items if total_words else 1.0
-    leaks = leaks_of(blocks[0])
-    for block in blocks[1:]:
-        leaks = leaks.unionByName(leaks_of(block))
+    parts = [leaks_of(index) for index in _indexes(items, item_id_col, item_text_col, ratio, block_chars)]
+    leaks = parts[0]
+    for part in parts[1:]:
+        leaks = leaks.unionByName(part)
     return leaks
 
 
+def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", ratio: float = 0.7, overlap: float = 0.8, block_chars: int = 20_000_000) -> DataFrame:
+    """The rows of docs, all columns, that leak no item. No join is needed, so rows may share ids."""
+
+    def clean(docs: DataFrame, index: tuple) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vocabulary, classes = shared.value
+            for batch in batches:
+                for part in slices(batch, text_col):
+                    kept = [not (text and classes and search_text(text, vocabulary, classes, overlap)) for text in part.column(text_col).to_pylist()]
+                    yield part.filter(pa.array(kept, pa.bool_()))
+
+        return docs.mapInArrow(rows, docs.schema)
+
+    for index in _indexes(items, item_id_col, item_text_col, ratio, block_chars):
+        docs = clean(docs, index)
+    return docs
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
