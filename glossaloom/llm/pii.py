@@ -9,8 +9,8 @@ Candidates are the matches of one strict pattern per kind and of loose patterns
   edge       against, if a letter, digit or sign of a longer token touches the candidate
 Expectation-maximisation over the counts of the vote patterns estimates, per kind, how often candidates are personal
 data and how reliable each labeler is in either case. Its posteriors are the soft labels of the final span classifier,
-a logistic regression per kind on votes and form. Strict matches that pass their check always stay; loose ones are added
-where the classifier is confident and their check doesn't object. There are at most 3 ** 5 * 2 patterns a kind, however
+a logistic regression per kind on the votes. Strict matches that pass their check always stay; loose ones are added
+where the classifier is confident and no labeler objects. There are at most 3 ** 5 * 2 patterns a kind, however
 large the corpus, so their counts go to the driver.
 
 Offsets are in code points, end exclusive. Matches of a kind don't overlap; those of different kinds may.
@@ -209,7 +209,7 @@ def judged(rows: DataFrame) -> DataFrame:
     based = lambda x: x.strict & (F.get(x.votes, F.lit(1)) == 1)
     rows = rows.withColumn("base", spans(based))
     free = lambda x: ~F.exists("base", lambda b: (b.start < x.end) & (x.start < b.end))
-    added = lambda x: ~x.strict & (F.get(x.votes, F.lit(1)) == 1) & (_probability(models, x) >= CONFIDENT) & free(x)
+    added = lambda x: ~x.strict & (F.get(x.votes, F.lit(1)) == 1) & (F.array_min(x.votes) >= 0) & (_probability(models, x) >= CONFIDENT) & free(x)
     return rows.withColumn("spans", F.when(F.size("found") == F.size("base"), F.col("base")).otherwise(spans(lambda x: based(x) | added(x)))).drop("found")
 
 
@@ -241,7 +241,11 @@ def redact(text: Column, spans: Column) -> Column:
 
 def op2_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x.kind == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda x: x.kind == kind)).cast("long")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
