@@ -17,6 +17,7 @@ from glossaloom.functions import text as T
 from glossaloom.functions import urls as U
 from glossaloom.operators import html as H
 from glossaloom.operators import memory as M
+from glossaloom.operators import precedence as PR
 from glossaloom.operators import search as SE
 from glossaloom.operators import stats as ST
 from glossaloom.streaming import lookups as SL
@@ -329,6 +330,69 @@ def repetitive_text(spark, sf):
     return rows.select(F.col("page_id").alias("doc_id"), F.col("pos").cast("long").alias("pos"))
 
 
+# Several sources.
+
+
+@query(
+    "page_source_precedence",
+    f"""WITH {TM_SQL}, c AS (SELECT doc_id AS post_id, language_code, translated_text, 0 AS prio, id FROM tm WHERE doc_id % 3 = 0 AND coalesce(translated_text, '') <> ''
+UNION ALL SELECT doc_id, 'de', 'meta ' || source, 1, 0 FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'de', 'legacy', 2, 0 FROM documents)
+SELECT post_id, language_code, md5(translated_text) AS translated_hash, prio FROM (SELECT *, row_number() OVER (PARTITION BY post_id, language_code ORDER BY prio, id, translated_text DESC) AS r FROM c) WHERE r = 1""",
+)
+def page_source_precedence(spark, sf):
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("post_id"), F.lit("de").alias("language_code"), F.concat(F.lit("meta "), "source").alias("translated_text"))
+    tm = _tm(spark, sf).where("id div 4000000 % 3 = 0")
+    found = PR.page_translation(tm, docs.where("post_id % 2 = 0"), docs.withColumn("translated_text", F.lit("legacy")))
+    return found.select("post_id", "language_code", F.md5("translated_text").alias("translated_hash"), "prio")
+
+
+@query(
+    "string_source_precedence",
+    f"""WITH {TM_SQL}, c AS (SELECT trim(original_text) AS k, translated_text, updated_at, id, 0 AS prio FROM tm WHERE language_code = 'de' AND status IN (1, 2) UNION ALL SELECT trim(original_text), translated_text, updated_at, id, 1 FROM tm WHERE language_code = 'de' AND status >= 1),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY prio, updated_at DESC, id) AS r FROM c WHERE translated_text <> '') WHERE r = 1)
+SELECT md5(text) AS text_hash, md5(translated_text) AS translated_hash, prio FROM (SELECT DISTINCT text FROM strings) LEFT JOIN b ON trim(text) = k""",
+)
+def string_source_precedence(spark, sf):
+    found = PR.string_translation(_strings(spark, sf).select("text"), _tm(spark, sf).where("language_code = 'de'"))
+    return found.select(F.md5("text").alias("text_hash"), F.md5("translated_text").alias("translated_hash"), "prio")
+
+
+@query(
+    "attach_translations",
+    f"""WITH {TM_SQL}, items AS (SELECT doc_id * 1000000 + pos AS item_id, CASE WHEN pos % 5 = 0 THEN 'seo_fields' ELSE 'content_blocks' END AS field_group, 'post_' || (doc_id + pos % 2) || '_content_blocks' AS context, text AS original FROM strings WHERE lang <> 'fr'),
+c AS (SELECT context, translated_text FROM (SELECT *, row_number() OVER (PARTITION BY context ORDER BY status DESC, id) AS r FROM tm WHERE language_code = 'fr' AND translated_text <> '') WHERE r = 1),
+t AS (SELECT original_text, translated_text FROM (SELECT *, row_number() OVER (PARTITION BY original_text ORDER BY status DESC, id) AS r FROM tm WHERE language_code = 'fr' AND translated_text <> '') WHERE r = 1)
+SELECT item_id, md5(CASE WHEN field_group = 'seo_fields' THEN c.translated_text ELSE t.translated_text END) AS translated_hash, CASE WHEN (CASE WHEN field_group = 'seo_fields' THEN c.translated_text ELSE t.translated_text END) IS NULL THEN 'pending' ELSE 'translated' END AS state
+FROM items LEFT JOIN c USING (context) LEFT JOIN t ON original = original_text""",
+)
+def attach_translations(spark, sf):
+    doc, pos = F.col("doc_id"), F.col("pos")
+    items = _strings(spark, sf).where("lang != 'fr'").select((doc * 1_000_000 + pos).alias("item_id"), F.when(pos % 5 == 0, "seo_fields").otherwise("content_blocks").alias("field_group"), F.concat(F.lit("post_"), (doc + pos % 2), F.lit("_content_blocks")).alias("context"), F.col("text").alias("original"), F.lit(None).cast("int").alias("plural_form"), F.lit("fr").alias("language_code"))
+    return PR.attach(items, _tm(spark, sf)).select("item_id", F.md5("translated_text").alias("translated_hash"), "state")
+
+
+@query("already_translated", f"WITH {TM_SQL}, own AS (SELECT * FROM tm WHERE language_code = 'de' AND status >= 1 AND translated_text <> ''), known AS (SELECT original_text AS t FROM own UNION SELECT translated_text FROM own) SELECT md5(text) AS text_hash FROM (SELECT DISTINCT text FROM strings WHERE pos % 2 = 0 UNION SELECT reverse(text) FROM strings WHERE pos % 3 = 0) WHERE text IN (SELECT t FROM known)")
+def already_translated(spark, sf):
+    rows = _strings(spark, sf)
+    asked = rows.where("pos % 2 = 0").select("text").union(rows.where("pos % 3 = 0").select(F.reverse("text"))).distinct()
+    return PR.already_translated(asked, _tm(spark, sf), "de").select(F.md5("text").alias("text_hash"))
+
+
+@query("meta_maps", "WITH m AS (SELECT doc_id AS post_id, 'f' || doc_id % 3 AS field, source AS value FROM documents UNION ALL SELECT doc_id, 'lang', lang FROM documents) SELECT post_id, count(*) AS n_fields, max(CASE WHEN field = 'lang' THEN value END) AS lang FROM m GROUP BY 1")
+def meta_maps(spark, sf):
+    docs = _t(spark, sf, "documents")
+    meta = docs.select(F.col("doc_id").alias("post_id"), F.concat(F.lit("_translation_f"), F.col("doc_id") % 3).alias("meta_key"), F.col("source").alias("meta_value"))
+    meta = meta.union(docs.select("doc_id", F.lit("_translation_lang"), "lang")).union(docs.select("doc_id", F.lit("_other"), "lang"))
+    return PR.meta_translations(meta).select("post_id", F.size("fields").cast("long").alias("n_fields"), F.col("fields")["lang"].alias("lang"))
+
+
+@query("unified_structure", f"WITH {TM_SQL} SELECT doc_id AS post_id, language_code, count(DISTINCT original_text) AS n_texts FROM tm GROUP BY 1, 2")
+def unified_structure(spark, sf):
+    rows = ST.unified_structure(_tm(spark, sf))
+    texts = F.size(F.map_keys(F.from_json(F.col("groups")["content_blocks"], "map<string,string>")))
+    return rows.select("post_id", "language_code", texts.cast("long").alias("n_texts"))
+
+
 # Sets of items.
 
 _ITEMS_SQL = "items AS (SELECT doc_id % 20 AS page_id, ['content_blocks', 'seo_fields', 'page_strings', 'attributes', 'media'][CAST((doc_id + pos) % 5 AS INTEGER) + 1] AS field_group, doc_id * 1000000 + pos AS idx, ['meta', 'title'][CAST(pos % 2 AS INTEGER) + 1] AS type, text AS original FROM strings)"
