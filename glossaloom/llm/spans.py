@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,8 @@ from pyspark.sql import functions as F
 
 from glossaloom.llm.common import slices, table
 
-END = re.compile(r"[.!?]+(?=\s)\s*|\s*\n\s*")
+#: A set of characters first, which lets the search skip what lies between.
+END = re.compile(r"[.!?\n](?:(?<=\n)|[.!?]*\s)\s*")
 OUT = "doc_id long, text string, n_sentences long, n_removed long, chars_removed long, first_doc_ids array<long>"
 
 
@@ -44,10 +44,12 @@ def runs(text: str, least_words: int) -> tuple[list[int], np.ndarray, np.ndarray
     from xxhash import xxh3_128_digest
 
     bounds = sentence_bounds(text)
-    low = text.lower() if len(text.lower()) == len(text) else text
-    sentences = [" ".join(low[a:b].split()).encode() for a, b in zip(bounds, bounds[1:])]
-    n = len(sentences)
-    words = np.array([0, *accumulate(s.count(b" ") + 1 if s else 0 for s in sentences)])
+    low = text.lower()
+    low = low if len(low) == len(text) else text
+    parts = [low[a:b].split() for a, b in zip(bounds, bounds[1:])]
+    n = len(parts)
+    words = np.zeros(n + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, parts), np.int64, n), out=words[1:])
     if words[-1] < least_words:
         return bounds, np.empty(0, np.int64), np.empty(0, np.int64), []
     k = np.arange(n)
@@ -55,8 +57,10 @@ def runs(text: str, least_words: int) -> tuple[list[int], np.ndarray, np.ndarray
     firsts = np.searchsorted(words, words[1:] - least_words, "right") - 1  # the last first sentence that does
     key = np.unique(np.r_[(k * (n + 1) + ends)[ends <= n], (firsts * (n + 1) + k + 1)[words[1:] >= least_words]])
     first, end = key // (n + 1), key % (n + 1)
+    sentences = "\n".join(map(" ".join, parts)).encode().split(b"\n")
     joined = b"\n".join(sentences)
-    at = np.array([0, *accumulate(len(s) + 1 for s in sentences)])
+    at = np.zeros(n + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, sentences), np.int64, n) + 1, out=at[1:])
     hashes = [xxh3_128_digest(joined[a:b])[:12] for a, b in zip(at[first].tolist(), (at[end] - 1).tolist())]
     return bounds, first, end, hashes
 
