@@ -15,6 +15,7 @@ from glossaloom.functions import plurals as PL
 from glossaloom.functions import predicates as P
 from glossaloom.functions import text as T
 from glossaloom.functions import urls as U
+from glossaloom.operators import dom as D
 from glossaloom.operators import html as H
 from glossaloom.operators import memory as M
 from glossaloom.operators import precedence as PR
@@ -638,6 +639,20 @@ def page_item_counts(spark, sf):
     return ST.items_by_group(H.items_of(_t(spark, sf, "pages")))
 
 
+@query(
+    "page_text_nodes",
+    """SELECT page_id, CAST(len(regexp_extract_all(html, '<li><a href="[^"]*">[^<]+</a></li>')) AS BIGINT) AS n_menu, CAST(len(regexp_extract_all(html, '<h1>[^<]+</h1>')) AS BIGINT) AS n_heads FROM pages""",
+)
+def page_text_nodes(spark, sf):
+    nodes = D.text_nodes(_t(spark, sf, "pages"))
+    return nodes.groupBy("page_id").agg(F.sum((F.col("in_global") & (F.col("context") == "text_node") & (F.col("kind") == "text")).cast("long") - F.col("text").startswith("©").cast("long")).alias("n_menu"), F.sum((F.col("context") == "heading").cast("long")).alias("n_heads"))
+
+
+@query("capturable_nodes")
+def capturable_nodes(spark, sf):
+    return D.capturable(D.text_nodes(_t(spark, sf, "pages")))
+
+
 @query("localized_pages")
 def localized_pages(spark, sf):
     tm = M.most_trusted(_tm(spark, sf).where(M.usable(CONFIG) & (F.col("language_code") == "de")).select("original_text", "original_text_hash", "language_code", "translated_text", "status", "updated_at", "id"))
