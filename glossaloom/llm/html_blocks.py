@@ -14,6 +14,7 @@ empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import pickle
 import random
 import re
 import zlib
@@ -429,9 +430,15 @@ def train(pages: int = 1600, epochs: int = 4, batch: int = 32, seed: int = 7) ->
 _TRAINED: list[dict] = []
 
 
-def trained() -> dict[str, np.ndarray]:
+def trained(spark: SparkSession) -> dict[str, np.ndarray]:
+    """The weights, trained once per driver process, in a task: executors run numpy with one thread, which small matrices need."""
     if not _TRAINED:
-        _TRAINED.append(train())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            list(batches)
+            yield pa.RecordBatch.from_pydict({"weights": [pickle.dumps(train())]})
+
+        _TRAINED.append(pickle.loads(spark.range(0, 1, 1, 1).mapInArrow(run, "weights binary").first()["weights"]))
     return _TRAINED[0]
 
 
@@ -451,7 +458,7 @@ def main_texts(htmls: list[str | None], w: dict) -> list[str]:
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text) for every row."""
-    shared = pages.sparkSession.sparkContext.broadcast(trained())
+    shared = pages.sparkSession.sparkContext.broadcast(trained(pages.sparkSession))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

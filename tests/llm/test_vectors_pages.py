@@ -80,14 +80,14 @@ def test_article_text(spark):
     assert all(r.n_chars == len(r.text) and r.url == pages[r.page_id].url for r in rows)
 
 
-def test_invented_pages():
+def test_invented_pages(spark):
     rng = random.Random(12345)
     right = total = 0
     for _ in range(200):
         page, labels = html_blocks.made_page(rng)
         blocks = html_blocks.leaf_blocks(page)
         assert len(blocks) == len(labels)
-        found = html_blocks.label(*html_blocks.padded([html_blocks.vectors(blocks)]), html_blocks.trained())[0] >= 0.5
+        found = html_blocks.label(*html_blocks.padded([html_blocks.vectors(blocks)]), html_blocks.trained(spark))[0] >= 0.5
         right, total = right + (found == np.array(labels)).sum(), total + len(labels)
     assert right / total > 0.98
 
