@@ -171,12 +171,16 @@ def grams(c: Column, n: int) -> Column:
 def contained_keys(texts: DataFrame, keys: DataFrame, n: int = 8) -> DataFrame:
     """(text, key) for every key of n characters or more that a longer text holds.
 
-    A text that holds a key holds all of the key's n-grams. Each key is filed under the one with the least hash, which
-    spreads keys that begin alike, and texts bring all of theirs; an equi-join on n-grams then leaves few to verify.
+    A text that holds a key holds all of the key's n-grams. Each key is filed under the least hash of its n-grams, which
+    spreads keys that begin alike, and texts bring the hashes of all of theirs, with a hash of the text in its place. The
+    equi-join leaves few candidates; these meet their texts again and are verified, so collisions of hashes do no harm.
     """
-    filed = keys.where(F.char_length("key") >= n).withColumn("g", F.array_min(F.transform(grams(F.col("key"), n), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"])
-    brought = texts.select("text", F.explode(grams(F.col("text"), n)).alias("g"))
-    found = brought.join(filed, "g").where(F.contains("text", F.col("key")) & (F.char_length("text") > F.char_length("key")))
+    hashes = lambda c: F.transform(grams(c, n), lambda g: F.xxhash64(g))
+    filed = keys.select("key").distinct().where(F.char_length("key") >= n).withColumn("h", F.array_min(hashes(F.col("key"))))
+    named = texts.select("text").distinct().withColumn("id", F.xxhash64("text"))
+    brought = named.select("id", F.explode(F.array_distinct(hashes(F.col("text")))).alias("h"))
+    candidates = brought.join(filed, "h").select("id", "key").distinct()
+    found = candidates.join(named, "id").where(F.contains("text", F.col("key")) & (F.char_length("text") > F.char_length("key")))
     return found.select("text", "key").distinct()
 
 
