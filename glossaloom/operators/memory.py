@@ -316,15 +316,12 @@ def drop_duplicate_rows(tm: DataFrame) -> DataFrame:
     return best_per_key(tm, KEY, [-F.col("id")])
 
 
-def register_missing(texts: DataFrame, tm: DataFrame, forms: DataFrame) -> DataFrame:
-    """(text, language_code, plural_form) for texts that no row of the memory has, in every language and form.
-
-    forms(language_code, nplurals) is a small dimension; texts(text, is_plural).
-    """
+def register_missing(texts: DataFrame, tm: DataFrame, forms: dict[str, int]) -> DataFrame:
+    """(text, language_code, plural_form) for texts(text, is_plural) that no row of the memory has, in every language and form; forms is the number of forms by language."""
     new = texts.distinct().withColumn("original_text_hash", F.md5("text")).join(tm.select("original_text_hash").distinct(), "original_text_hash", "left_anti")
-    each = new.crossJoin(F.broadcast(forms))
-    form = F.explode(F.when(F.col("is_plural"), F.sequence(F.lit(0), F.col("nplurals") - 1)).otherwise(F.array(F.lit(None).cast("int"))))
-    return each.select("text", "language_code", form.alias("plural_form"))
+    each = new.withColumn("l", F.explode(F.array(*[F.struct(F.lit(x).alias("language_code"), F.lit(n).alias("n")) for x, n in forms.items()])))
+    form = F.explode(F.when(F.col("is_plural"), F.sequence(F.lit(0), F.col("l.n") - 1)).otherwise(F.array(F.lit(None).cast("int"))))
+    return each.select("text", "l.language_code", form.alias("plural_form"))
 
 
 def reconcile(current: DataFrame, wanted: DataFrame) -> DataFrame:

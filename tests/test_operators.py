@@ -89,7 +89,7 @@ def test_forms(spark):
     items = spark.createDataFrame([("a", "t", {}), ("b", None, {0: "x", 1: "y"})], "original_text string, translated_text string, forms map<int,string>")
     got = sorted((r.original_text, r.plural_form, r.translated_text) for r in M.expand_forms(items).collect() if r.plural_form is not None)
     assert got == [("b", 0, "x"), ("b", 1, "y")] and M.expand_forms(items).count() == 3
-    forms = spark.createDataFrame([("en", 2), ("ar", 6)], "language_code string, nplurals int")
+    forms = {"en": 2, "ar": 6}
     tm = memory(spark, [(1, "known", "b", "de", "x", "custom", None, None, 1, 1)])
     texts = spark.createDataFrame([("known", True), ("new", True), ("one", False), ("new", True)], "text string, is_plural boolean")
     assert M.register_missing(texts, tm, forms).count() == 8 + 2
