@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,12 +52,11 @@ def open_fs(uri: str):
     return fs.LocalFileSystem(), uri
 
 
-def slices(batch: pa.RecordBatch, text: str, rows: int = 512, chars: int = 1_000_000):
-    """Cuts an Arrow batch into pieces of few rows and characters, so that Python objects stay few."""
-    sizes = [len(v) if v is not None else 0 for v in batch.column(text).to_pylist()] if batch.num_rows > 1 else [0]
+def slices(batch: pa.RecordBatch, text: str, rows: int = 512, size: int = 1_000_000):
+    """Cuts an Arrow batch into pieces of few rows and bytes of text, so that Python objects stay few."""
     begin = total = 0
-    for i, n in enumerate(sizes):
-        if i > begin and (i - begin >= rows or total + n > chars):
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()):
+        if i > begin and (i - begin >= rows or total + n > size):
             yield batch.slice(begin, i - begin)
             begin, total = i, 0
         total += n

@@ -463,7 +463,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "html", chars=2_000_000):
+            for part in slices(batch, "html", size=2_000_000):
                 texts = main_texts(part.column("html").to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], schema=schema)
 
