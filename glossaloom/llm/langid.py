@@ -26,8 +26,8 @@ from glossaloom.llm.common import slices, table
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST, PENALTY, WEIGHT_WORDS = 5, 7.0, 25
-#: Bytes of the score table in a Python worker.
-_TABLE_BYTES = 32 << 20
+#: Bytes of the score table in a Python worker, and words kept in it.
+_TABLE_BYTES, _KEPT_WORDS = 32 << 20, 400_000
 
 _SCORERS: dict[str, "Scorer"] = {}
 
@@ -41,7 +41,7 @@ def train(labelled: DataFrame, rows_per_lang: int = 2000, top: int = 20_000, lan
     """Model of labelled(id, text, lang). The most frequent `languages` labels are learned."""
     counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not counts:
-        return {"langs": [], "known": {}, "scores": np.zeros((1, 0), np.float32), "key": "none"}
+        return {"langs": [], "known": [{}] * (LONGEST + 1), "scores": np.zeros((1, 0), np.float32), "key": "none"}
     keep = F.lit(False)
     for r in counts:
         keep = F.when(F.col("lang") == r["lang"], F.lit(rows_per_lang / r["count"])).otherwise(keep.cast("double"))
@@ -70,14 +70,18 @@ def train(labelled: DataFrame, rows_per_lang: int = 2000, top: int = 20_000, lan
     rows = ranked.where((F.col("rank") <= top) & ((F.col("n") > 1) | (F.col("total") < 1000))).select("lang", "length", "token", (-F.log10(F.col("n") / F.col("total"))).alias("s")).toArrow()
     langs = sorted({r["lang"] for r in counts})
     at = {lang: k for k, lang in enumerate(langs)}
-    known: dict[tuple[int, str], int] = {}
+    known: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]  # by length; words at 0
     lang_of, length_of, token_of = (rows.column(c).to_pylist() for c in ("lang", "length", "token"))
-    where = [known.setdefault(key, len(known)) for key in zip(length_of, token_of)]
-    scores = np.full((len(known) + 1, len(langs)), PENALTY, np.float32)
+    where, size = [], 0
+    for length, token in zip(length_of, token_of):
+        row = known[length].setdefault(token, size)
+        size += row == size
+        where.append(row)
+    scores = np.full((size + 1, len(langs)), PENALTY, np.float32)
     scores[where, [at[x] for x in lang_of]] = rows.column("s").to_numpy()
     import hashlib
 
-    key = hashlib.sha1(repr((langs, len(known))).encode() + scores.tobytes()).hexdigest()
+    key = hashlib.sha1(repr((langs, size)).encode() + scores.tobytes()).hexdigest()
     return {"langs": langs, "known": known, "scores": scores, "key": key}
 
 
@@ -100,16 +104,16 @@ class _Rows(dict):
 class Scorer:
     def __init__(self, model: dict):
         self.model, n = model, max(1, len(model["langs"]))
-        room = max(1000, _TABLE_BYTES // (4 * n))
+        room = max(1000, min(_KEPT_WORDS, _TABLE_BYTES // (4 * n)))
         self.table, self.over, self.rows = np.zeros((room, n), np.float32), np.zeros(n), _Rows(self, room)
 
     def word(self, word: str) -> np.ndarray:
         known, scores = self.model["known"], self.model["scores"]
-        row = known.get((0, word))
+        row = known[0].get(word)
         if row is not None:
             return scores[row]
         for n in range(LONGEST, 0, -1):
-            rows = [r for r in (known.get((n, g)) for g in _grams(word, n)) if r is not None]
+            rows = [r for r in map(known[n].get, _grams(word, n)) if r is not None]
             if rows:
                 return scores[rows].mean(axis=0)
         return scores[-1]  # the penalty everywhere
