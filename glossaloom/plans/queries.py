@@ -164,12 +164,12 @@ def longest_strings(spark, sf):
 
 # Lookups.
 
-_ASKED_SQL = "asked AS (SELECT DISTINCT CASE WHEN doc_id % 3 = 0 THEN replace(text, ' ', '  ') ELSE text END AS text FROM strings WHERE pos % 2 = 0)"
+_ASKED_SQL = "asked AS (SELECT DISTINCT CASE WHEN doc_id % 3 = 0 THEN replace(text, ' ', '  ') ELSE text END AS text FROM strings)"
 
 
 def _asked(spark, sf):
     text = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit(" "), F.lit("  "))).otherwise(F.col("text"))
-    return _strings(spark, sf).where("pos % 2 = 0").select(text.alias("text")).distinct()
+    return _strings(spark, sf).select(text.alias("text")).distinct()
 
 
 def _decode_sql(x: str) -> str:
@@ -211,15 +211,15 @@ def exact_then_normalized_lookup(spark, sf):
 
 @query(
     "dynamic_lookup_by_hash",
-    f"""WITH {TM_SQL}, turns AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations),
-own AS (SELECT md5(trim(regexp_replace(original_text, '\\s{{2,}}', ' ', 'g'))) AS h, * FROM tm WHERE language_code = 'en' AND status >= 1 AND doc_id % 2 = 0),
+    f"""WITH {TM_SQL},
+own AS (SELECT md5(trim(regexp_replace(original_text, '\\s{{2,}}', ' ', 'g'))) AS h, * FROM tm WHERE language_code = 'en' AND status >= 1),
 b AS (SELECT h, id FROM (SELECT h, id, row_number() OVER (PARTITION BY h ORDER BY status DESC, updated_at DESC, id) AS r FROM own) WHERE r = 1),
-asked AS (SELECT DISTINCT text FROM strings WHERE doc_id % 2 = 1)
+asked AS (SELECT DISTINCT text FROM strings)
 SELECT md5(text) AS text_hash, id FROM asked JOIN b ON md5(trim(regexp_replace(text, '\\s{{2,}}', ' ', 'g'))) = h""",
 )
 def dynamic_lookup_by_hash(spark, sf):
-    own = _tm(spark, sf).where("language_code = 'en' and status >= 1 and id div 4000000 % 2 = 0").withColumn("translated_text", F.col("id").cast("string"))
-    asked = _strings(spark, sf).where("doc_id % 2 = 1").select("text").distinct()
+    own = _tm(spark, sf).where("language_code = 'en' and status >= 1").withColumn("translated_text", F.col("id").cast("string"))
+    asked = _strings(spark, sf).select("text").distinct()
     return M.dynamic_lookup(asked, own).select(F.md5("text").alias("text_hash"), F.col("translated_text").cast("long").alias("id"))
 
 
@@ -228,11 +228,11 @@ def dynamic_lookup_by_hash(spark, sf):
     f"""WITH {TM_SQL},
 b AS (SELECT key, original_text FROM (SELECT translated_text AS key, original_text, row_number() OVER (PARTITION BY translated_text ORDER BY id) AS r FROM tm WHERE {USABLE_SQL} AND {CONTEXTS_SQL}) WHERE r = 1),
 g AS (SELECT original_text, gettext_domain FROM (SELECT original_text, gettext_domain, row_number() OVER (PARTITION BY original_text ORDER BY id) AS r FROM tm WHERE kind = 'gettext') WHERE r = 1),
-asked AS (SELECT DISTINCT reverse(text) AS text FROM strings WHERE pos % 3 = 0)
+asked AS (SELECT DISTINCT reverse(text) AS text FROM strings)
 SELECT md5(asked.text) AS text_hash, md5(b.original_text) AS original_hash, gettext_domain FROM asked JOIN b ON asked.text = key LEFT JOIN g ON b.original_text = g.original_text""",
 )
 def reverse_lookup(spark, sf):
-    asked = _strings(spark, sf).where("pos % 3 = 0").select(F.reverse("text").alias("text")).distinct()
+    asked = _strings(spark, sf).select(F.reverse("text").alias("text")).distinct()
     return M.reverse_lookup(asked, _tm(spark, sf)).select(F.md5("text").alias("text_hash"), F.md5("original_text").alias("original_hash"), "gettext_domain")
 
 
@@ -372,10 +372,10 @@ def attach_translations(spark, sf):
     return PR.attach(items, _tm(spark, sf)).select("item_id", F.md5("translated_text").alias("translated_hash"), "state")
 
 
-@query("already_translated", f"WITH {TM_SQL}, own AS (SELECT * FROM tm WHERE language_code = 'de' AND status >= 1 AND translated_text <> ''), known AS (SELECT original_text AS t FROM own UNION SELECT translated_text FROM own) SELECT md5(text) AS text_hash FROM (SELECT DISTINCT text FROM strings WHERE pos % 2 = 0 UNION SELECT reverse(text) FROM strings WHERE pos % 3 = 0) WHERE text IN (SELECT t FROM known)")
+@query("already_translated", f"WITH {TM_SQL}, own AS (SELECT * FROM tm WHERE language_code = 'de' AND status >= 1 AND translated_text <> ''), known AS (SELECT original_text AS t FROM own UNION SELECT translated_text FROM own) SELECT md5(text) AS text_hash FROM (SELECT text FROM strings UNION SELECT reverse(text) FROM strings) WHERE text IN (SELECT t FROM known)")
 def already_translated(spark, sf):
     rows = _strings(spark, sf)
-    asked = rows.where("pos % 2 = 0").select("text").union(rows.where("pos % 3 = 0").select(F.reverse("text"))).distinct()
+    asked = rows.select("text").union(rows.select(F.reverse("text"))).distinct()
     return PR.already_translated(asked, _tm(spark, sf), "de").select(F.md5("text").alias("text_hash"))
 
 
@@ -498,15 +498,15 @@ def register_missing(spark, sf):
 
 @query(
     "menu_reconcile",
-    """WITH current AS (SELECT source AS code, doc_id AS item_id FROM documents WHERE doc_id % 11 = 0), wanted AS (SELECT DISTINCT source AS code FROM documents WHERE doc_id % 4 = 0 UNION SELECT 'missing'),
+    """WITH current AS (SELECT source AS code, doc_id AS item_id FROM documents), wanted AS (SELECT DISTINCT source AS code FROM documents UNION SELECT 'missing'),
 f AS (SELECT code, min(item_id) AS first_id FROM current GROUP BY code)
 SELECT coalesce(c.code, w.code) AS code, item_id, CASE WHEN c.code IS NULL THEN 'insert' WHEN w.code IS NULL THEN 'delete' WHEN item_id <> first_id THEN 'delete' ELSE 'update' END AS action
 FROM (SELECT current.*, first_id FROM current JOIN f USING (code)) c FULL OUTER JOIN wanted w ON c.code = w.code""",
 )
 def menu_reconcile(spark, sf):
     docs = _t(spark, sf, "documents")
-    wanted = docs.where("doc_id % 4 = 0").select(F.col("source").alias("code")).union(spark.range(1).select(F.lit("missing").alias("code")))
-    return M.reconcile(docs.where("doc_id % 11 = 0").select(F.col("source").alias("code"), F.col("doc_id").alias("item_id")), wanted)
+    wanted = docs.select(F.col("source").alias("code")).union(spark.range(1).select(F.lit("missing").alias("code")))
+    return M.reconcile(docs.select(F.col("source").alias("code"), F.col("doc_id").alias("item_id")), wanted)
 
 
 # Search.
@@ -611,12 +611,12 @@ def plural_counts(spark, sf):
 
 @query(
     "plural_maps",
-    f"""WITH {TM_SQL}, forms AS (SELECT original_text, language_code, CAST(pos % 3 AS INTEGER) AS plural_form, max(coalesce(translated_text, '')) AS t FROM tm WHERE pos < 9 GROUP BY 1, 2, 3)
+    f"""WITH {TM_SQL}, forms AS (SELECT original_text, language_code, CAST(pos % 3 AS INTEGER) AS plural_form, max(coalesce(translated_text, '')) AS t FROM tm GROUP BY 1, 2, 3)
 SELECT md5(original_text) AS text_hash, language_code, count(*) AS forms, CAST(sum(CASE WHEN t <> '' THEN 1 ELSE 0 END) AS BIGINT) AS translated, md5(max_by(t, plural_form)) AS last_hash FROM forms GROUP BY original_text, language_code""",
 )
 def plural_maps(spark, sf):
     pos = F.expr("id div 4 % 1000000")
-    rows = _tm(spark, sf).where(pos < 9).withColumn("plural_form", (pos % 3).cast("int")).groupBy("original_text", "original_text_hash", "language_code", "plural_form").agg(F.max(F.coalesce("translated_text", F.lit(""))).alias("translated_text"))
+    rows = _tm(spark, sf).withColumn("plural_form", (pos % 3).cast("int")).groupBy("original_text", "original_text_hash", "language_code", "plural_form").agg(F.max(F.coalesce("translated_text", F.lit(""))).alias("translated_text"))
     maps = ST.plural_maps(rows).select(F.md5("original_text").alias("text_hash"), "language_code", F.md5("last_form").alias("last_hash"))
     return ST.plural_completeness(rows).withColumnRenamed("original_text_hash", "text_hash").join(maps, ["text_hash", "language_code"])
 
