@@ -163,22 +163,24 @@ def translate_column(df: DataFrame, column: str, tm: DataFrame, language: str, d
 
 
 def grams(c: Column, n: int) -> Column:
-    """Different substrings of n characters."""
-    last = F.char_length(c) - n + 1
-    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda k: F.substring(c, k, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    """Different substrings of n characters; by a lookahead, because substring() counts from the start each time."""
+    return F.coalesce(F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))), F.array().cast("array<string>"))
 
 
 def contained_keys(texts: DataFrame, keys: DataFrame, n: int = 8) -> DataFrame:
-    """(text, key) for every key of n characters or more that a longer text holds.
+    """(text, key) for every key, but an empty one, that a longer text holds.
 
     A text that holds a key holds all of the key's n-grams. Each key is filed under the least hash of its n-grams, which
-    spreads keys that begin alike, and texts bring the hashes of all of theirs, with a hash of the text in its place. The
+    spreads keys that begin alike, and texts bring the hashes of all of theirs, with a hash of the text in its place. A key
+    shorter than n is filed whole; for these, texts also bring their substrings of the lengths that such keys have. The
     equi-join leaves few candidates; these meet their texts again and are verified, so collisions of hashes do no harm.
     """
-    hashes = lambda c: F.transform(grams(c, n), lambda g: F.xxhash64(g))
-    filed = keys.select("key").distinct().where(F.char_length("key") >= n).withColumn("h", F.array_min(hashes(F.col("key"))))
+    hashes = lambda c, m: F.transform(grams(c, m), lambda g: F.xxhash64(g))
+    size = F.char_length("key")
+    short = sorted(r[0] for r in keys.select(size.alias("m")).where(f"m between 1 and {n - 1}").distinct().collect())  # n - 1 rows at most
+    filed = keys.select("key").distinct().where(size >= 1).withColumn("h", F.when(size >= n, F.array_min(hashes(F.col("key"), n))).otherwise(F.xxhash64("key")))
     named = texts.select("text").distinct().withColumn("id", F.xxhash64("text"))
-    brought = named.select("id", F.explode(F.array_distinct(hashes(F.col("text")))).alias("h"))
+    brought = named.select("id", F.explode(F.array_distinct(F.concat(*[hashes(F.col("text"), m) for m in [*short, n]]))).alias("h"))
     candidates = brought.join(filed, "h").select("id", "key").distinct()
     found = candidates.join(named, "id").where(F.contains("text", F.col("key")) & (F.char_length("text") > F.char_length("key")))
     return found.select("text", "key").distinct()

@@ -242,6 +242,13 @@ def contained_keys(spark, sf):
     return M.contained_keys(rows.where("octet_length(text) <= 500"), rows.where("char_length(text) between 8 and 60").select(F.col("text").alias("key")))
 
 
+@query("contained_keys_all", f"WITH {STRINGS_SQL}, t AS (SELECT DISTINCT text FROM strings) SELECT t.text, k.text AS key, octet_length(encode(t.text)) <= 500 AS node FROM t JOIN t k ON contains(t.text, k.text) AND length(t.text) > length(k.text)")
+def contained_keys_all(spark, sf):
+    """J16 to J18 over all lines; J16 takes the rows with node, as only nodes have a limit."""
+    rows = _strings(spark, sf).select("text").distinct()
+    return M.contained_keys(rows, rows.select(F.col("text").alias("key"))).withColumn("node", F.octet_length("text") <= 500)
+
+
 @query(
     "prefix_match",
     f"""WITH {STRINGS_SQL}, t AS (SELECT DISTINCT text FROM strings WHERE contains(text, '|')),
