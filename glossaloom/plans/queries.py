@@ -438,6 +438,25 @@ def plaintext_conflict(spark, sf):
     return M.plaintext_keys(rows).select(F.md5("plain").alias("plain_hash"), "language_code", "id")
 
 
+def _n3_sql(x: str) -> str:
+    x = f"regexp_replace(regexp_replace({_decode_sql(x)}, '(?i)<br\\s*/?\\s*>', ' ', 'g'), '<[^>]*>', '', 'g')"
+    x = _plain_sql(f"translate(translate({x}, chr(160), ' '), 'ёЁ', 'еЕ')", T.DOUBLE_QUOTES, '"')
+    x = _plain_sql(_plain_sql(x, T.SINGLE_QUOTES, "'"), T.DASHES, "-")
+    return f"lower(trim(regexp_replace(replace({x}, '…', '...'), '\\s+', ' ', 'g')))"
+
+
+@query(
+    "plaintext_conflict_all",
+    f"""WITH {TM_SQL}, k AS (SELECT *, {_n3_sql('original_text')} AS plain FROM (SELECT id, language_code, CASE WHEN doc_id % 2 = 0 THEN '<b>' || original_text || '</b>' ELSE original_text END AS original_text FROM tm))
+SELECT md5(plain) AS plain_hash, language_code, id FROM (SELECT *, row_number() OVER (PARTITION BY plain, language_code ORDER BY CAST(regexp_matches(original_text, '<[^>]*>') AS INTEGER) DESC, length(original_text) DESC, id) AS r FROM k) WHERE r = 1""",
+)
+def plaintext_conflict_all(spark, sf):
+    """A20 over all rows of the memory."""
+    rows = _tm(spark, sf).select("id", "language_code", F.when(F.expr("id div 4000000 % 2 = 0"), F.concat(F.lit("<b>"), "original_text", F.lit("</b>"))).otherwise(F.col("original_text")).alias("original_text"))
+    return M.plaintext_keys(rows).select(F.md5("plain").alias("plain_hash"), "language_code", "id")
+
+
+
 # Changes.
 
 

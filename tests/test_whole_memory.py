@@ -35,7 +35,7 @@ def fixture_dir(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["contained_keys_all"])
+@pytest.mark.parametrize("name", ["contained_keys_all", "plaintext_conflict_all"])
 def test_fixture_equals_sql(spark, fixture_dir, name):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from read_parquet('{fixture_dir}/documents.parquet')")
@@ -52,3 +52,10 @@ def test_contained_keys_of_any_length(spark, fixture_dir):
 def test_short_keys(spark):
     texts, keys = spark.createDataFrame([("ab cd",), ("ab",), ("zé",)], "text string"), spark.createDataFrame([("ab",), ("é",), ("",), (None,), ("b c",), ("ab cd",)], "key string")
     assert {tuple(r) for r in M.contained_keys(texts, keys).collect()} == {("ab cd", "ab"), ("zé", "é"), ("ab cd", "b c")}
+
+
+def test_plain_text_with_entities_quotes_and_dashes(spark, fixture_dir):
+    rows = QUERIES["plaintext_conflict_all"](spark, fixture_dir).where("language_code = 'de'").collect()
+    ids = {r.id // 4_000_000 for r in rows}
+    assert len(ids & {9, 10, 11}) == 1 and 11 in ids  # one plain text: markup first, then the longest original
+    assert len(ids & {12, 13}) == 1
