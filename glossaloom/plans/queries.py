@@ -261,6 +261,18 @@ def prefix_match(spark, sf):
     return M.prefix_match(texts, texts.select(F.regexp_extract("text", r"^([^|]*[^| ]) *\|", 1).alias("key")))
 
 
+@query(
+    "prefix_match_all",
+    f"""WITH {STRINGS_SQL}, t AS (SELECT DISTINCT text FROM strings),
+p AS (SELECT text, trim(substring(text, 1, k - 1)) AS key FROM (SELECT text, unnest(generate_series(1, length(text))) AS k FROM t) WHERE regexp_matches(substring(text, k, 1), '[|:–—-]'))
+SELECT p.text, max_by(key, (length(key), key)) AS key FROM p JOIN t w ON key = w.text WHERE key <> '' GROUP BY p.text""",
+)
+def prefix_match_all(spark, sf):
+    """J19 over all lines, each up to any separator, among all originals of the memory."""
+    texts = _strings(spark, sf).select("text").distinct()
+    return M.prefix_match(texts, _tm(spark, sf).select(F.col("original_text").alias("key")))
+
+
 @query("normalized_groups", f"WITH {STRINGS_SQL}, {_ASKED_SQL}, n AS (SELECT DISTINCT {_n4_sql('text')} AS norm, text FROM (SELECT text FROM strings UNION ALL SELECT text FROM asked)) SELECT md5(norm) AS norm_hash, count(*) AS n_originals, md5(min(text)) AS first_hash FROM n GROUP BY norm")
 def normalized_groups(spark, sf):
     groups = M.normalized_groups(_strings(spark, sf).select("text").union(_asked(spark, sf)))

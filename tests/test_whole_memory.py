@@ -35,7 +35,7 @@ def fixture_dir(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["contained_keys_all", "plaintext_conflict_all"])
+@pytest.mark.parametrize("name", ["contained_keys_all", "prefix_match_all", "plaintext_conflict_all"])
 def test_fixture_equals_sql(spark, fixture_dir, name):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from read_parquet('{fixture_dir}/documents.parquet')")
@@ -54,6 +54,11 @@ def test_short_keys(spark):
     assert {tuple(r) for r in M.contained_keys(texts, keys).collect()} == {("ab cd", "ab"), ("zé", "é"), ("ab cd", "b c")}
 
 
+def test_prefixes_up_to_any_separator(spark, fixture_dir):
+    got = {r.text: r.key for r in QUERIES["prefix_match_all"](spark, fixture_dir).collect()}
+    assert got == {"Shop – Sale": "Shop", "Shop | Sale": "Shop", "Shop | Sale – now": "Shop | Sale", LINES[4]: LINES[3]}
+
+
 def test_plain_text_with_entities_quotes_and_dashes(spark, fixture_dir):
     rows = QUERIES["plaintext_conflict_all"](spark, fixture_dir).where("language_code = 'de'").collect()
     ids = {r.id // 4_000_000 for r in rows}
