@@ -1,17 +1,18 @@
 """Substring deduplication by sliding spans of sentences.
 
-A text is cut into sentences after . ! ? followed by white space, and at line ends. Every run of consecutive sentences
-that just reaches `least_words` words, counted from its first sentence or back from its last, is hashed (96 bits, over
-lower-cased words). Runs are joined globally: one that occurs in several documents stays in the document with the
-smallest id, one that occurs again within a document stays where it comes first, and sentences covered by any other
-occurrence are removed. So of a repeated passage all whole sentences go, if they make up `least_words` words.
-
-A run counts in the grouping as (hash, doc_id) with partial aggregates, and its occurrences meet the repeated hashes in
-a join that Spark can split, so a very common passage is no bottleneck.
-
-Cases: null and empty texts have no runs; rows with one doc_id count as one document across documents; a null id is
-after all others, and rows with null ids keep what only they share; an empty table gives no rows; other columns are not
-read.
+A text is cut into sentences after . ! ? followed by white space, and at line ends. Every run of at least
+`least_sentences` consecutive sentences that just reaches `least_words` words, counted from its first sentence or back
+from its last, is hashed (96 bits, over lower-cased words). Runs are joined globally: one that occurs in several
+documents stays in the first of them, one that occurs again within a document stays where it comes first, and sentences
+covered by any other occurrence are removed. So of a repeated passage all whole sentences go, if they make up such a run.
+
+A document is a row, named by its id and a 64-bit hash of its text: documents come in the order of their ids (null last)
+and, within an id, of that hash. A run counts in the grouping by its hash with partial aggregates, and its occurrences
+meet the repeated hashes in a join that Spark can split, so a very common passage is no bottleneck.
+
+Cases: null and empty texts have no runs; rows of one id with different texts are documents of their own, as are rows
+with null ids; rows equal in id and text are one document, so each of them keeps what that document keeps; an empty
+table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossaloom.llm.common import slices, table
+from glossaloom.llm.common import slices, stored, table
 
 #: A set of characters first, which lets the search skip what lies between.
 END = re.compile(r"[.!?\n](?:(?<=\n)|[.!?]*\s)\s*")
@@ -39,23 +40,24 @@ def sentence_bounds(text: str) -> list[int]:
     return bounds
 
 
-def runs(text: str, least_words: int) -> tuple[list[int], np.ndarray, np.ndarray, list[bytes]]:
+def runs(text: str, least_words: int, least_sentences: int) -> tuple[list[int], np.ndarray, np.ndarray, list[bytes]]:
     """Sentence bounds, then first sentence, end (exclusive) and 96-bit hash of each run, by first sentence."""
     from xxhash import xxh3_128_digest
 
     bounds = sentence_bounds(text)
     low = text.lower()
-    low = low if len(low) == len(text) else text
-    parts = [low[a:b].split() for a, b in zip(bounds, bounds[1:])]
+    same = len(low) == len(text)  # some capitals have longer small forms: then each sentence is lowered by itself
+    parts = [low[a:b].split() if same else text[a:b].lower().split() for a, b in zip(bounds, bounds[1:])]
     n = len(parts)
     words = np.zeros(n + 1, np.int64)
     np.cumsum(np.fromiter(map(len, parts), np.int64, n), out=words[1:])
     if words[-1] < least_words:
         return bounds, np.empty(0, np.int64), np.empty(0, np.int64), []
     k = np.arange(n)
-    ends = np.searchsorted(words, words[:-1] + least_words)  # the first end that leaves enough words
-    firsts = np.searchsorted(words, words[1:] - least_words, "right") - 1  # the last first sentence that does
-    key = np.unique(np.r_[(k * (n + 1) + ends)[ends <= n], (firsts * (n + 1) + k + 1)[words[1:] >= least_words]])
+    # the first end that leaves enough words and sentences, and the last first sentence that does
+    ends = np.maximum(np.searchsorted(words, words[:-1] + least_words), k + least_sentences)
+    firsts = np.minimum(np.searchsorted(words, words[1:] - least_words, "right") - 1, k + 1 - least_sentences)
+    key = np.unique(np.r_[(k * (n + 1) + ends)[ends <= n], (firsts * (n + 1) + k + 1)[firsts >= 0]])
     first, end = key // (n + 1), key % (n + 1)
     sentences = "\n".join(map(" ".join, parts)).encode().split(b"\n")
     joined = b"\n".join(sentences)
@@ -66,47 +68,58 @@ def runs(text: str, least_words: int) -> tuple[list[int], np.ndarray, np.ndarray
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """(doc_id, k, text): id and k, a hash of the text, name the row."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("k"), text.alias("text"))
 
 
-def hashed_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 20) -> DataFrame:
-    """(h, g, doc_id, first, end): every different run of every document, where it comes first."""
-    schema = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("doc_id", pa.int64()), ("first", pa.int32()), ("end", pa.int32())])
+def hashed_runs(rows: DataFrame, least_words: int, least_sentences: int) -> DataFrame:
+    """(h, g, doc_id, k, first, end): every different run of every row, where it comes first."""
+    schema = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("doc_id", pa.int64()), ("k", pa.int64()), ("first", pa.int32()), ("end", pa.int32())])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                hashes, ids, firsts, ends = [], [], [], []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                hashes, row_of, firsts, ends = [], [], [], []
+                for row, text in enumerate(part.column("text").to_pylist()):
                     if not text:
                         continue
-                    _, first, end, own = runs(text, least_words)
+                    _, first, end, own = runs(text, least_words, least_sentences)
                     kept = list(dict(zip(reversed(own), reversed(range(len(own))))).values())
                     hashes += [own[k] for k in kept]
-                    ids += [doc_id] * len(kept)
+                    row_of.append(np.full(len(kept), row))
                     firsts.append(first[kept])
                     ends.append(end[kept])
                 if hashes:
-                    raw = np.frombuffer(b"".join(hashes), np.dtype([("h", "<i8"), ("g", "<i4")]))
-                    yield pa.RecordBatch.from_arrays([pa.array(raw["h"].copy()), pa.array(raw["g"].copy()), pa.array(ids, pa.int64()), pa.array(np.concatenate(firsts).astype(np.int32)), pa.array(np.concatenate(ends).astype(np.int32))], schema=schema)
+                    raw, at = np.frombuffer(b"".join(hashes), np.dtype([("h", "<i8"), ("g", "<i4")])), pa.array(np.concatenate(row_of))
+                    yield pa.RecordBatch.from_arrays([pa.array(raw["h"].copy()), pa.array(raw["g"].copy()), part.column("doc_id").take(at), part.column("k").take(at), pa.array(np.concatenate(firsts).astype(np.int32)), pa.array(np.concatenate(ends).astype(np.int32))], schema=schema)
 
-    return _rows(docs, id_col, text_col).mapInArrow(rows, "h long, g int, doc_id long, first int, end int")
+    return rows.mapInArrow(found, "h long, g int, doc_id long, k long, first int, end int")
 
 
-def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 20, changed_only: bool = True) -> DataFrame:
-    """The documents (by default those that lose a sentence) with what is left of their texts."""
-    found = hashed_runs(docs, id_col, text_col, least_words)
+def _hits(rows: DataFrame, least_words: int, least_sentences: int) -> DataFrame:
+    """(doc_id, k, spans, first_docs): the runs of each row that an earlier one has."""
+    found = hashed_runs(rows, least_words, least_sentences)
     repeated = found.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1").select("h", "g", "first_doc")
-    hits = found.join(repeated, ["h", "g"]).where("doc_id > first_doc or (doc_id is null and first_doc is not null)")
-    hits = hits.groupBy("doc_id").agg(F.collect_set(F.struct("first", "end")).alias("spans"), F.collect_set("first_doc").alias("first_docs"))
+    shared = stored(found.join(repeated, ["h", "g"]), "shared_runs")
+    # where several rows have the least id (or none has an id), the first is that of the least text hash
+    tied = shared.where("doc_id <=> first_doc").groupBy("h", "g").agg(F.min("k").alias("first_k"), F.max("k").alias("last_k")).where("first_k < last_k").drop("last_k")
+    tied = stored(tied, "tied_runs")
+    hits = shared.join(tied, ["h", "g"], "left").where("not (doc_id <=> first_doc) or k != first_k")
+    return hits.groupBy("doc_id", "k").agg(F.collect_set(F.struct("first", "end")).alias("spans"), F.collect_set("first_doc").alias("first_docs"))
+
+
+def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 20, least_sentences: int = 2, changed_only: bool = True) -> DataFrame:
+    """The documents (by default those that lose a sentence) with what is left of their texts."""
     texts = _rows(docs, id_col, text_col)
-    joined = texts.join(hits.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").select("doc_id", "text", F.col("spans.first").alias("first"), F.col("spans.end").alias("end"), F.array_sort("first_docs").alias("first_docs"))
+    hits = _hits(texts, least_words, least_sentences).select(F.col("doc_id").alias("hit_id"), F.col("k").alias("hit_k"), "spans", "first_docs")
+    joined = texts.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("k") == F.col("hit_k")), "left").select("doc_id", "text", F.col("spans.first").alias("first"), F.col("spans.end").alias("end"), F.array_sort("first_docs").alias("first_docs"))
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("chars_removed", pa.int64()), ("first_doc_ids", pa.list_(pa.int64()))])
 
     def rest(text: str | None, spans: list[tuple[int, int]]) -> tuple:
         if not text:
             return text, 0, 0, 0
-        bounds, first, end, own = runs(text, least_words)
+        bounds, first, end, own = runs(text, least_words, least_sentences)
         n = len(bounds) - 1
         gone = np.zeros(n + 1, np.int64)
         seen: set[bytes] = set()

@@ -224,36 +224,39 @@ def test_half_a_leak_is_none(spark):
 # Sentence spans.
 
 
-def brute_spans(docs, least=20):
-    """What is left of each text, by a plain reading of the rule."""
+def brute_spans(docs, least=20, sentences=2):
+    """What is left of the text of each different (id, text), by a plain reading of the rule."""
     where = defaultdict(list)
+    docs = list(dict.fromkeys(docs))
+    signed = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64((t or "").encode(), seed=42).intdigest())
     for d, text in docs:
+        key = (d is None, d or 0, signed(text))
         b = spans.sentence_bounds(text or "")
         sent = [" ".join((text or "")[x:y].lower().split()) for x, y in zip(b, b[1:])]
         n = [len(s.split()) for s in sent]
         runs = set()
         for i in range(len(sent)):
-            for j in range(i, len(sent)):
+            for j in range(i + sentences - 1, len(sent)):
                 if sum(n[i : j + 1]) >= least:
                     runs.add((i, j))
                     break
-            for h in range(i, -1, -1):
+            for h in range(i - sentences + 1, -1, -1):
                 if sum(n[h : i + 1]) >= least:
                     runs.add((h, i))
                     break
         for i, j in runs:
-            where["\n".join(sent[i : j + 1])].append((d, i, j))
+            where["\n".join(sent[i : j + 1])].append((key, i, j, (d, text)))
     gone = defaultdict(set)
     for places in where.values():
         first = min(p[0] for p in places)
-        begin = {d: min(p[1] for p in places if p[0] == d) for d, *_ in places}
-        for d, i, j in places:
-            if d != first or i != begin[d]:
-                gone[d] |= set(range(i, j + 1))
+        begin = {p[0]: min(q[1] for q in places if q[0] == p[0]) for p in places}
+        for key, i, j, doc in places:
+            if key != first or i != begin[key]:
+                gone[doc] |= set(range(i, j + 1))
     out = {}
     for d, text in docs:
         b = spans.sentence_bounds(text or "")
-        out[d] = "".join(text[b[k] : b[k + 1]] for k in range(len(b) - 1) if k not in gone[d]) if text else text
+        out[d, text] = "".join(text[b[k] : b[k + 1]] for k in range(len(b) - 1) if k not in gone[d, text]) if text else text
     return out
 
 
@@ -261,9 +264,28 @@ def test_spans_equal_brute_force(spark, sf):
     docs = [(r.doc_id, r.text) for r in docs_of(spark, sf).values()]
     want = brute_spans(docs)
     got = {r.doc_id: r.text for r in spans.op8_sentence_spans(spark, sf).collect()}
-    assert got == {d: want[d] for d, t in docs if want[d] != t}
+    assert got == {d: want[d, t] for d, t in docs if want[d, t] != t}
     everything = spans.remove_repeated_spans(spark.read.parquet(f"{sf}/documents.parquet"), changed_only=False)
-    assert {r.doc_id: r.text for r in everything.collect()} == want
+    assert {r.doc_id: r.text for r in everything.collect()} == {d: t for (d, _), t in want.items()}
+
+
+def test_spans_of_repeated_and_null_ids(spark):
+    """Rows of one id, or of none, with different texts are documents of their own; identical rows are one."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(3000)]
+    say = lambda: " ".join(rng.sample(words, rng.randint(6, 16))).capitalize() + ". "
+    shared = ["".join(say() for _ in range(4)) for _ in range(5)]
+    rows = []
+    for k in range(60):
+        parts = [say() for _ in range(rng.randint(0, 6))]
+        parts.insert(rng.randint(0, len(parts)), rng.choice(shared))
+        rows.append((rng.choice((None, None, 3, 3, 7, k)), "".join(parts)))
+    rows += rows[:9] + [(3, ""), (None, None), (7, "".join(say() for _ in range(20_000))), (8, "\u0130" + shared[0].upper())]
+    want = brute_spans(rows)
+    got = spans.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), changed_only=False).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((d, want[d, t]) for d, t in rows)
+    nulls = spark.createDataFrame([(None, None)] * 3, "doc_id long, text string")
+    assert spans.remove_repeated_spans(nulls, changed_only=False).count() == 3
 
 
 def test_planted_passage(spark):
@@ -278,7 +300,7 @@ def test_planted_passage(spark):
 
 
 def test_span_edges(spark):
-    line = " ".join(f"word{k}" for k in range(25)) + "."
+    line = " ".join(f"word{k}" for k in range(12)) + ". " + " ".join(f"word{k}" for k in range(12, 25)) + "."
     docs = spark.createDataFrame([(None, line), (1, line + " " + line), (2, None), (3, ""), (4, line), (4, line), (6, "short. same."), (7, "short. same.")], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.text) for r in spans.remove_repeated_spans(docs).collect())
     assert got == [("1", line + " "), ("4", ""), ("4", ""), ("None", "")]
