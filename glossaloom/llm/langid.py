@@ -4,8 +4,11 @@ Learned per language from labelled rows: relative frequencies of words and of n-
 word). A word known in any language scores -log10 of its frequency there, or a penalty where it is absent. An unseen
 word is scored by its known n-grams of the greatest length that has any, averaged. The mean over a text's words decides;
 `score` is the softmax of the means, weighted by the words up to a limit. The model comes from a sample of about
-`rows_per_lang` labelled rows per language (whole texts, chosen by a hash of the id) and keeps at most `top` entries of
-each length per language, so its size has a bound and it may be broadcast.
+`rows_per_lang` labelled rows per language (whole texts, chosen by a hash of the id), of every label that there is, and
+keeps the words and n-grams whose share among those of their length and language is `least_share` or more. There can be
+no more than 1 / least_share of these, which bounds the model for each label at any size of the corpus.
+
+Words are letters with the combining marks that follow them.
 
 Cases: null texts and texts without a letter are `und` with score 0, and so is all if nothing could be learned; rows
 with null id, text or lang teach nothing; each row of a repeated id has its prediction; other columns are not read.
@@ -19,12 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossaloom.llm.common import slices, table
+from glossaloom.llm.common import slices, stored, table
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Python's \\w leaves out combining marks, which many scripts need.
+MARKED_WORD, MARK = regex.compile(r"[^\W\d_][^\W\d_\p{M}]*(?:\p{M}+[^\W\d_\p{M}]*)*"), regex.compile(r"\p{M}")
 LONGEST, PENALTY, WEIGHT_WORDS = 5, 7.0, 25
 #: Bytes of the score table in a Python worker, and words kept in it.
 _TABLE_BYTES, _KEPT_WORDS = 32 << 20, 400_000
@@ -37,38 +43,57 @@ def _grams(word: str, n: int) -> list[str]:
     return [w[k : k + n] for k in range(len(w) - n + 1)]
 
 
-def train(labelled: DataFrame, rows_per_lang: int = 2000, top: int = 20_000, languages: int = 200) -> dict:
-    """Model of labelled(id, text, lang). The most frequent `languages` labels are learned."""
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not counts:
-        return {"langs": [], "known": [{}] * (LONGEST + 1), "scores": np.zeros((1, 0), np.float32), "key": "none"}
-    keep = F.lit(False)
-    for r in counts:
-        keep = F.when(F.col("lang") == r["lang"], F.lit(rows_per_lang / r["count"])).otherwise(keep.cast("double"))
-    sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20) < keep)
+def words_of(text: str) -> list[str]:
+    low = text.lower()
+    return WORD.findall(low) if low.isascii() or not MARK.search(low) else MARKED_WORD.findall(low)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(counter: Counter) -> pa.RecordBatch:
-            langs, lengths, tokens = zip(*counter)
-            return pa.RecordBatch.from_pydict({"lang": langs, "length": lengths, "token": tokens, "n": list(counter.values())}, schema=pa.schema([("lang", pa.string()), ("length", pa.int32()), ("token", pa.string()), ("n", pa.int64())]))
 
+def _counted(rows: DataFrame, keys: list[str], count) -> DataFrame:
+    """Sums n by the keys of what count(batch), a Counter over tuples of the keys, finds in Arrow batches."""
+    kinds = {"lang": pa.string(), "length": pa.int32(), "token": pa.string()}
+    schema = pa.schema([*((k, kinds[k]) for k in keys), ("n", pa.int64())])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                found: Counter = Counter()
-                for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist()):
-                    for word, k in Counter(WORD.findall(text.lower())).items():
-                        found[lang, 0, word] += k
-                        for n in range(1, LONGEST + 1):
-                            for gram in _grams(word, n):
-                                found[lang, n, gram] += k
-                if found:
-                    yield batch_of(found)
-
-    tokens = sample.select("text", "lang").mapInArrow(count, "lang string, length int, token string, n long").groupBy("lang", "length", "token").agg(F.sum("n").alias("n"))
-    by_kind = Window.partitionBy("lang", "length")
-    ranked = tokens.withColumn("total", F.sum("n").over(by_kind)).withColumn("rank", F.row_number().over(by_kind.orderBy(F.desc("n"), "token")))
-    rows = ranked.where((F.col("rank") <= top) & ((F.col("n") > 1) | (F.col("total") < 1000))).select("lang", "length", "token", (-F.log10(F.col("n") / F.col("total"))).alias("s")).toArrow()
-    langs = sorted({r["lang"] for r in counts})
+            for part in slices(batch, batch.schema.names[0]):
+                counter = count(part)
+                if counter:
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, kinds[k]) for k, c in zip(keys, zip(*counter))), pa.array(counter.values(), pa.int64())], schema=schema)
+
+    out = ", ".join(f"{k} {'int' if k == 'length' else 'string'}" for k in keys) + ", n long"
+    return rows.mapInArrow(found, out).groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def _words(part: pa.RecordBatch) -> Counter:
+    by_lang: dict[str, Counter] = {}
+    for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist()):
+        by_lang.setdefault(lang, Counter()).update(words_of(text))
+    return Counter({(lang, word): n for lang, own in by_lang.items() for word, n in own.items()})
+
+
+def _pieces(part: pa.RecordBatch) -> Counter:
+    """Each word as the token of length 0, and its n-grams."""
+    found: Counter = Counter()
+    for word, lang, k in zip(*(part.column(c).to_pylist() for c in ("token", "lang", "n"))):
+        found[lang, 0, word] += k
+        for n in range(1, LONGEST + 1):
+            for gram in _grams(word, n):
+                found[lang, n, gram] += k
+    return found
+
+
+def train(labelled: DataFrame, rows_per_lang: int = 2000, least_share: float = 5e-6) -> dict:
+    """Model of labelled(id, text, lang), of all its labels."""
+    counts = stored(labelled.groupBy("lang").count(), "labels")  # a table, so that Spark knows its size when it plans the join
+    chance = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
+    sample = labelled.join(counts, "lang").where(chance < F.lit(float(rows_per_lang)) / F.col("count")).select("text", "lang")
+    words = stored(_counted(sample, ["lang", "token"], _words).select("token", "lang", "n"), "words")  # n-grams come from different words, once each
+    tokens = stored(_counted(words, ["lang", "length", "token"], _pieces), "tokens")
+    totals = stored(tokens.groupBy("lang", "length").agg(F.sum("n").alias("total")), "totals")
+    rows = tokens.join(totals, ["lang", "length"]).where(F.col("n") >= F.col("total") * least_share).select("lang", "length", "token", (-F.log10(F.col("n") / F.col("total"))).alias("s")).toArrow()
+    langs = sorted(r["lang"] for r in counts.select("lang").collect())
+    if not langs:
+        return {"langs": [], "known": [{}] * (LONGEST + 1), "scores": np.zeros((1, 0), np.float32), "key": "none"}
     at = {lang: k for k, lang in enumerate(langs)}
     known: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]  # by length; words at 0
     lang_of, length_of, token_of = (rows.column(c).to_pylist() for c in ("lang", "length", "token"))
@@ -119,7 +144,7 @@ class Scorer:
         return scores[-1]  # the penalty everywhere
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall(text.lower()) if text else []
+        words = words_of(text) if text else []
         if not self.model["langs"] or not any(c.isalpha() for w in words for c in w):
             return "und", 0.0
         self.over[:] = 0

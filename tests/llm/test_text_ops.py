@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -27,8 +28,6 @@ def test_held_out_accuracy(spark):
     assert len(rows) == len(truth) and held
     assert sum(r.lang_pred == truth[r.doc_id].lang for r in held) / len(held) > 0.98
     assert all(0 <= r.score <= 1 for r in rows)
-    import zlib
-
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
 
 
@@ -43,6 +42,59 @@ def test_backoff_and_und(spark):
     assert all(got[k] == ("und", 0.0) for k in (3, 4, 5, 6))
 
 
+def brute_language(model_rows, texts, least_share=5e-6):
+    """(language, score) of each text by the rule, from (text, lang) rows, with plain dictionaries."""
+    grams = lambda w, n: [f" {w} "[k : k + n] for k in range(len(w) + 3 - n)]
+    split = lambda t: [w for w in re.split(r"[\W\d_]+", t.lower()) if w]
+    counts = defaultdict(Counter)
+    for t, lang in model_rows:
+        counts[lang, 0].update(split(t))
+    for lang in {lang for _, lang in model_rows}:
+        for w, k in counts[lang, 0].items():
+            for n in range(1, 6):
+                for g in grams(w, n):
+                    counts[lang, n][g] += k
+    langs = sorted({lang for _, lang in model_rows})
+    total = {k: sum(c.values()) for k, c in counts.items()}
+    share = {k: {t: n / total[k] for t, n in c.items() if n / total[k] >= least_share} for k, c in counts.items()}
+    for text in texts:
+        words = split(text or "")
+        sums = np.zeros(len(langs))
+        for w in words:
+            for n in range(6, 0, -1):
+                tokens = [w] if n == 6 else grams(w, n)
+                known = [[-np.log10(share[x, n % 6][t]) if t in share[x, n % 6] else 7.0 for x in langs] for t in tokens if any(t in share[x, n % 6] for x in langs)]
+                if known:
+                    sums += np.mean(known, axis=0)
+                    break
+            else:
+                sums += 7.0
+        mean = sums / max(1, len(words))
+        odds = np.exp((mean.min() - mean) * np.log(10) * min(len(words), 25))
+        yield (langs[int(mean.argmin())], float(1 / odds.sum())) if words else ("und", 0.0)
+
+
+def test_predictions_equal_brute_force(spark, sf):
+    """All languages, words and n-grams; every document."""
+    docs = docs_of(spark, sf)
+    known = [(r.text, r.lang) for r in docs.values() if r.text and r.lang and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    rows = {r.doc_id: r for r in langid.op3_word_backoff_langid(spark, sf).collect()}
+    for (d, r), (lang, score) in zip(docs.items(), brute_language(known, [r.text for r in docs.values()])):
+        assert rows[d].lang_pred == lang and abs(rows[d].score - score) < 1e-4
+
+
+def test_many_labels_and_marks(spark):
+    """No label is left out, however rare; combining marks belong to their word."""
+    rows = [(k, f"w{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k // 100]} same", f"l{k}") for k in range(300)]
+    rows += [(1000 + k, "\u0928\u092e\u0938\u094d\u0924\u0947 \u0926\u0941\u0928\u093f\u092f\u093e", "hi") for k in range(3)]
+    model = langid.train(spark.createDataFrame(rows, "id long, text string, lang string"))
+    assert len(model["langs"]) == 301
+    own = langid.Scorer(model)
+    assert all(own.predict(t.split()[0])[0] == lang for _, t, lang in rows[:300:17])
+    assert langid.words_of("\u0928\u092e\u0938\u094d\u0924\u0947 cafe\u0301 x1") == ["\u0928\u092e\u0938\u094d\u0924\u0947", "cafe\u0301", "x"]
+    assert own.predict("\u0928\u092e\u0938\u094d\u0924\u0947")[0] == "hi"
+
+
 def test_nothing_to_learn(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = langid.train_on(empty)
