@@ -43,19 +43,57 @@ def test_top_k_edges(spark):
     huge = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [-1e30, 0.0])], "vec_id long, embedding array<double>")
     got = sorted(tuple(r) for r in kdtree.top_k(huge, huge.where("vec_id = 0")).collect())
     assert got == [(0, 1, 1, 2**63 - 1), (0, 2, 2, -(2**63))]
+    over = spark.createDataFrame([(0, [1.7e308, -1.7e308]), (1, [1e306, 1.0]), (2, [-1e308, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in kdtree.top_k(over, over.where("vec_id = 0")).collect())
+    assert got == [(0, 1, 1, 2**63 - 1), (0, 2, 2, -(2**63))]
+
+
+def test_queries_from_elsewhere(spark):
+    """Queries that are no rows of the table have all their answers, and ids may be shared by rows."""
+    rng = random.Random(3)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(5)]) for k in range(200)]
+    others = [(1000 + k // 2, [rng.gauss(0, 3) for _ in range(5)]) for k in range(30)]
+    make = lambda r: spark.createDataFrame(r, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in kdtree.top_k(make(rows), make(others), k=4, shard_rows=40, leaf_rows=5, block_rows=7).collect())
+    floor = lambda v: np.floor(256 * np.array(v))
+    want = []
+    for i, q in others:
+        best = sorted((-int(floor(q) @ floor(v)), j) for j, v in rows)[:4]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert got == sorted(want)
 
 
 def test_boxes_bound_all_products():
     rng = np.random.default_rng(0)
     points = np.floor(rng.standard_normal((500, 8)) * 100)
-    order, leaves = kdtree.build_tree(points, 16)
-    assert sorted(order.tolist()) == list(range(500)) and max(np.diff(leaves)) <= 16
-    p = points[order]
-    low, high = np.minimum.reduceat(p, leaves[:-1]), np.maximum.reduceat(p, leaves[:-1])
-    q = points[:20]
-    bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
-    best = np.maximum.reduceat(q @ p.T, leaves[:-1], axis=1)
-    assert (bound >= best).all()
+    order, nodes, low, high = kdtree.build_tree(points, 16)
+    leaves = nodes[nodes[:, 2] < 0]
+    assert sorted(order.tolist()) == list(range(500)) and (leaves[:, 1] - leaves[:, 0]).max() <= 16 and (leaves[:, 1] - leaves[:, 0]).sum() == 500
+    p, q = points[order], points[:20]
+    for (begin, end, child), lo, hi in zip(nodes, low, high):
+        assert (p[begin:end].min(axis=0) == lo).all() and (p[begin:end].max(axis=0) == hi).all()
+        assert ((np.maximum(q, 0) @ hi + np.minimum(q, 0) @ lo) >= (q @ p[begin:end].T).max(axis=1)).all()
+        assert child < 0 or (nodes[child][0] == begin and nodes[child][1] == nodes[child + 1][0] and nodes[child + 1][1] == end)
+
+
+def test_walks_skip_leaves():
+    """A query far out on one side doesn't score the leaves on the other."""
+    rng = np.random.default_rng(1)
+    points = np.floor(rng.standard_normal((4096, 2)) * 100)
+    order, nodes, low, high = kdtree.build_tree(points, 32)
+
+    class Counting(np.ndarray):
+        read = 0
+
+        def __getitem__(self, key):
+            if isinstance(key, slice):
+                Counting.read += key.stop - key.start
+            return super().__getitem__(key)
+
+    best = kdtree.Best(np.full(1, -np.inf), 5)
+    q = np.array([[50.0, 3.0]])
+    kdtree.search_shard(order, points[order].view(Counting), nodes, low, high, np.array([-1]), q, best)
+    assert Counting.read < 400 and sorted(best.score.tolist()) == sorted((points @ q[0]).tolist())[-5:]
 
 
 @pytest.mark.parametrize("module", [kdtree, warc])
