@@ -205,3 +205,61 @@ def test_uncommitted_files_are_ignored(spark, tmp_path):
     empty = f"file://{tmp_path}/e"
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), empty)
     assert warc.read_archives(spark, empty).count() == 0
+
+
+def foreign(version, kind, headers, block):
+    lines = [f"WARC/{version}", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{kind}-{len(block)}>", "WARC-Date: 2020-01-01T00:00:00Z", *headers, f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_origin(spark, tmp_path):
+    """Hand-written files of both versions: base32 digests, none, chunks, codings, other types, compressed files."""
+    import base64
+    import gzip
+
+    html = b"<html>caf\xc3\xa9</html>" * 90
+    sha = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    http = lambda body, *extra: b"\r\n".join([b"HTTP/1.1 200 OK", b"Content-Type: text/html", *extra]) + b"\r\n\r\n" + body
+    resp = "Content-Type: application/http; msgtype=response"
+    chunked = b"%x\r\n" % 100 + html[:100] + b"\r\n%x;x=1\r\n" % (len(html) - 100) + html[100:] + b"\r\n0\r\n\r\n"
+    coded = gzip.compress(html)
+    old = [
+        foreign("1.0", "warcinfo", ["Content-Type: application/warc-fields"], b"software: x\r\n"),
+        foreign("1.0", "request", ["WARC-Target-URI: http://a/", "Content-Type: application/http; msgtype=request"], b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"),
+        foreign("1.0", "response", ["WARC-Target-URI: http://a/", f"WARC-Payload-Digest: sha1:{sha(html)}", resp], http(html)),
+        foreign("1.0", "response", ["WARC-Target-URI: http://b/", resp], http(chunked, b"Transfer-Encoding: chunked")),
+    ]
+    new = [
+        foreign("1.1", "response", ["WARC-Target-URI: http://c/", f"WARC-Payload-Digest: sha1:{sha(coded)}", resp], http(coded, b"Content-Encoding: gzip")),
+        foreign("1.1", "resource", ["WARC-Target-URI: http://d/", "Content-Type: text/plain", f"WARC-Payload-Digest: sha-256:{hashlib.sha256(b'text').hexdigest()}"], b"text"),
+        foreign("1.1", "conversion", ["WARC-Target-URI: http://e/", "Content-Type: text/plain"], b"converted"),
+        foreign("1.1", "revisit", ["WARC-Target-URI: http://f/", "WARC-Refers-To: <urn:uuid:x>", resp], http(b"")),
+    ]
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "old.warc").write_bytes(b"".join(old))
+    (tmp_path / "f" / "members.warc.gz").write_bytes(b"".join(map(gzip.compress, new)))
+    (tmp_path / "f" / "other.txt").write_bytes(b"no archive")
+    path = f"file://{tmp_path}/f"
+    got = {(r.record_type, r.target_uri): r for r in warc.read_archives(spark, path).collect()}
+    assert len(got) == 8
+    for uri in ("http://a/", "http://b/", "http://c/"):
+        assert bytes(got["response", uri].payload) == html
+    assert got["response", "http://a/"].payload_digest == hashlib.sha1(html).hexdigest() and got["response", "http://b/"].payload_digest is None
+    assert bytes(got["resource", "http://d/"].payload) == b"text" and bytes(got["conversion", "http://e/"].payload) == b"converted"
+    assert got["revisit", "http://f/"].payload is None and got["revisit", "http://f/"].refers_to_urn == "<urn:uuid:x>"
+    assert warc.read_archives(spark, path).where("target_uri = 'http://c/'").count() == 1
+    (tmp_path / "whole.warc.gz").write_bytes(gzip.compress(b"".join(old)))
+    assert warc.read_archives(spark, f"file://{tmp_path}/whole.warc.gz").where("record_type = 'response'").count() == 2
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.warc").write_bytes(old[2].replace(b"caf", b"cat", 1))
+    with pytest.raises(Exception, match="damaged payload"):
+        warc.read_archives(spark, f"file://{tmp_path}/bad").collect()
+
+
+def test_revisits_name_their_response(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    warc.write_archives(spark.createDataFrame([(k, f"u{k}", "z" * 2000) for k in range(4)], "page_id long, url string, html string"), path)
+    rows = warc.read_archives(spark, path).where("record_type <> 'warcinfo'").collect()
+    by_type = {t: [r for r in rows if r.record_type == t] for t in ("response", "revisit")}
+    assert len(by_type["revisit"]) == 3 and {r.refers_to_urn for r in by_type["revisit"]} == {by_type["response"][0].record_urn}
+    assert len({r.record_urn for r in rows}) == 4
