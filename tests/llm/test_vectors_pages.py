@@ -4,6 +4,8 @@ import hashlib
 import html as H
 import random
 import re
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -114,7 +116,7 @@ def test_article_text(spark):
     pages = {r.page_id: r for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
     rows = html_blocks.op7_block_labeller(spark, "/root/testdata/sf0.01").collect()
     assert len(rows) == len(pages)
-    assert sum(r.text != truth(pages[r.page_id].html) for r in rows) <= 2
+    assert sum(r.text != truth(pages[r.page_id].html) for r in rows) == 0
     assert all(r.n_chars == len(r.text) and r.url == pages[r.page_id].url for r in rows)
 
 
@@ -127,7 +129,55 @@ def test_invented_pages(spark):
         assert len(blocks) == len(labels)
         found = html_blocks.label(*html_blocks.padded([html_blocks.vectors(blocks)]), html_blocks.trained(spark))[0] >= 0.5
         right, total = right + (found == np.array(labels)).sum(), total + len(labels)
-    assert right / total > 0.98
+    assert right / total > 0.97
+
+
+_ENGLISH = "the river rose again last night and several families left their homes before the water reached the lower road while volunteers carried sand from an old quarry to close the gap".split()
+
+
+def prose(n, shift=0):
+    words = [_ENGLISH[(k * 7 + shift) % len(_ENGLISH)] for k in range(n)]
+    for k in range(0, n, 12):
+        words[k] = words[k].capitalize()
+        words[k - 1] += "."
+    return " ".join(words)
+
+
+def layouts():
+    """Pages of layouts that the generator doesn't make, and their articles."""
+    p = lambda *sizes: [prose(n, k) for k, n in enumerate(sizes)]
+    paragraphs = lambda texts: "".join(f"<p>{t}</p>" for t in texts)
+    a = p(40, 55, 33, 61)
+    yield f"<html><body><div class='topnav'><a href=/>Home</a> <a href=/n>News</a></div><div class='story'><h1>Floods return</h1>{paragraphs(a)}</div><div class='foot'>&copy; 2020 Example Inc. All rights reserved</div></body></html>", ["Floods return", *a]
+    a = p(45, 38, 52)
+    yield f"<table><tr><td><a href=/>Home</a><br><a href=/b>About us</a></td><td><h2>Big news today</h2>{paragraphs(a)}</td></tr></table><hr><font size=1>Copyright 1999</font>", ["Big news today", *a]
+    yield f"<html><head><title>T</title></head><body><h1>Head of it</h1>{paragraphs(a)}</body></html>", ["Head of it", *a]
+    a = p(50, 44, 70)
+    yield "<body><div><div><a href=a>One</a></div><div><a href=b>Two</a></div></div><div>" + "".join(f"<div>{t}</div>" for t in a) + "</div><div>Contact | Terms | Privacy</div></body>", a
+    a = p(60, 48, 25, 66)
+    yield f"<ul class='x1'><li><a href=a>Start</a><li><a href=b>Shop</a></ul><section class='longform zz'><h1>Topic of the day</h1><p>{a[0]}</p><h2>Second part</h2><p>{a[1]}</p><blockquote>{a[2]}</blockquote><p>{a[3]}</p></section><div class='legal'><p>&copy; Firm</p></div>", ["Topic of the day", a[0], "Second part", *a[1:]]
+    a = p(35, 90)
+    yield f"<body><main><header><a href=/>Site</a></header><div id='mw-text'>{paragraphs(a)}</div></main><nav><ul><li><a href=1>Edit</a></li><li><a href=2>History</a></li></ul></nav></body>", a
+
+
+def test_held_out_layouts(spark):
+    """By words, every page's article is mostly found, and it is never empty."""
+    w, scores = html_blocks.trained(spark), []
+    for page, article in layouts():
+        want, got = " ".join(article).split(), html_blocks.main_texts([page], w)[0].split()
+        shared = sum((Counter(want) & Counter(got)).values())
+        scores.append(2 * shared / (len(want) + len(got)))
+    print("word F1 of held-out layouts", [round(s, 2) for s in scores])
+    assert min(scores) > 0.4 and sum(scores) / len(scores) > 0.85
+
+
+@pytest.mark.parametrize("page", ["<div>a" * 20_000, "<a " * 60_000, '<a x=">"' * 30_000, "<div>" * 20_000 + "<option></option>" * 20_000, "<b>" * 20_000 + "<hr>" * 20_000, "<div>" * 20_000 + "</span></x>" * 20_000, "<!--" * 40_000, "<title>" * 30_000, "<textarea>x" * 20_000, '<a "' * 40_000 + ">x"])
+def test_reading_is_linear(page):
+    began = time.time()
+    blocks = html_blocks.leaf_blocks(page)
+    if blocks:
+        html_blocks.vectors(blocks)
+    assert time.time() - began < 8
 
 
 def test_gradients():
