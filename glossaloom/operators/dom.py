@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,53 +12,83 @@ from pyspark.sql import functions as F
 
 from glossaloom.functions import predicates as P
 from glossaloom.functions import text as T
-from glossaloom.operators.html import ATTRIBUTES, GLOBAL_CONTAINERS, Node, _rows, parse
-
-# What marks an element whose texts aren't content. Classes that end in - or _ are prefixes.
-EXCLUDED_TAGS = frozenset("script style noscript head code pre".split())
-EXCLUDED_CLASSES = frozenset("admin-bar screen-reader-text sr-only skip-link no-translate visually-hidden hidden invisible display-none debug dev-tools developer admin-only advertisement adsbygoogle page-numbers nav-links post-navigation clearfix clear spacer separator".split())
-EXCLUDED_PREFIXES = ("elementor", "vc_", "fusion-", "yoast", "rankmath", "seo-", "cookie-", "gdpr-", "analytics-", "tracking-", "pixel-", "social-", "share-", "sharing-", "ad-", "adsense-", "banner-", "promo-", "breadcrumb-", "pagination-")
-EXCLUDED_IDS = frozenset("adminbar cookie-notice cookie-banner google-analytics gtag facebook-pixel debug-bar query-monitor".split())
+from glossaloom.operators.html import ATTRIBUTES, Node, _rows, parse
+
+# What marks an element whose texts aren't content. A class is excluded if it holds one of the words.
+EXCLUDED_TAGS = ("script", "style", "noscript", "head", "meta", "link")
+EXCLUDED_CLASSES = (
+    "admin-bar", "wp-admin", "screen-reader-text", "sr-only", "skip-link", "no-translate",
+    "visually-hidden", "hidden", "invisible", "display-none",
+    "debug", "dev-tools", "developer", "admin-only",
+    "elementor", "vc_", "fusion-", "et_pb_", "fl-", "beaver-", "oxygen-", "divi-", "gutenberg-",
+    "yoast", "rankmath", "seo-", "cookie-", "gdpr-", "analytics-", "tracking-", "pixel-",
+    "social-", "share-", "sharing-", "addtoany-", "facebook-", "twitter-", "instagram-",
+    "advertisement", "ad-", "adsense-", "adsbygoogle", "banner-", "promo-",
+    "breadcrumb-", "pagination-", "page-numbers", "nav-links", "post-navigation",
+    "clearfix", "clear", "spacer", "separator",
+)
+EXCLUDED_CLASS_PATTERN = r"^wp-|^admin-|-admin$|^hidden-|-hidden$|^no-|-debug$|^dev-"
+EXCLUDED_IDS = ("wpadminbar", "wp-admin", "adminbar", "cookie-notice", "cookie-banner", "google-analytics", "gtag", "facebook-pixel", "debug-bar", "query-monitor")
 EXCLUDED_ATTRIBUTES = ("data-no-translate", "data-skip-translation")
-EXCLUDED_ROLES = frozenset("navigation banner contentinfo search".split())
+#: Of ancestors only.
+EXCLUDED_ROLES = ("presentation", "none", "complementary")
+GLOBAL_TAGS = ("header", "footer", "nav")
+GLOBAL_IDS = ("masthead", "colophon", "header", "footer", "sidebar")
+GLOBAL_CLASSES = ("site-header", "site-footer", "sidebar", "widget-area", "navigation", "menu")
 NODE_CONTEXTS = {"title": "page_title", "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "p": "paragraph", "li": "list_item", "button": "button_text", "label": "form_label", "td": "table_cell", "th": "table_cell"}
 #: Class words of a shop's elements, by kind.
 COMMERCE = {"price": ("price", "amount"), "cart": ("add_to_cart_button", "cart", "checkout"), "product": ("product_title", "product-title"), "stock": ("stock", "availability"), "badge": ("onsale", "badge"), "message": ("woocommerce-message", "woocommerce-info", "woocommerce-error")}
-#: Levels of ancestors that can exclude a text.
-MOST_LEVELS = 8
+#: Levels of ancestors that can exclude a text, and that can place it in a global container; None: all.
+MOST_LEVELS, MOST_GLOBAL_LEVELS = 8, 50
 
 TEXT_NODES = "page_id long, pos int, kind string, context string, text string, in_global boolean, excluded boolean, style string"
 
 
+_EXCLUDED_CLASS = re.compile("|".join([*map(re.escape, EXCLUDED_CLASSES), EXCLUDED_CLASS_PATTERN]))
+
+
 def excluded_element(n: Node) -> bool:
-    """T7c for one element."""
-    own = (n.attrs.get("class") or "").lower().split()
+    """T7c for one element, without its role."""
     return (
         n.tag in EXCLUDED_TAGS
-        or any(c in EXCLUDED_CLASSES or c.startswith(EXCLUDED_PREFIXES) for c in own)
-        or (n.attrs.get("id") or "").lower() in EXCLUDED_IDS
+        or any(_EXCLUDED_CLASS.search(c) for c in (n.attrs.get("class") or "").split())
+        or n.attrs.get("id") in EXCLUDED_IDS
         or any(a in n.attrs for a in EXCLUDED_ATTRIBUTES)
         or n.attrs.get("translate") == "no"
         or n.attrs.get("aria-hidden") == "true"
-        or n.attrs.get("role", "").lower() in EXCLUDED_ROLES
     )
 
 
+def global_element(n: Node) -> bool:
+    """H21 for one element."""
+    own = n.attrs.get("id") or ""
+    return n.tag in GLOBAL_TAGS or own in GLOBAL_IDS or "header" in own or "footer" in own or any(c in GLOBAL_CLASSES for c in (n.attrs.get("class") or "").split())
+
+
+def _marks(n: Node) -> tuple:
+    """How many levels up the next excluding element, the next global one and the next style are, and that style.
+
+    Nodes come parents first, so each looks at its parent only. Beyond MOST_LEVELS nothing excludes.
+    """
+    up = n.parent.marks if n.parent is not None and n.parent.marks else (math.inf, math.inf, math.inf, "")
+    style = n.attrs.get("style", "")
+    return (0 if excluded_element(n) else up[0] + 1, 0 if global_element(n) else up[1] + 1, 0 if style else up[2] + 1, style or up[3])
+
+
 def _nodes(html: str | None) -> Iterator[tuple]:
+    far, far_global = (math.inf if m is None else m for m in (MOST_LEVELS, MOST_GLOBAL_LEVELS))
     for pos, n in enumerate(parse(html).walk()):
+        marks = _marks(n)
+        # a role excludes what is below its element, not the texts that are right in it
+        n.marks = (0 if n.attrs.get("role") in EXCLUDED_ROLES else marks[0], *marks[1:])
         texts = [("text", NODE_CONTEXTS.get(n.tag, "text_node"), " ".join(c.split())) for c in n.children if isinstance(c, str) and c.strip()]
         texts += [("attribute", f"attribute_{a}", n.attrs[a].strip()) for a in ATTRIBUTES if n.attrs.get(a, "").strip()]
         if not texts or n.tag in ("script", "style", "noscript"):
             continue
-        up, level, inside, excluded, style = n, 0, False, False, ""
-        while up is not None:
-            inside |= up.tag in GLOBAL_CONTAINERS
-            if level < MOST_LEVELS:
-                excluded |= excluded_element(up)
-                style = style or up.attrs.get("style", "")
-            up, level = up.parent, level + 1
+        excluded = marks[0] <= far
         for kind, context, text in texts:
-            yield pos, kind, context, text, inside, excluded, style or None
+            inside = marks[1] < far_global if kind == "text" else n.parent is not None and bool(n.parent.marks) and n.parent.marks[1] < far_global
+            yield pos, kind, context, text, inside, excluded, (marks[3] if marks[2] <= far else "") or None
 
 
 def text_nodes(pages: DataFrame) -> DataFrame:

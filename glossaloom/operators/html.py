@@ -7,12 +7,13 @@ lookup of translations, which is a join. Positions come from the parser; nothing
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
 from html import escape, unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,28 +22,44 @@ from glossaloom.functions import text as T
 from glossaloom.operators.memory import best_per_key
 
 # What tags and attributes mean to the extractor.
-BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li td th blockquote figcaption dt dd".split())
-CONTAINERS = BLOCKS | frozenset("div section article main aside header footer nav ul ol table tr form dl body html head".split())
-INLINE = frozenset("span a strong em b i small label u mark sub sup time abbr".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-OPAQUE = frozenset("script style noscript code pre svg template".split())
-ATTRIBUTES = ("alt", "title", "placeholder", "aria-label", "aria-description", "data-title", "data-text", "data-label", "data-placeholder", "data-tooltip", "data-caption")
-COMMERCE_ATTRIBUTES = ("data-product_id", "data-product_sku", "data-variation_id", "data-product_variations", "data-price", "data-sku", "data-cart_item_key", "data-quantity", "data-product-id")
-META = ("description", "keywords", "og:title", "og:description", "twitter:title", "twitter:description")
-NO_TRANSLATE_CLASSES = frozenset("notranslate no-translate skip-translate language-switcher language-selector lang-switcher".split())
-GLOBAL_CONTAINERS = frozenset("header footer nav aside".split())
+#: Elements that are content blocks if no child of theirs is in PARTS.
+BLOCKS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "div", "li", "td", "th", "blockquote", "figcaption")
+PARTS = ("div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "table", "tr", "td", "th", "section", "article", "header", "footer", "nav", "aside", "blockquote", "form")
+#: Inside these, inline elements aren't items of their own.
+TEXT_BLOCKS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "blockquote", "figcaption", "dt", "dd", "caption", "label")
+CONTAINERS = frozenset((*PARTS, "figcaption", "main", "dl", "dt", "dd", "body", "html", "head"))
+#: Tags that stay in a block's inner HTML, elements that are items of inline text, and children of mixed blocks that are.
+INLINE = ("br", "span", "strong", "b", "em", "i", "u", "a", "small", "mark", "del", "ins", "sub", "sup", "code")
+TEXT_ELEMENTS = ("span", "a", "strong", "b", "em", "i", "small", "mark", "del", "ins", "code", "kbd", "samp", "var")
+MIXED_CHILDREN = ("span", "strong", "b", "em", "i", "u", "a", "small", "mark", "del", "ins", "sub", "sup")
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+OPAQUE = ("script", "style", "noscript", "code", "pre", "svg", "template")
+#: Attributes with readable text, and the only elements where they count (any, if none are named).
+ATTRIBUTES = {"alt": ("img", "area"), "title": (), "placeholder": ("input", "textarea"), "aria-label": (), "aria-describedby": (), "aria-labelledby": (), "data-title": (), "data-original-title": (), "data-tooltip": (), "data-hint": (), "data-placeholder": ()}
+COMMERCE_ATTRIBUTES = ("data-product_variations", "data-product", "data-product_id", "data-variation", "data-attributes", "data-product-attributes", "data-availability_html", "data-quantity", "data-price_html")
+META = ("description", "og:title", "og:description", "og:site_name", "twitter:title", "twitter:description")
+#: What isn't translated, besides OPAQUE and head.
+NO_TRANSLATE_IDS = ("wpadminbar",)
+NO_TRANSLATE_CLASSES = ("notranslate", "screen-reader-text", "wp-block-code", "create-nav-msg")
+NO_TRANSLATE_ATTRIBUTE = "data-no-translation"
+BREADCRUMBS = ("woocommerce-breadcrumb", "wd-breadcrumbs", "breadcrumb")
+BREADCRUMB_LABEL = "Breadcrumb"
 CLOSES = {"p": CONTAINERS - {"body", "html", "head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 STOPS = {"li": {"ul", "ol"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "p": {"td", "th", "div", "section", "article", "body"}}
 GROUPS = {"content_block": "content_blocks", "breadcrumb": "page_strings", "inline_text": "page_strings", "bare_text": "page_strings", "form": "page_strings", "attribute": "attributes", "media": "media", "meta": "seo_fields", "title": "seo_fields"}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "skip")
+    """skip: not translated; in_head, in_text: below head, below one of TEXT_BLOCKS."""
 
-    def __init__(self, tag: str, attrs: dict, parent: "Node | None"):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
-        own = tag in OPAQUE or attrs.get("translate") == "no" or "data-no-translate" in attrs or bool(NO_TRANSLATE_CLASSES & set((attrs.get("class") or "").lower().split()))
+    __slots__ = ("tag", "attrs", "parent", "children", "skip", "in_head", "in_text", "marks")
+
+    def __init__(self, tag: str, attrs: dict, parent: "Node | None", classes: tuple[str, ...] = NO_TRANSLATE_CLASSES):
+        self.tag, self.attrs, self.parent, self.children, self.marks = tag, attrs, parent, [], None
+        own = tag in OPAQUE or attrs.get("translate") == "no" or NO_TRANSLATE_ATTRIBUTE in attrs or attrs.get("id") in NO_TRANSLATE_IDS or bool(attrs.get("class") and set(classes) & set(attrs["class"].split()))
         self.skip = own or bool(parent and parent.skip)
+        self.in_head = bool(parent and (parent.in_head or parent.tag == "head"))
+        self.in_text = bool(parent and (parent.in_text or parent.tag in TEXT_BLOCKS))
 
     def walk(self) -> Iterator["Node"]:
         stack = [self]
@@ -82,14 +99,31 @@ class Node:
         return " ".join("".join(out).split())
 
     def has_block(self) -> bool:
-        return any(n is not self and n.tag in CONTAINERS for n in self.walk())
+        return any(isinstance(n, Node) and n.tag in PARTS for n in self.children)
+
+
+class _Lenient(HTMLParser):
+    """A declaration that the parser can't make out ends at the next >, as a comment does."""
 
+    def parse_html_declaration(self, i):
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:
+            end = self.rawdata.find(">", i)
+            if end >= 0:
+                self.unread(self.rawdata[i : end + 1])
+            return end + 1 if end >= 0 else -1
 
-class Tree(HTMLParser):
-    """A page as nodes; tags that HTML lets out are closed."""
+    def unread(self, raw: str) -> None:
+        """What was stepped over."""
 
-    def __init__(self):
+
+class Tree(_Lenient):
+    """A page as nodes; tags that HTML lets out are closed. More classes of elements that aren't translated may be given."""
+
+    def __init__(self, no_translate: tuple[str, ...] = ()):
         super().__init__(convert_charrefs=True)
+        self.classes = (*NO_TRANSLATE_CLASSES, *no_translate)
         self.root = self.at = Node("#", {}, None)
 
     def handle_starttag(self, tag, attrs):
@@ -100,7 +134,7 @@ class Tree(HTMLParser):
                     n = n.parent
                 if n.tag == open_tag and n.parent:
                     self.at = n.parent
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.at, self.classes)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -121,58 +155,60 @@ class Tree(HTMLParser):
         self.at.children.append(data)
 
 
-def parse(html: str | None) -> Node:
-    tree = Tree()
-    try:
-        tree.feed(html or "")
-        tree.close()
-    except AssertionError:  # a declaration that the parser can't make out ends the page
-        pass
+def parse(html: str | None, no_translate: tuple[str, ...] = ()) -> Node:
+    tree = Tree(no_translate)
+    tree.feed(html or "")
+    tree.close()
     return tree.root
 
 
-def _has_class(n: Node, word: str) -> bool:
-    return word in (n.attrs.get("class") or "").lower()
+def _is_breadcrumb(n: Node) -> bool:
+    own = (n.attrs.get("class") or "").split()
+    return any(c in own for c in BREADCRUMBS) or n.tag == "nav" and n.attrs.get("aria-label") == BREADCRUMB_LABEL
 
 
 def page_items(html: str | None) -> Iterator[tuple]:
     """(pass_no, pos, type, context, attribute, original) of a page, in passes as an editor shows them."""
-    nodes = [n for n in parse(html).walk() if not n.skip]
-    inside_block: set[int] = set()
-    for pos, n in enumerate(nodes):  # 1: breadcrumbs
-        if _has_class(n, "breadcrumb"):
-            for x in n.walk():
-                if x.tag in ("a", "span", "li") and not any(isinstance(c, Node) for c in x.children) and x.text():
-                    yield 1, pos, "breadcrumb", "breadcrumb", None, x.text()
-    for pos, n in enumerate(nodes):  # 2: blocks without blocks
+    every = list(parse(html).walk())
+    nodes = [(pos, n) for pos, n in enumerate(every) if not n.skip and not n.in_head and n.tag != "head"]
+    crumbs: set[int] = set()
+    for pos, n in nodes:  # 1: links and spans of breadcrumbs
+        if _is_breadcrumb(n) or id(n.parent) in crumbs:
+            crumbs.add(id(n))
+            if n.tag in ("a", "span") and not _is_breadcrumb(n) and not n.has_block() and n.text():
+                yield 1, pos, "breadcrumb", "breadcrumb", None, n.text()
+    for pos, n in nodes:  # 2: blocks without blocks
         if n.tag in BLOCKS and not n.has_block() and n.text():
-            inside_block |= {id(x) for x in n.walk()}
-            yield 2, pos, "content_block", "heading" if n.tag[0] == "h" else "paragraph" if n.tag == "p" else n.tag, None, n.inner()
-    for pos, n in enumerate(nodes):  # 3: inline text outside blocks
-        if n.tag in INLINE and id(n) not in inside_block and not any(isinstance(c, Node) for c in n.children) and n.text():
+            yield 2, pos, "content_block", "heading" if n.tag in ("h1", "h2", "h3", "h4", "h5", "h6") else "paragraph" if n.tag == "p" else n.tag, None, n.inner()
+    for pos, n in nodes:  # 3: inline text outside blocks of text
+        if n.tag in TEXT_ELEMENTS and not n.in_text and not n.has_block() and n.text():
             yield 3, pos, "inline_text", n.tag, None, n.text()
-    for pos, n in enumerate(nodes):  # 4: bare text beside elements
-        if n.tag in CONTAINERS and id(n) not in inside_block and n.tag not in ("head", "html"):
+    for pos, n in nodes:  # 4: bare text beside blocks, and inline children of blocks that hold text as well
+        if n.tag in CONTAINERS and n.tag != "html" and (n.tag not in BLOCKS or n.has_block()):
             for c in n.children:
                 if isinstance(c, str) and c.strip():
                     yield 4, pos, "bare_text", n.tag, None, " ".join(c.split())
-    for pos, n in enumerate(nodes):  # 5: media
+        elif n.tag in BLOCKS and any(isinstance(c, str) and c.strip() for c in n.children):
+            for c in n.children:
+                if isinstance(c, Node) and c.tag in MIXED_CHILDREN and c.text():
+                    yield 4, pos, "bare_text", c.tag, None, c.text()
+    for pos, n in nodes:  # 5: media
         if n.tag == "img":
             for a in ("src", "alt", "title"):
                 if n.attrs.get(a):
                     yield 5, pos, "media", n.attrs.get("src") or "", a, n.attrs[a]
-    for pos, n in enumerate(nodes):  # 6: attributes
+    for pos, n in nodes:  # 6: attributes
         if n.tag != "img" and not any(a in n.attrs for a in COMMERCE_ATTRIBUTES):
-            for a in ATTRIBUTES:
-                if len((n.attrs.get(a) or "").encode()) > 2:
+            for a, tags in ATTRIBUTES.items():
+                if (not tags or n.tag in tags) and len((n.attrs.get(a) or "").strip().encode()) > 2:
                     yield 6, pos, "attribute", f"attribute_{a}", a, n.attrs[a].strip()
-    for pos, n in enumerate(nodes):  # 7: form elements
+    for pos, n in nodes:  # 7: form elements
         if n.tag in ("button", "option", "label", "legend") and n.text():
             yield 7, pos, "form", n.tag, None, n.text()
         elif n.tag == "input" and n.attrs.get("type", "").lower() in ("submit", "button", "reset") and n.attrs.get("value"):
             yield 7, pos, "form", "button", "value", n.attrs["value"]
     seen: set[str] = set()
-    for pos, n in enumerate(nodes):  # 8: title and the first of each meta tag
+    for pos, n in enumerate(every):  # 8: title and the first of each meta tag
         if n.tag == "title" and "title" not in seen and n.text():
             seen.add("title")
             yield 8, pos, "title", "page_title", None, n.text()
@@ -199,11 +235,22 @@ def page_strings(html: str | None) -> Iterator[tuple]:
             yield pos, "html", n.inner()
 
 
+def _slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Up to 64 pages and so many bytes of html at a time, one page at least."""
+    begin = total = 0
+    for k, n in enumerate(pc.fill_null(pc.binary_length(batch.column("html")), 0).to_pylist()):
+        if k > begin and (k - begin == 64 or total + n > most):
+            yield batch.slice(begin, k - begin)
+            begin, total = k, 0
+        total += n
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def _rows(pages: DataFrame, each, schema: pa.Schema, ddl: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
+            for part in _slices(batch):
                 out = [(i, *row) for i, h in zip(part.column("page_id").to_pylist(), part.column("html").to_pylist()) for row in each(h)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
@@ -218,10 +265,15 @@ def strings_of(pages: DataFrame) -> DataFrame:
     return rows.groupBy("page_id", "kind", "text").agg(F.min("pos").alias("pos"))
 
 
+def raw_items(pages: DataFrame) -> DataFrame:
+    """All items of all passes, as they are found."""
+    schema = pa.schema([("page_id", pa.int64()), ("pass_no", pa.int32()), ("pos", pa.int32()), ("type", pa.string()), ("context", pa.string()), ("attribute", pa.string()), ("original", pa.string())])
+    return _rows(pages, page_items, schema, "page_id long, pass_no int, pos int, type string, context string, attribute string, original string")
+
+
 def items_of(pages: DataFrame) -> DataFrame:
     """Items that aren't technical, equal ones of passes 1 to 4 and 6 once, with their groups."""
-    schema = pa.schema([("page_id", pa.int64()), ("pass_no", pa.int32()), ("pos", pa.int32()), ("type", pa.string()), ("context", pa.string()), ("attribute", pa.string()), ("original", pa.string())])
-    rows = _rows(pages, page_items, schema, "page_id long, pass_no int, pos int, type string, context string, attribute string, original string")
+    rows = raw_items(pages)
     src = F.col("attribute") == "src"
     rows = rows.where((F.octet_length("original") >= 2) & (F.coalesce(src, F.lit(False)) | ~P.any_of(P.technical_item(F.col("original")))))
     once = F.col("pass_no").isin(1, 2, 3, 4, 6)
@@ -230,12 +282,16 @@ def items_of(pages: DataFrame) -> DataFrame:
     return first.unionByName(rows.where(~once)).withColumn("field_group", group[F.col("type")]).withColumn("src_hash", F.when(F.col("type") == "media", F.md5("context")))
 
 
-class Rewriter(HTMLParser):
+#: An attribute with a value in a start tag: what precedes the value, and the value as written.
+_ATTRIBUTE = re.compile(r"""(\s([^\s=>/"']+)\s*=\s*)("[^"]*"|'[^']*'|[^\s"'>]+)""")
+
+
+class Rewriter(_Lenient):
     """Writes a page again with its texts and attributes translated; everything else stays as it was written."""
 
     def __init__(self, words: dict[str, str], key):
         super().__init__(convert_charrefs=False)
-        self.words, self.key, self.out, self.text, self.stack = words, key, [], [], []
+        self.words, self.key, self.out, self.text, self.stack, self.ended = words, key, [], [], [], False
 
     def flush(self) -> None:
         if self.text:
@@ -248,22 +304,22 @@ class Rewriter(HTMLParser):
                 raw = head + escape(found, quote=False) + tail
             self.out.append(raw)
 
+    def attribute(self, m: re.Match, names) -> str:
+        if m[2].lower() in names:
+            value = m[3][1:-1] if m[3][0] in "\"'" else m[3]
+            found = self.words.get(self.key(unescape(value)))
+            if found is not None:
+                return f'{m[1]}"{escape(found)}"'
+        return m[0]
+
     def handle_starttag(self, tag, attrs):
         self.flush()
-        raw = self.get_starttag_text()
-        own = dict(attrs)
+        raw, own = self.get_starttag_text(), dict(attrs)
         skip = bool(self.stack and self.stack[-1][1]) or Node(tag, {k: v or "" for k, v in attrs}, None).skip
         if not skip:
-            names = ATTRIBUTES if tag != "meta" else ("content",) if (own.get("name") or own.get("property") or "").lower() in META else ()
-            for a in names:
-                found = self.words.get(self.key(own[a])) if own.get(a) else None
-                if found is not None:
-                    for quote in ('"', "'"):
-                        at = raw.lower().find(f"{a}={quote}")
-                        if at >= 0:
-                            begin = at + len(a) + 2
-                            raw = raw[:begin] + escape(found) + raw[raw.index(quote, begin) :]
-                            break
+            meta = (own.get("name") or own.get("property") or "").lower() in META
+            names = [a for a, tags in ATTRIBUTES.items() if not tags or tag in tags] if tag != "meta" else ["content"] * meta
+            raw = _ATTRIBUTE.sub(lambda m: self.attribute(m, names), raw)
         self.out.append(raw)
         if tag not in VOID:
             self.stack.append((tag, skip))
@@ -273,14 +329,25 @@ class Rewriter(HTMLParser):
         self.handle_starttag(tag, attrs)
         del self.stack[depth:]
 
+    def parse_endtag(self, i):
+        self.ended = False
+        end = super().parse_endtag(i)
+        if self.ended:
+            self.out.append(self.rawdata[i:end])
+        return end
+
     def handle_endtag(self, tag):
         self.flush()
-        self.out.append(f"</{tag}>")
+        self.ended = True
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
                 del self.stack[k:]
                 break
 
+    def unread(self, raw):
+        self.flush()
+        self.out.append(raw)
+
     def handle_data(self, data):
         self.text.append(data)
 
@@ -316,11 +383,8 @@ def rewrite(html: str | None, words: dict[str, str]) -> str | None:
     if not html or not words:
         return html
     r = Rewriter(words, lookup_key)
-    try:
-        r.feed(html)
-        r.close()
-    except AssertionError:
-        return html
+    r.feed(html)
+    r.close()
     r.flush()
     return "".join(r.out)
 
@@ -339,8 +403,8 @@ def localize(pages: DataFrame, tm: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                out = [(r["page_id"], rewrite(r["html"], dict(r["words"] or [])), r["n_strings"] or 0, r["n_translated"] or 0) for r in batch.slice(start, 64).to_pylist()]
+            for part in _slices(batch):
+                out = [(r["page_id"], rewrite(r["html"], dict(r["words"] or [])), r["n_strings"] or 0, r["n_translated"] or 0) for r in part.to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return joined.mapInArrow(run, "page_id long, html string, n_strings long, n_translated long")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossaloom.config import HUMAN_REVIEWED, MACHINE_TRANSLATED, EngineConfig
@@ -241,14 +241,18 @@ def repetitive(texts: DataFrame, most: int = 5) -> DataFrame:
     """T7d, W5: the sightings of a text after the first `most` ones, in order of (page_id, pos).
 
     A running count over a hot text would be one task. Each occurrence needs only to be compared with the `most`-th
-    smallest place of its text; those places are found by partial aggregates, then joined.
+    smallest place of its text; those places are found by rank within salted groups, then joined.
     """
-    rows = texts.withColumn("key", F.lower(T.trim(F.col("text")))).where("octet_length(key) >= 3").withColumn("place", F.struct("page_id", "pos"))
+    rows = texts.withColumn("key", F.lower(T.trim(F.col("text")))).where("octet_length(key) >= 3")
     frequent = rows.groupBy("key").count().where(F.col("count") > most).select("key")
     own = rows.join(frequent, "key", "left_semi")
-    salted = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "pos"), F.lit(64))).groupBy("key", "salt").agg(F.slice(F.array_sort(F.collect_list("place")), 1, most).alias("p"))
-    edge = salted.groupBy("key").agg(F.slice(F.array_sort(F.flatten(F.collect_list("p"))), 1, most)[most - 1].alias("edge"))
-    return own.join(edge, "key").where("place > edge").drop("place", "edge")
+    # the least places per salt first: a limit by rank keeps so many rows per group before the shuffle as well
+    place = [F.col("page_id"), F.col("pos")]
+    salted = own.select("key", "page_id", "pos", F.pmod(F.xxhash64("page_id", "pos"), F.lit(64)).alias("salt"))
+    some = salted.withColumn("r", F.row_number().over(Window.partitionBy("key", "salt").orderBy(*place))).where(F.col("r") <= most)
+    edge = some.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(*place))).where(F.col("r") == most)
+    edge = edge.select("key", F.struct("page_id", "pos").alias("edge"))
+    return own.join(edge, "key").where(F.struct("page_id", "pos") > F.col("edge")).drop("edge")
 
 
 # Changes: each takes tables and returns the table after the change.

@@ -153,7 +153,7 @@ def test_empty_tables(spark):
 
 
 PAGE = """<!DOCTYPE html><html><head><title>The title</title><meta name="description" content="About us"><meta name="description" content="second"></head>
-<body><nav class="breadcrumbs"><a href="/">Home page</a></nav><div>Bare words<p>First <b>bold</b> text<p>Second one</div>
+<body><nav class="breadcrumb"><a href="/">Home page</a></nav><div>Bare words<p>First <b>bold</b> text<p>Second one</div>
 <div class="notranslate"><p>Keep me</p></div><span>Loose inline</span><img src="/a.png" alt="A picture"><input type="submit" value="Send it"><button title="Tip here">Press</button>
 <script>var x = "<p>no</p>";</script><ul><li>Item one<li>Item two</ul><p>First <b>bold</b> text</p></body></html>"""
 
@@ -167,6 +167,40 @@ def test_items(spark):
     assert {r.field_group for r in rows if r.type in ("title", "meta")} == {"seo_fields"}
 
 
+def test_selectors_of_items():
+    """A page per selector: what each makes of its text."""
+    found = lambda h: [(t, o) for _, _, t, _, _, o in H.page_items(h)]
+    for block in H.BLOCKS:
+        assert ("content_block", "xy") in found(f"<{block}>xy</{block}>"), block
+    for tag in H.TEXT_ELEMENTS:
+        assert tag == "code" and not found("<code>xy</code>") or ("inline_text", "xy") in found(f"<section><{tag}>xy</{tag}></section>"), tag
+    for none in ("<p id='wpadminbar'>xy</p>", "<code>xy</code>", "<pre>xy</pre>", "<p data-no-translation>xy</p>", "<p translate='no'>xy</p>", *(f"<p class='a {c}'>xy</p>" for c in H.NO_TRANSLATE_CLASSES), "<head><p>xy</p></head>"):
+        assert not [o for t, o in found(none) if o == "xy"], none
+    for a, tags in H.ATTRIBUTES.items():
+        assert ("attribute", "xyz") in found(f"<{(tags or ('i',))[-1]} {a}='xyz'>") and (not tags or not found(f"<i {a}='xyz'>")), a
+        assert not found(f"<{(tags or ('i',))[-1]} {a}='xy'>"), a
+    for a in H.COMMERCE_ATTRIBUTES:
+        assert not found(f"<i title='xyz' {a}='1'>"), a
+    for name in H.META:
+        assert ("meta", "xyz") in found(f"<head><meta {'property' if ':' in name else 'name'}='{name}' content='xyz'></head>"), name
+    for c in H.BREADCRUMBS:
+        assert ("breadcrumb", "xy") in found(f"<div class='{c}'><a>xy</a></div>") and ("breadcrumb", "xy") in found(f"<div class='{c}'><i><span>xy</span></i></div>")
+    assert ("breadcrumb", "xy") in found("<nav aria-label='Breadcrumb'><a>xy</a></nav>")
+    assert found("<h1>Text<br><span class='h'>more text</span></h1>") == [("content_block", "Text<br /><span>more text</span>"), ("bare_text", "more text")]
+
+
+def test_declarations_are_stepped_over():
+    assert [o for *_, o in H.page_items("<p>one</p><![x y><p>two</p><![if !IE]><p>three</p>")] == ["one", "two", "three"]
+    assert H.rewrite("<p>one</p><![x y><P>two</P>", {"two": "zwei"}) == "<p>one</p><![x y><P>zwei</P>"
+
+
+def test_rewrite_names_whole_attributes():
+    words = {"Bar": "BAR!", "x y": "z"}
+    assert H.rewrite('<a data-x-title="Bar" title="Bar">', words) == '<a data-x-title="Bar" title="BAR!">'
+    assert H.rewrite("<a Title=Bar>t</A >", words) == '<a Title="BAR!">t</A >'
+    assert H.rewrite("<img alt='x  y' title = 'Bar'>", words) == '<img alt="z" title = "BAR!">'
+
+
 def test_rewrite(spark):
     words = {"The title": "Der Titel", "Second one": "Zweite & mehr", "A picture": "Ein \"Bild\"", "Keep me": "NO", "Item one": "Eins", "About us": "Über uns"}
     out = H.rewrite(PAGE, words)
