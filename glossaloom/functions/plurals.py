@@ -94,7 +94,8 @@ class _Parser:
             op = self.tokens.pop(0)
             right = self.level(k + 1)
             join = self.truth if k < 2 else self.number
-            left = f"({join(left)} {self.SQL.get(op, op)} {join(right)})", k < 4
+            whole = f"({join(left)} {self.SQL.get(op, op)} {join(right)})"
+            left = f"CAST(FLOOR{whole} AS BIGINT)" if op == "/" else whole, k < 4  # C divides integers
         return left
 
     def unary(self) -> tuple[str, bool]:
@@ -169,7 +170,8 @@ class _Builder(_Parser):
             op = self.tokens.pop(0)
             right = self.level(k + 1)
             join = self.truth if k < 2 else self.number
-            left = getattr(join(left), self.OPS[op])(join(right)), k < 4
+            whole = getattr(join(left), self.OPS[op])(join(right))
+            left = F.floor(whole).cast("long") if op == "/" else whole, k < 4
         return left
 
     def unary(self):

@@ -636,13 +636,30 @@ def page_cache_keys(spark, sf):
 _PLURAL_LANGS = ("en", "fr", "ru", "uk", "pl", "cs", "sl", "ga", "gd", "br", "ar", "ja", "tr", "sr")
 
 
-@query("plural_index_grid", " UNION ALL ".join(f"SELECT '{x}' AS language_code, n, CAST({PL.form_sql(x)} AS INTEGER) AS form FROM (SELECT range AS n FROM range(0, 201))" for x in _PLURAL_LANGS))
+# Written by hand, apart from the rules that are under test: forms of n by language.
+_FORMS_SQL = """CASE
+WHEN language_code IN ('ja', 'tr') THEN 0
+WHEN language_code = 'fr' THEN CASE WHEN n > 1 THEN 1 ELSE 0 END
+WHEN language_code = 'en' THEN CASE WHEN n = 1 THEN 0 ELSE 1 END
+WHEN language_code IN ('ru', 'sr') THEN CASE WHEN n % 10 = 1 AND n % 100 <> 11 THEN 0 WHEN n % 10 BETWEEN 2 AND 4 AND n % 100 NOT BETWEEN 10 AND 19 THEN 1 ELSE 2 END
+WHEN language_code = 'uk' THEN CASE WHEN n % 10 = 1 AND n % 100 <> 11 THEN 0 WHEN n % 10 BETWEEN 2 AND 4 AND n % 100 NOT IN (12, 13, 14) THEN 1 ELSE 2 END
+WHEN language_code = 'pl' THEN CASE WHEN n = 1 THEN 0 WHEN n % 10 IN (2, 3, 4) AND n % 100 // 10 <> 1 THEN 1 ELSE 2 END
+WHEN language_code = 'cs' THEN CASE n WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE 2 END
+WHEN language_code = 'sl' THEN CASE n % 100 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 2 ELSE 3 END
+WHEN language_code = 'gd' THEN CASE WHEN n IN (1, 11) THEN 0 WHEN n IN (2, 12) THEN 1 WHEN n BETWEEN 3 AND 19 THEN 2 ELSE 3 END
+WHEN language_code = 'ga' THEN CASE WHEN n = 1 THEN 0 WHEN n = 2 THEN 1 WHEN n BETWEEN 3 AND 6 THEN 2 WHEN n BETWEEN 7 AND 10 THEN 3 ELSE 4 END
+WHEN language_code = 'br' THEN CASE WHEN n = 1 THEN 0 WHEN n = 2 THEN 1 WHEN n % 10 = 1 THEN 2 WHEN n % 10 = 2 THEN 3 ELSE 4 END
+WHEN language_code = 'ar' THEN CASE WHEN n IN (0, 1, 2) THEN n WHEN n % 100 BETWEEN 3 AND 10 THEN 3 WHEN n % 100 >= 11 THEN 4 ELSE 5 END END"""
+_LANGS_SQL = "(VALUES ('en', 2), ('fr', 2), ('ru', 3), ('uk', 3), ('pl', 3), ('cs', 3), ('sl', 4), ('ga', 5), ('gd', 4), ('br', 5), ('ar', 6), ('ja', 1), ('tr', 1), ('sr', 3)) v(language_code, nplurals)"
+
+
+@query("plural_index_grid", f"SELECT language_code, n, CAST({_FORMS_SQL} AS INTEGER) AS form FROM (SELECT range AS n FROM range(0, 201)), {_LANGS_SQL}")
 def plural_index_grid(spark, sf):
     grid = spark.range(201).select(F.col("id").alias("n"), F.explode(F.array(*[F.lit(x) for x in _PLURAL_LANGS])).alias("language_code"))
     return grid.select("language_code", "n", PL.form_for(F.col("language_code"), F.col("n"), _PLURAL_LANGS).alias("form"))
 
 
-@query("plural_counts", "SELECT * FROM (VALUES " + ", ".join(f"('{x}', CAST({PL.form_count(x)} AS INTEGER))" for x in _PLURAL_LANGS) + ") v(language_code, nplurals)")
+@query("plural_counts", f"SELECT language_code, CAST(nplurals AS INTEGER) AS nplurals FROM {_LANGS_SQL}")
 def plural_counts(spark, sf):
     return PL.rule_table(spark, _PLURAL_LANGS).select("language_code", "nplurals")
 
@@ -717,3 +734,6 @@ def stream_lookup(spark, sf):
     tm = _tm(spark, sf).where("language_code = 'de'").withColumn("translated_text", F.col("id").cast("string"))
     found = SL.run_available(spark, SL.lookup_stream(stream.select("conv_id", "turn", "text"), tm), "stream_lookup")
     return found.select("conv_id", "turn", F.md5("text").alias("text_hash"), F.col("translated_text").cast("long").alias("id"))
+
+
+from glossaloom.plans import single as _single  # noqa: E402, F401  registers its queries here

@@ -205,3 +205,8 @@ def test_plural_edges(spark):
     assert spark.range(1).select(PL.plural_form(F.lit(None).cast("int"), "en")).first()[0] == 1
     assert PL.expression_sql("n ??") == PL.expression_sql("n != 1")
     assert PL.form_count("th") == 1 and PL.form_count("ru") == 3 and PL.form_count("xx") == 2
+
+
+def test_division_of_plural_rules_is_of_integers(spark):
+    rows = spark.range(60).select("id", PL._built("n / 10 % 2", F.col("id")).alias("built"), F.expr(PL.expression_sql("n / 10 % 2", "id")).alias("sql")).collect()
+    assert all(r.built == r.sql == r.id // 10 % 2 for r in rows)
