@@ -19,7 +19,10 @@ from glossaloom.operators import stats as ST
 from glossaloom.plans.queries import CONFIG, LANGS, STRINGS_SQL, TM_SQL, _any_sql, _for_language_sql, _n3_sql, _q, _strings, _t, _tm, query
 from glossaloom.sources import catalogs as C
 
-LONG_POS = F.col("pos").cast("long").alias("pos")
+
+def _pos():
+    return F.col("pos").cast("long").alias("pos")
+
 
 # Lines with markup, references and odd blanks.
 
@@ -29,7 +32,7 @@ _DRESSED_SQL = STRINGS_SQL + ", dressed AS (SELECT doc_id, pos, text, CASE pos %
 def _dressed(spark, sf):
     t, k = F.col("text"), F.col("pos") % 4
     c = F.when(k == 0, F.concat(F.lit("<b>"), t, F.lit("</b><BR>&amp;quot; x"))).when(k == 1, F.concat(F.lit("\u00a0 "), t, F.lit("\u2003z&lt;i&gt;"))).when(k == 2, F.concat(F.lit("<BR/>  "), t, F.lit(" “q” – …"))).otherwise(t)
-    return _strings(spark, sf).select("doc_id", LONG_POS, "text", c.alias("c"))
+    return _strings(spark, sf).select("doc_id", _pos(), "text", c.alias("c"))
 
 
 def _decoded_sql(x: str) -> str:
@@ -74,7 +77,7 @@ SELECT doc_id, pos, CAST(len(terms) AS BIGINT) AS n, md5(array_to_string(terms,
 def search_terms(spark, sf):
     """N11."""
     q = F.when(F.col("pos") % 2 == 0, F.concat(F.lit('  "'), F.get(F.split("text", " "), F.lit(0)), F.lit(' x"  '), "text")).otherwise(F.col("text"))
-    rows = _strings(spark, sf).select("doc_id", LONG_POS, T.search_terms(q).alias("terms"))
+    rows = _strings(spark, sf).select("doc_id", _pos(), T.search_terms(q).alias("terms"))
     return rows.select("doc_id", "pos", F.size("terms").cast("long").alias("n"), F.md5(F.array_join("terms", "|")).alias("terms_hash"))
 
 
@@ -83,7 +86,7 @@ def carried_blanks(spark, sf):
     """The white space around the original surrounds the replacement."""
     k = F.col("pos") % 3
     original = F.when(k == 0, F.concat(F.lit("  &nbsp;"), "text", F.lit(" "))).when(k == 1, F.concat(F.lit("\u00a0"), "text", F.lit("&nbsp;&nbsp;"))).otherwise(F.col("text"))
-    return _strings(spark, sf).select("doc_id", LONG_POS, F.md5(T.carry_blanks(original, F.reverse("text"))).alias("carried"))
+    return _strings(spark, sf).select("doc_id", _pos(), F.md5(T.carry_blanks(original, F.reverse("text"))).alias("carried"))
 
 
 @query("filled_titles", f"WITH {STRINGS_SQL} SELECT doc_id, pos, md5(trim(regexp_replace(text || ' | ' || source, '\\s+', ' ', 'g'))) AS title, text AS name, text AS bare FROM strings")
@@ -91,7 +94,7 @@ def filled_titles(spark, sf):
     """Variables by their values, archive titles in two parts, leading numbers gone."""
     title = T.fill_variables(F.lit("%%title%% %%sep%% %%sitename%% %%unknown_one%%"), {"title": F.col("text"), "sep": F.lit("|"), "sitename": F.col("source")})
     name = T.archive_title(F.concat("source", F.lit(":  "), "text"))
-    return _strings(spark, sf).select("doc_id", LONG_POS, F.md5(title).alias("title"), name["name"].alias("name"), T.without_leading_number(F.concat("pos", F.lit(" "), "text")).alias("bare"))
+    return _strings(spark, sf).select("doc_id", _pos(), F.md5(title).alias("title"), name["name"].alias("name"), T.without_leading_number(F.concat("pos", F.lit(" "), "text")).alias("bare"))
 
 
 @query("catalog_domains", "SELECT doc_id, 'plug-' || source AS domain FROM documents")
@@ -114,7 +117,7 @@ def context_parts(spark, sf):
 SELECT doc_id, pos, lower(to_base(abs(h), 36)) AS h36 FROM h""")
 def string_hashes(spark, sf):
     """X17."""
-    return _strings(spark, sf).select("doc_id", LONG_POS, T.string_hash36(F.col("text")).alias("h36"))
+    return _strings(spark, sf).select("doc_id", _pos(), T.string_hash36(F.col("text")).alias("h36"))
 
 
 @query("ordered_replacements", f"WITH {STRINGS_SQL} SELECT doc_id, pos, md5(replace(replace(replace(text, 'th', 'TH'), 'TH', 'the'), 'e', '')) AS replaced, md5(regexp_replace(text, '(?i)the', '<i>the</i>', 'g')) AS anywhere, array_to_string(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[1:20], ' ') AS head FROM strings")
@@ -122,7 +125,7 @@ def ordered_replacements(spark, sf):
     """X8, X4 without its boundary rule, K7."""
     pairs = F.array(*[F.struct(F.lit(a).alias("frm"), F.lit(b).alias("to")) for a, b in (("th", "TH"), ("TH", "the"), ("e", ""))])
     c = F.col("text")
-    return _strings(spark, sf).select("doc_id", LONG_POS, F.md5(T.replace_in_order(c, pairs)).alias("replaced"), F.md5(MK.replace_ci(c, "the", "<i>the</i>", element_boundary=False)).alias("anywhere"), T.first_words(c).alias("head"))
+    return _strings(spark, sf).select("doc_id", _pos(), F.md5(T.replace_in_order(c, pairs)).alias("replaced"), F.md5(MK.replace_ci(c, "the", "<i>the</i>", element_boundary=False)).alias("anywhere"), T.first_words(c).alias("head"))
 
 
 @query("masked_pages", "SELECT page_id, CAST(len(regexp_extract_all(html, 'href=\"[^\"]*\"')) AS BIGINT) AS n_urls, CAST(len(regexp_extract_all(html, '(?s)<script.*?</script>|<style.*?</style>')) AS BIGINT) AS n_code, md5(regexp_replace(html, 'href=\"[^\"]*\"', chr(57344), 'g')) AS masked, true AS whole FROM pages")
@@ -146,7 +149,7 @@ def _coded(spark, sf):
     c = t
     for k, form in enumerate(forms):
         c = F.when(pos % 16 == k, form).otherwise(c)
-    return _strings(spark, sf).select("doc_id", LONG_POS, c.alias("c"))
+    return _strings(spark, sf).select("doc_id", _pos(), c.alias("c"))
 
 
 _JSON_SQL = "json_valid(c)"
@@ -220,7 +223,7 @@ def merged_maps(spark, sf):
 def equal_ignoring(spark, sf):
     """F11, F12."""
     c, first = F.col("text"), F.get(F.split("text", " "), F.lit(0))
-    return _strings(spark, sf).select("doc_id", LONG_POS, PR.equals_ignoring(c, F.lit("  The "), blanks=False).alias("never"), PR.equals_ignoring(c, F.concat(F.lit(" "), F.upper(first))).alias("one_word"))
+    return _strings(spark, sf).select("doc_id", _pos(), PR.equals_ignoring(c, F.lit("  The "), blanks=False).alias("never"), PR.equals_ignoring(c, F.concat(F.lit(" "), F.upper(first))).alias("one_word"))
 
 
 @query("bad_rows", f"WITH {_CODED_SQL} SELECT doc_id, pos FROM coded WHERE regexp_matches(c || CASE WHEN pos % 16 = 14 THEN ' function (x)' ELSE '' END, '(?i)<script|<style|\\{{\"|\"@context\"|BEGIN:VCALENDAR|<!\\[CDATA\\[|function\\s*\\(|wp-content/')")
@@ -266,7 +269,7 @@ def items_with_forms(spark, sf):
     """J8."""
     pos = F.expr("id div 4 % 1000000")
     rows = _tm(spark, sf).withColumn("plural_form", (pos % 3).cast("int")).groupBy("original_text", "language_code", "plural_form").agg(F.max(F.coalesce("translated_text", F.lit(""))).alias("translated_text"))
-    items = _strings(spark, sf).select("doc_id", LONG_POS, F.col("text").alias("original"), F.explode(F.array(F.lit("de"), F.lit("fr"))).alias("language_code"))
+    items = _strings(spark, sf).select("doc_id", _pos(), F.col("text").alias("original"), F.explode(F.array(F.lit("de"), F.lit("fr"))).alias("language_code"))
     return PR.attach_forms(items, ST.plural_maps(rows)).select("doc_id", "pos", "language_code", "n_forms")
 
 
@@ -346,7 +349,7 @@ def rewritten_srcsets(spark, sf):
 def link_texts(spark, sf):
     """The decoded texts of mail links."""
     href = F.concat(F.lit("mailto:a@b.example?subject="), F.url_encode("text"), F.lit("&cc=x&body=ok"))
-    rows = _strings(spark, sf).select("doc_id", LONG_POS, U.link_query_texts(href).alias("t"))
+    rows = _strings(spark, sf).select("doc_id", _pos(), U.link_query_texts(href).alias("t"))
     return rows.select("doc_id", "pos", F.md5(F.get("t", F.lit(0))).alias("subject_hash"), F.size("t").alias("n"))
 
 
