@@ -12,14 +12,15 @@ from tokenizers import Tokenizer
 pipeline = pytest.importorskip("corpus_pipeline")
 
 from glossaloom.llm import pii  # noqa: E402
+from tests.llm.test_minhash import brute as brute_similar  # noqa: E402
 from tests.llm.test_pii import brute  # noqa: E402
-from tests.llm.test_text_ops import brute_components, brute_leaks, slow_fingerprint  # noqa: E402
+from tests.llm.test_text_ops import brute_leaks  # noqa: E402
 
 
 def brute_pipeline(docs, items):
     """Texts by id that should reach packing."""
     kept = [(i, t) for i, t in docs if t and any(c.isalpha() for c in t)]
-    comp = brute_components([i for i, _ in kept], [slow_fingerprint(t) for _, t in kept])
+    comp = brute_similar(kept)
     kept = [(i, t) for i, t in dict(kept).items() if comp[i] == i]
     leaked = {i for i, _ in brute_leaks(kept, items)}
     out = {}
