@@ -223,7 +223,7 @@ def merged_maps(spark, sf):
 def equal_ignoring(spark, sf):
     """F11, F12."""
     c, first = F.col("text"), F.get(F.split("text", " "), F.lit(0))
-    return _strings(spark, sf).select("doc_id", _pos(), PR.equals_ignoring(c, F.lit("  The "), blanks=False).alias("never"), PR.equals_ignoring(c, F.concat(F.lit(" "), F.upper(first))).alias("one_word"))
+    return _strings(spark, sf).select("doc_id", _pos(), PR.equals_ignoring(c, F.lit("  The "), blanks=False).alias("never"), PR.equals_ignoring(c, F.concat(F.lit(" "), F.translate(first, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))).alias("one_word"))
 
 
 @query("bad_rows", f"WITH {_CODED_SQL} SELECT doc_id, pos FROM coded WHERE regexp_matches(c || CASE WHEN pos % 16 = 14 THEN ' function (x)' ELSE '' END, '(?i)<script|<style|\\{{\"|\"@context\"|BEGIN:VCALENDAR|<!\\[CDATA\\[|function\\s*\\(|wp-content/')")
