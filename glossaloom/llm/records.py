@@ -5,12 +5,13 @@ little-endian; checksum is zlib's CRC-32, rotated and offset so that a checksum
 Payload: flags (uint8: 1 = null id, 2 = ids of 4 bytes), id (int64), count (uint32), ids (2 or 4 bytes each).
 Index `<file>.idx`: for each record its offset and its size on disk (two uint64), so a reader can shuffle.
 
-Rows are range-partitioned and sorted by id, one file a partition. A task writes a file under a name of its own and
-returns a manifest row; the manifest is a table in the same folder and readers open only what it names, so the files of
-lost or repeated task attempts are never read.
+Rows are range-partitioned and sorted by id and a hash of the text, so rows of one id may fill several partitions. A
+task begins a new file whenever one has reached `file_bytes`; files have names of their own and a manifest row each. The
+manifest is a table in the same folder and readers open only what it names, so the files of lost or repeated task
+attempts are never read.
 
 Cases: a null text is empty and has its end id only; null ids come first; rows with one id are all written, side by
-side, in no fixed order among themselves; an empty table gives an empty manifest; other columns are not read.
+side, ordered by their texts' hashes; an empty table gives an empty manifest; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +31,13 @@ from pyspark.sql import functions as F
 from glossaloom.llm.common import fresh_dir, open_fs, slices, table
 from glossaloom.llm.tokens import encoder
 
-MANIFEST = "part long, file string, n_records long, n_ids long"
+MANIFEST = "part long, place long, file string, n_records long, n_ids long"
 #: Formats of struct: what precedes a payload, and what a payload begins with.
 _HEAD, _PAYLOAD, _PAYLOAD_SIZE = "<QI", "<BqI", 13
 #: Bytes that a reader asks for at once, unless one record is longer.
 BLOCK = 4 << 20
+#: A file that has so many bytes is followed by another.
+FILE_BYTES = 256 << 20
 
 
 def masked(data: bytes) -> int:
@@ -57,10 +61,33 @@ def unframe(data: memoryview) -> memoryview:
     return payload
 
 
-def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
+class _File:
+    """A file of records that is being written, with its index."""
+
+    def __init__(self, fs, folder: str, part: int):
+        self.fs, self.folder, self.name = fs, folder, f"part-{part:06d}-{uuid.uuid4().hex}.rec"
+        fs.create_dir(folder, recursive=True)
+        self.out = fs.open_output_stream(f"{folder}/{self.name}", buffer_size=BLOCK)
+        self.index, self.size, self.n_ids = array("Q"), 0, 0
+
+    def add(self, record: bytes, n_ids: int) -> None:
+        self.out.write(record)
+        self.index.extend((self.size, len(record)))
+        self.size += len(record)
+        self.n_ids += n_ids
+
+    def close(self) -> dict:
+        self.out.close()
+        with self.fs.open_output_stream(f"{self.folder}/{self.name}.idx") as idx:
+            idx.write(np.array(self.index, "<u8").tobytes())
+        return {"file": self.name, "n_records": len(self.index) // 2, "n_ids": self.n_ids}
+
+
+def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the files and their manifest under path; returns the manifest."""
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = pa.schema([("part", pa.int64()), ("place", pa.int64()), ("file", pa.string()), ("n_records", pa.int64()), ("n_ids", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
@@ -68,31 +95,24 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int,
         wide = enc.dtype.itemsize
         part = TaskContext.get().partitionId()
         fs, folder = open_fs(path)
-        name = f"part-{part:06d}-{uuid.uuid4().hex}.rec"
-        out, index, at, n_ids = None, [], 0, 0
+        file, written = None, []
         for batch in batches:
             for piece in slices(batch, "t"):
-                if out is None:
-                    fs.create_dir(folder, recursive=True)
-                    out = fs.open_output_stream(f"{folder}/{name}")
-                block = []
                 for i, ids in zip(piece.column("i").to_pylist(), enc.encode(piece.column("t").to_pylist())):
+                    file = file or _File(fs, folder, part)
                     count = len(ids) // wide + 1
-                    record = frame(struct.pack(_PAYLOAD, (i is None) | (wide == 4) << 1, i or 0, count) + ids + end)
-                    block.append(record)
-                    index.append((at, len(record)))
-                    at += len(record)
-                    n_ids += count
-                out.write(b"".join(block))
-        if out is not None:
-            out.close()
-            with fs.open_output_stream(f"{folder}/{name}.idx") as idx:
-                idx.write(np.array(index, "<u8").tobytes())
-            yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_records": [len(index)], "n_ids": [n_ids]}, schema=pa.schema([("part", pa.int64()), ("file", pa.string()), ("n_records", pa.int64()), ("n_ids", pa.int64())]))
-
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    rows = rows.repartitionByRange(n, "i").sortWithinPartitions("i")
-    rows.mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
+                    file.add(frame(struct.pack(_PAYLOAD, (i is None) | (wide == 4) << 1, i or 0, count) + ids + end), count)
+                    if file.size >= file_bytes:
+                        written.append(file.close())
+                        file = None
+        if file:
+            written.append(file.close())
+        if written:
+            yield pa.RecordBatch.from_pylist([{"part": part, "place": k, **row} for k, row in enumerate(written)], schema=schema)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
+    rows = rows.repartitionByRange(n, "i", "h").sortWithinPartitions("i", "h", "t")
+    rows.select("i", "t").mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
 
@@ -102,7 +122,7 @@ def read_records(spark: SparkSession, path: str, shuffle_seed: int | None = None
     With a seed, each file's records are read through its index in a shuffled order; the rows are the same.
     """
     manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    before = Window.orderBy("part", "place").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     manifest = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
     files = max(1, spark.read.schema(MANIFEST).parquet(f"{path}/manifest").count())
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
@@ -131,7 +151,7 @@ def read_records(spark: SparkSession, path: str, shuffle_seed: int | None = None
                     index = np.frombuffer(f.read(), "<u8").reshape(-1, 2).astype(np.int64)
                 order = np.arange(len(index))
                 if shuffle_seed is not None:
-                    np.random.default_rng([shuffle_seed, row["part"]]).shuffle(order)
+                    np.random.default_rng([shuffle_seed, row["part"], row["place"]]).shuffle(order)
                 with fs.open_input_file(f"{folder}/{row['file']}") as f:
                     starts = None
                     if shuffle_seed is not None:  # counts follow from the sizes on disk: 16 bytes frame, 13 bytes head

@@ -126,6 +126,18 @@ def test_records_edges(spark, tmp_path):
     assert [r.doc_id for r in rows] == [None, 2, 2, 2]
 
 
+@pytest.mark.parametrize("seed", [None, 5])
+def test_records_of_one_id_fill_several_files(spark, tokenizer, tmp_path, seed):
+    texts = [f"row {k} of one id" for k in range(300)]
+    path = f"file://{tmp_path}/hot"
+    manifest = records.write_records(spark.createDataFrame([(7, t) for t in texts], "doc_id long, text string"), path, PATH, 1, partitions=4, file_bytes=700)
+    files = manifest.collect()
+    assert len({r.part for r in files}) > 1 and len({(r.part, r.place) for r in files}) == len(files) > 4
+    rows = sorted(records.read_records(spark, path, seed).collect(), key=lambda r: r.start)
+    assert sorted(r.ids for r in rows) == sorted(np.array(ids_of(tokenizer, t, 1), "<u4").tobytes() for t in texts)
+    assert [r.start for r in rows] == [sum(r.n_tokens for r in rows[:k]) for k in range(len(rows))]
+
+
 def test_damage_is_seen():
     good = records.frame(b"payload")
     assert bytes(records.unframe(memoryview(good))) == b"payload"
