@@ -7,8 +7,9 @@ gets from its own words. It counts as leaked if at least `overlap` of the five-w
 answer occur in the passage and the half windows around it. The question ends with the last question mark that text
 follows, else with the first half of the words.
 
-The index of a block of items is broadcast: `block_chars` bounds its text, and more items make more blocks, each with a
-pass of its own; BM25 statistics are those of all items. Words are compared in lower case, without punctuation.
+Items are dealt to blocks of about `block_chars` characters by a hash; BM25 statistics are counted over all items. A task
+builds the index of each block and writes it to the shared folder; workers load one block at a time, and each block is a
+pass of its own. The driver sees only the blocks' file names. Words are compared in lower case, without punctuation.
 
 Cases: null or empty texts and items match nothing; an item of fewer than five words counts as one shingle per part;
 an item text that is repeated is reported for each of its ids; rows of one doc_id are searched apart and give a row
@@ -18,7 +19,9 @@ each; a null id stays null; empty tables give no rows; other columns are not rea
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossaloom.llm.common import slices, table
+from glossaloom.llm.common import fresh_dir, open_fs, slices, stored, table
 
 K1, B = 1.2, 0.75
 WORD = re.compile(r"\w+")
@@ -189,25 +192,56 @@ def shingle_lookup(ids: list[int], *parts: list[tuple]) -> set[tuple]:
     return found
 
 
-def _indexes(items: DataFrame, id_col: str, text_col: str, ratio: float, block_chars: int) -> Iterator[tuple]:
-    """The index of each block of items. Statistics are those of all items; items stream to the driver, a block at a time."""
+def _indexes(items: DataFrame, id_col: str, text_col: str, ratio: float, block_chars: int) -> list[str]:
+    """Writes an index per block of items; the files' URIs."""
+    spark = items.sparkSession
     items = items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    df: Counter = Counter()
-    n_items = total_words = 0
-    blocks: list[list[tuple[int, str]]] = [[]]
-    chars = 0
-    for r in items.toLocalIterator():
-        words = WORD.findall(r["text"].lower())
-        n_items += 1
-        total_words += len(words)
-        df.update(set(words))
-        if chars + len(r["text"]) > block_chars and blocks[-1]:
-            blocks.append([])
-            chars = 0
-        blocks[-1].append((r["item_id"], r["text"]))
-        chars += len(r["text"])
-    for block in blocks:
-        yield build_index(block, df, n_items, total_words / n_items if total_words else 1.0, ratio)
+    n_blocks = max(1, -(-(items.agg(F.sum(F.char_length("text"))).first()[0] or 0) // block_chars))
+    items = stored(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))), "items")
+    out = pa.schema([("block", pa.int64()), ("word", pa.string()), ("total", pa.int64())])
+
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for block, text in zip(part.column("block").to_pylist(), part.column("text").to_pylist()):
+                    words = WORD.findall(text.lower())
+                    different = list(set(words))
+                    if words:  # the total stands at one of the words
+                        yield pa.RecordBatch.from_arrays([pa.array([block] * len(different), pa.int64()), pa.array(different), pa.array([len(words)] + [0] * (len(different) - 1), pa.int64())], schema=out)
+
+    words = stored(items.select("block", "text").mapInArrow(words_of, "block long, word string, total long"), "item_words")
+    total = words.agg(F.sum("total")).first()[0] or 0
+    n_items = items.count()
+    mean_words = total / n_items if total else 1.0
+    df = words.groupBy("word").agg(F.count("*").alias("df"))
+    of_block = words.select("block", "word").distinct().join(df, "word")
+    folder = fresh_dir(spark, "bm25")
+
+    def build(rows: pa.Table, known: pa.Table) -> pa.Table:
+        counts = dict(zip(known.column("word").to_pylist(), known.column("df").to_pylist()))
+        index = build_index(list(zip(rows.column("item_id").to_pylist(), rows.column("text").to_pylist())), counts, n_items, mean_words, ratio)
+        fs, path = open_fs(folder)
+        fs.create_dir(path, recursive=True)
+        name = f"block-{uuid.uuid4().hex}.index"
+        with fs.open_output_stream(f"{path}/{name}") as f:
+            f.write(pickle.dumps(index))
+        return pa.table({"name": [name]}) if rows.num_rows else pa.table({"name": pa.array([], pa.string())})
+
+    built = items.groupBy("block").cogroup(of_block.groupBy("block")).applyInArrow(build, "name string")
+    return [f"{folder}/{r['name']}" for r in stored(built, "bm25_files").orderBy("name").collect()]  # a row per block
+
+
+_LOADED: dict[str, tuple] = {}
+
+
+def _load(uri: str) -> tuple[dict[str, int], list[Index]]:
+    """The index in a file; a worker keeps the last one."""
+    if uri not in _LOADED:
+        _LOADED.clear()
+        fs, path = open_fs(uri)
+        with fs.open_input_stream(path) as f:
+            _LOADED[uri] = pickle.loads(f.read())
+    return _LOADED[uri]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", ratio: float = 0.7, overlap: float = 0.8, block_chars: int = 20_000_000) -> DataFrame:
@@ -215,11 +249,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     queries = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("at_word", pa.int64())])
 
-    def leaks_of(index: tuple) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
+    def leaks_of(index: str) -> DataFrame:
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            vocabulary, classes = shared.value
+            vocabulary, classes = _load(index)
             for batch in batches if classes else ():
                 for part in slices(batch, "t"):
                     found = []
@@ -232,20 +264,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         return queries.mapInArrow(rows, OUT)
 
     parts = [leaks_of(index) for index in _indexes(items, item_id_col, item_text_col, ratio, block_chars)]
-    leaks = parts[0]
-    for part in parts[1:]:
-        leaks = leaks.unionByName(part)
+    leaks = docs.sparkSession.createDataFrame([], OUT)
+    for k, part in enumerate(parts):
+        leaks = leaks.unionByName(part) if k else part
     return leaks
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", ratio: float = 0.7, overlap: float = 0.8, block_chars: int = 20_000_000) -> DataFrame:
     """The rows of docs, all columns, that leak no item. No join is needed, so rows may share ids."""
 
-    def clean(docs: DataFrame, index: tuple) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
+    def clean(docs: DataFrame, index: str) -> DataFrame:
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            vocabulary, classes = shared.value
+            vocabulary, classes = _load(index)
             for batch in batches:
                 for part in slices(batch, text_col):
                     kept = [not (text and classes and search_text(text, vocabulary, classes, overlap)) for text in part.column(text_col).to_pylist()]
