@@ -14,8 +14,12 @@ _ROOT = Path(__file__).resolve().parent
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where that is unset (tests on one machine)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp()
+    """A fresh folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where that is unset and Spark runs on this machine alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = "file://" + tempfile.mkdtemp()
     return f"{base.rstrip('/')}/{label}_{uuid.uuid4().hex}"
 
 
