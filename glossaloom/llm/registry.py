@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "pii", "langid", "kdtree", "records", "decontam", "html_blocks", "spans", "warc", "simhash", "fim", "repair")
+MODULES = ("packing", "pii", "langid", "kdtree", "records", "decontam", "html_blocks", "spans", "warc", "simhash", "fim", "repair", "coordinates")
 
 
 def _merged(name: str) -> dict:
