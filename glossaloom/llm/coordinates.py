@@ -165,10 +165,9 @@ def _mixed(posted: DataFrame, parts: DataFrame) -> DataFrame:
     return placed.join(mixed, "token", "left_semi")
 
 
-def _of(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs of sets in different parts."""
-    both = pairs.join(parts.select(F.col("sid").alias("a"), F.col("part").alias("pa")), "a").join(parts.select(F.col("sid").alias("b"), F.col("part").alias("pb")), "b")
-    return both.where("pa != pb").drop("pa", "pb")
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(sid) of all sets of pairs (a, b)."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
 
 
 def _differences(placed: DataFrame, sets: DataFrame) -> DataFrame:
@@ -189,8 +188,8 @@ def _differences(placed: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(differ, "r long, sid long, n long, part long, features array<long>")
 
 
-def _residual(placed: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links, candidates), pairs (a, b) of sets in different parts that meet at a central set r: together they connect all that are similar.
+def _residual(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b), exact, that connect all similar sets in different parts that meet at a central set r.
 
     Let d(x) be the shingles by which x differs from a centre c: r, with every difference undone that most members share.
     Sets x and y of sizes n and m are similar if and only if they differ in at most q (n + m) shingles, where
@@ -200,7 +199,7 @@ def _residual(placed: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFra
       is linked to every such x; pairs of this kind are connected by s.
     - Otherwise they must share (E(x) + E(y)) / 2 differences or more. Let E(x) >= E(y). Then E(x) > -E(s), or both were
       linked to s. So more than (E(y) - E(s)) / 2 and at least E(y) are shared, and one of them is among the rarest of y's,
-      all but so many (prefix filter). Differences that one set alone has are in no list.
+      all but so many (prefix filter). Differences that one set alone has are in no list. The shared ones decide.
     """
     up, down = 100 + percent, 100 - percent
     own = stored(_differences(placed, sets), "differences")
@@ -225,7 +224,11 @@ def _residual(placed: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFra
     asked = listed.where("e > -s.e").select("r", F.explode("fs").alias("x"), *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "e", "part")]).select("r", F.col("x.f").alias("f"), "sid2", "n2", "e2", "part2")
     close = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
     met = index.join(asked, ["r", "f"]).where("part != part2 and (e2 > e or e2 = e and sid2 > sid)").where(close)
-    return links, met.select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
+    met = met.select("r", F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct()
+    side = lambda sid, no: listed.select("r", F.col("sid").alias(sid), F.col("e").alias(f"e{no}"), F.col("fs.f").alias(f"f{no}"))
+    both = met.join(side("a", 1), ["r", "a"]).join(side("b", 2), ["r", "b"])
+    same = both.where(2 * up * F.size(F.array_intersect("f1", "f2")) >= F.col("e1") + F.col("e2"))
+    return links.unionByName(same.select("a", "b")).distinct()
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -243,29 +246,20 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = posted.groupBy("token").agg(F.max(F.struct("weight", "sid", "n", "m", "i")).alias("r"), F.count("*").alias("size")).where("size > 1")
     met = posted.join(roots, "token").where("sid != r.sid").select("sid", "n", "m", "i", *[F.col(f"r.{c}").alias(f"{c}2") for c in ("sid", "n", "m", "i")])
     central = stored(_colliding(_merged(met, least, percent), sigs, least), "central")
-    sets = stored(_sets(docs, rows, able, id_col, text_col, words), "sets")
-
-    # of these the one that a set collides with most, then the others between different components
-    most = F.max(F.struct("c", "a", "b")).alias("p")
-    sides = central.select("c", "a", "b", F.explode(F.array("a", "b")).alias("of"))
-    best = stored(sides.groupBy("of").agg(most).select("p.a", "p.b").distinct(), "best")
-    links = stored(_confirmed(best, sets, percent), "links")
-    parts = _parts(able, links)
-    rest = _of(central, parts).join(best, ["a", "b"], "left_anti")
-    links = stored(links.unionByName(_confirmed(rest, sets, percent)), "links")
+    sets = stored(_sets(docs, rows, _ends(central), id_col, text_col, words), "sets")
+    links = stored(_confirmed(central, sets, percent), "links")
 
     # members of different components
     mixed = _mixed(posted, _parts(able, links))
-    lists = mixed.groupBy("token").agg(F.count("*").alias("size"))
-    mixed = stored(mixed.join(lists, "token"), "mixed")
+    mixed = stored(mixed.join(mixed.groupBy("token").agg(F.count("*").alias("size")), "token"), "mixed")
     short = mixed.where(F.col("size") <= SHORT)
-    across = _merged(short.join(short.select("token", *other), "token").where("part < part2"), least, percent)
-    central_of = roots.select("token", F.col("r.sid").alias("r"))
-    placed = mixed.where(F.col("size") > SHORT).join(central_of, "token").select("r", "sid", "n", "part").distinct()
-    near, differing = _residual(placed, sets, percent)
-    across = across.unionByName(differing).distinct().join(central, ["a", "b"], "left_anti")
+    across = _merged(short.join(short.select("token", *other), "token").where("part < part2"), least, percent).join(central, ["a", "b"], "left_anti")
     across = stored(_colliding(across, sigs, least), "across")
-    links = stored(links.unionByName(near).unionByName(_confirmed(across, sets, percent)), "links")
+    placed = mixed.where(F.col("size") > SHORT).join(roots.select("token", F.col("r.sid").alias("r")), "token")
+    placed = stored(placed.select("r", "sid", "n", "part").distinct(), "placed")
+    wanted = _ends(across).union(placed.select("sid")).union(placed.select("r")).distinct()
+    sets = stored(_sets(docs, rows, wanted, id_col, text_col, words), "sets")
+    links = stored(links.unionByName(_confirmed(across, sets, percent)).unionByName(_residual(placed, sets, percent)), "links")
 
     found = stored(connected_components(links), "set_roots")
     linked = distinct.join(found, distinct.sid == found.node, "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
