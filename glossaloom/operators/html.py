@@ -8,6 +8,7 @@ lookup of translations, which is a join. Positions come from the parser; nothing
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import escape, unescape
 from html.parser import HTMLParser
@@ -119,37 +120,45 @@ class _Lenient(HTMLParser):
 
 
 class Tree(_Lenient):
-    """A page as nodes; tags that HTML lets out are closed. More classes of elements that aren't translated may be given."""
+    """A page as nodes; tags that HTML lets out are closed. Open elements are counted by tag, so an end tag without a start costs nothing. More classes of elements that aren't translated may be given."""
 
     def __init__(self, no_translate: tuple[str, ...] = ()):
         super().__init__(convert_charrefs=True)
         self.classes = (*NO_TRANSLATE_CLASSES, *no_translate)
         self.root = self.at = Node("#", {}, None)
+        self.open = Counter()
+
+    def close_to(self, parent):
+        while self.at is not parent:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
 
     def handle_starttag(self, tag, attrs):
         for open_tag, closers in CLOSES.items():
-            if tag in closers:
+            if self.open[open_tag] and tag in closers:
                 n = self.at
                 while n.parent and n.tag != open_tag and n.tag not in STOPS[open_tag]:
                     n = n.parent
                 if n.tag == open_tag and n.parent:
-                    self.at = n.parent
+                    self.close_to(n.parent)
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at, self.classes)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if self.at.tag == tag and tag not in VOID:
-            self.at = self.at.parent
+            self.close_to(self.at.parent)
 
     def handle_endtag(self, tag):
+        if not self.open[tag]:
+            return
         n = self.at
-        while n.parent and n.tag != tag:
+        while n.tag != tag:
             n = n.parent
-        if n.parent:
-            self.at = n.parent
+        self.close_to(n.parent)
 
     def handle_data(self, data):
         self.at.children.append(data)
@@ -389,33 +398,16 @@ def rewrite(html: str | None, words: dict[str, str]) -> str | None:
     return "".join(r.out)
 
 
-def localize(pages: DataFrame, tm: DataFrame) -> DataFrame:
-    """(page_id, html, n_strings, n_translated) with the texts of each page translated.
-
-    tm(original_text, translated_text) holds one row per original. Strings join it by text; each page gets the
-    dictionary of its own strings, which is bounded by the page.
-    """
-    found = strings_of(pages).groupBy("page_id", "text").agg(F.first("kind").alias("kind"))
-    keyed = found.join(tm.select(F.col("original_text").alias("text"), "translated_text"), "text", "left")
-    own = keyed.groupBy("page_id").agg(F.count("*").alias("n_strings"), F.count("translated_text").alias("n_translated"), F.map_from_entries(F.collect_list(F.when(F.col("translated_text").isNotNull(), F.struct("text", "translated_text")))).alias("words"))
-    joined = pages.select("page_id", "html").join(own, "page_id", "left")
-    schema = pa.schema([("page_id", pa.int64()), ("html", pa.string()), ("n_strings", pa.int64()), ("n_translated", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _slices(batch):
-                out = [(r["page_id"], rewrite(r["html"], dict(r["words"] or [])), r["n_strings"] or 0, r["n_translated"] or 0) for r in part.to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-
-    return joined.mapInArrow(run, "page_id long, html string, n_strings long, n_translated long")
+def media_translations(tm: DataFrame) -> DataFrame:
+    """(h, t_src, t_alt, t_title): what is filed under media.src[h].src, .alt and .title."""
+    own = tm.where(F.col("context").startswith("media.src[")).select(F.regexp_extract("context", r"^media\.src\[([0-9a-f]+)\]", 1).alias("h"), F.regexp_extract("context", r"\.(src|alt|title)$", 1).alias("a"), "translated_text", "id")
+    wide = best_per_key(own, ["h", "a"], [-F.col("id")]).groupBy("h").pivot("a", ["src", "alt", "title"]).agg(F.first("translated_text"))
+    return wide.select("h", *[F.col(a).alias(f"t_{a}") for a in ("src", "alt", "title")])
 
 
 def translate_media(images: DataFrame, tm: DataFrame) -> DataFrame:
-    """images(page_id, src, alt, title) with the translations filed under media.src[hash].src, .alt and .title."""
-    own = tm.where(F.col("context").startswith("media.src[")).select(F.regexp_extract("context", r"^media\.src\[([0-9a-f]+)\]", 1).alias("h"), F.regexp_extract("context", r"\.(src|alt|title)$", 1).alias("a"), "translated_text", "id")
-    wide = best_per_key(own, ["h", "a"], [-F.col("id")]).groupBy("h").pivot("a", ["src", "alt", "title"]).agg(F.first("translated_text"))
-    wide = wide.select("h", *[F.col(a).alias(f"t_{a}") for a in ("src", "alt", "title")])
-    return images.withColumn("h", F.md5("src")).join(wide, "h", "left").select("page_id", *[F.coalesce(f"t_{a}", a).alias(a) for a in ("src", "alt", "title")])
+    """images(page_id, src, alt, title) with the translations filed under the hash of their src."""
+    return images.withColumn("h", F.md5("src")).join(media_translations(tm), "h", "left").select("page_id", *[F.coalesce(f"t_{a}", a).alias(a) for a in ("src", "alt", "title")])
 
 
 def set_direction(html: Column, rtl: Column) -> Column:

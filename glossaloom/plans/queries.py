@@ -19,6 +19,7 @@ from glossaloom.operators import dom as D
 from glossaloom.operators import html as H
 from glossaloom.operators import memory as M
 from glossaloom.operators import precedence as PR
+from glossaloom.operators import rewrite as RW
 from glossaloom.operators import search as SE
 from glossaloom.operators import stats as ST
 from glossaloom.streaming import lookups as SL
@@ -708,10 +709,41 @@ def capturable_nodes(spark, sf):
     return D.capturable(D.text_nodes(_t(spark, sf, "pages")))
 
 
-@query("localized_pages")
+_SENTENCE = '<(?:h1|p|div class="ad")>([^<&]{40,})</(?:h1|p|div)>'
+_DECODED_SQL = "replace(replace(replace(replace({x}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_FOLDED_SQL = r"trim(replace(translate(regexp_replace({x}, '\s{{2,}}', ' ', 'g'), '–—‐ёЁ“”‟„«»‘’‛‹›', '---еЕ' || repeat('\"', 6) || repeat(chr(39), 5)), '…', '...'))".replace('\\"', '"')
+
+
+@query(
+    "localized_pages",
+    rf"""WITH tm AS (
+  SELECT DISTINCT lower({_FOLDED_SQL.format(x='x')}) AS k FROM (SELECT unnest(regexp_extract_all(html, '{_SENTENCE}', 1)) AS x FROM pages)
+  WHERE md5(lower({_FOLDED_SQL.format(x='x')})) < '8'),
+pieces AS (SELECT page_id, unnest(regexp_extract_all(html, '<(?:h1|p|div class="ad")>[^<]+</(?:h1|p|div)>|<b>[^<]+<br>|<title>[^<]+</title>')) AS piece FROM pages),
+parts AS (
+  SELECT page_id, piece, count(*) AS n, regexp_extract(piece, '^<[^>]*>') AS tag, regexp_extract(piece, '<[^>]*>$') AS ends,
+         {_FOLDED_SQL.format(x=_DECODED_SQL.format(x="regexp_extract(piece, '>([^<]*)<', 1)"))} AS x
+  FROM pieces GROUP BY page_id, piece),
+nodes AS (SELECT DISTINCT x, lower(x) AS low FROM parts WHERE tag NOT IN ('<b>', '<title>') AND octet_length(encode(x)) <= 500),
+held AS (
+  SELECT x, max_by(left(x, strpos(low, k) - 1) || 'T ' || reverse(k) || substr(x, strpos(low, k) + length(k)), (octet_length(encode(k)), k)) AS found
+  FROM nodes JOIN tm ON contains(low, k) AND low <> k AND octet_length(encode(low)) <= octet_length(encode(k)) + 15 GROUP BY x),
+made AS (
+  SELECT p.page_id, p.piece, p.n, p.tag || CASE WHEN p.tag <> '<title>' THEN regexp_extract(p.piece, '>(\s*)[^<]*<', 1) ELSE '' END
+         || CASE WHEN tm.k IS NOT NULL THEN 'T ' || reverse(tm.k) ELSE replace(h.found, '&', '&amp;') END
+         || CASE WHEN p.tag <> '<title>' THEN regexp_extract(p.piece, '(\s*)<[^<]*$', 1) ELSE '' END || p.ends AS fresh
+  FROM parts p LEFT JOIN tm ON tm.k = lower(p.x) LEFT JOIN held h ON h.x = p.x AND p.tag NOT IN ('<b>', '<title>')),
+own AS (SELECT page_id, list(piece || chr(1) || fresh ORDER BY piece) AS steps, sum(n) AS n FROM made WHERE fresh IS NOT NULL GROUP BY page_id)
+SELECT page_id, coalesce(list_reduce([html] || steps, lambda acc, e: replace(acc, split_part(e, chr(1), 1), split_part(e, chr(1), 2))), html) AS html, CAST(coalesce(n, 0) AS BIGINT) AS n_translated
+FROM pages LEFT JOIN own USING (page_id)""",
+)
 def localized_pages(spark, sf):
-    tm = M.most_trusted(_tm(spark, sf).where(M.usable(CONFIG) & (F.col("language_code") == "de")).select("original_text", "original_text_hash", "language_code", "translated_text", "status", "updated_at", "id"))
-    return H.localize(_t(spark, sf, "pages"), tm)
+    """Every page with half of the sentences that pages show translated."""
+    pages = _t(spark, sf, "pages")
+    texts = pages.select(F.explode(F.regexp_extract_all("html", F.lit(_SENTENCE), F.lit(1))).alias("original_text")).distinct()
+    key = T.normalize_lookup(F.col("original_text"))
+    tm = texts.where(F.md5(key) < "8").withColumn("translated_text", F.concat(F.lit("T "), F.reverse(key)))
+    return RW.localize(pages, tm).select("page_id", "html", "n_translated")
 
 
 @query("localization_summary", "SELECT " + f"CASE WHEN string_split(ltrim({_PATH_SQL}, '/'), '/')[1] IN ({_CODES_SQL}) THEN string_split(ltrim({_PATH_SQL}, '/'), '/')[1] END AS language_code, count(*) AS n_pages, CAST(sum(len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS BIGINT) AS n_links, CAST(sum(CASE WHEN octet_length(encode(html)) >= 100 AND regexp_matches(html, '(?i)<html|<!DOCTYPE') THEN 1 ELSE 0 END) AS BIGINT) AS n_valid FROM pages GROUP BY 1")

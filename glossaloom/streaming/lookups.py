@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossaloom.functions import text as T
-from glossaloom.operators import html as H
+from glossaloom.operators import rewrite as RW
 from glossaloom.operators.memory import best_per_key
 from glossaloom.session import shared_dir
 
@@ -38,6 +38,6 @@ def localize_stream(pages: DataFrame, tm: DataFrame, path: str, checkpoint: str,
     """Batches of page fragments, translated and appended; the caller awaits the query."""
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        H.localize(batch, tm).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
+        RW.localize(batch, tm).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
 
     return pages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

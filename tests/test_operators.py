@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glossaloom.config import EngineConfig, language_table
 from glossaloom.operators import html as H
 from glossaloom.operators import memory as M
+from glossaloom.operators import rewrite as RW
 from glossaloom.operators import search as SE
 from glossaloom.operators import stats as ST
 from glossaloom.sources import catalogs as C
@@ -149,7 +150,7 @@ def test_empty_tables(spark):
     texts = spark.createDataFrame([], "text string")
     assert M.lookup(texts, tm).count() == 0 and M.latest(tm).count() == 0 and M.upsert(tm, tm).count() == 0
     pages = spark.createDataFrame([], "page_id long, html string")
-    assert H.items_of(pages).count() == 0 and H.strings_of(pages).count() == 0 and H.localize(pages, tm).count() == 0
+    assert H.items_of(pages).count() == 0 and H.strings_of(pages).count() == 0 and RW.localize(pages, tm).count() == 0
 
 
 PAGE = """<!DOCTYPE html><html><head><title>The title</title><meta name="description" content="About us"><meta name="description" content="second"></head>
@@ -208,7 +209,7 @@ def test_rewrite(spark):
     assert 'var x = "<p>no</p>";' in out
     assert H.rewrite(PAGE, {"nothing": "x"}) == PAGE and H.rewrite(None, words) is None
     tm = spark.createDataFrame([("Second one", "Zwei")], "original_text string, translated_text string")
-    row = H.localize(spark.createDataFrame([(1, PAGE), (2, None)], "page_id long, html string"), tm).orderBy("page_id").collect()
+    row = RW.localize(spark.createDataFrame([(1, PAGE), (2, None)], "page_id long, html string"), tm).orderBy("page_id").collect()
     assert "Zwei" in row[0].html and row[0].n_translated == 1 and row[1].html is None
 
 
