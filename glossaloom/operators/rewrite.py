@@ -37,6 +37,8 @@ from glossaloom.session import stored
 
 # Limits of the cascade.
 CONTAINED_BYTES, SLACK_BYTES, FLUSH_CHARS = 500, 15, 50
+#: Texts and keys of fewer characters meet as wholes.
+SHORT_CHARS = 24
 #: Separators of titles, in the order in which they are tried.
 SEPARATORS = (" - ", " | ", " – ", " — ")
 #: Attributes that are translated, with the only elements where they count (any, if none are named).
@@ -144,7 +146,8 @@ def page_slots(html: str | None, no_translate: tuple[str, ...] = ()) -> Iterator
                         seen.add("title")
                         out.append(["title", "seo_title", end, stop, unescape(html[end:stop]), False, None])
                     pos = stop
-    text(pos, len(html))
+    unclosed = html.find("<!--", pos)
+    text(pos, unclosed if unclosed >= 0 else len(html))
     while len(stack) > 1:
         close(len(html))
     yield from (tuple(r) for r in out)
@@ -206,19 +209,26 @@ def _by_key(words: DataFrame, key: Column) -> DataFrame:
 def contained(texts: DataFrame, words: DataFrame, script: str | None = None) -> DataFrame:
     """(text, to): texts in which the longest key that they hold is replaced, without regard to case.
 
-    A text of n characters holds such a key only as one of its substrings that leave out at most SLACK_BYTES characters at
-    both ends together: their hashes meet the keys' in an equi-join.
+    The first n - SLACK_BYTES characters of a key that a text of n characters may hold begin at one of its first places: a
+    text brings the hashes of these SLACK_BYTES + 1 parts, a key those of its beginnings for every n that it may meet.
+    Texts of fewer than SHORT_CHARS characters bring all parts that are long enough, and keys as short are filed whole.
     """
     cut = texts.select("text").distinct().withColumn("norm", T.normalize_once(F.col("text"))).withColumn("low", F.lower("norm"))
     cut = cut.where((F.octet_length("norm") <= CONTAINED_BYTES) & (F.char_length("low") > 2))
-    size = F.char_length("low")
-    parts = F.flatten(F.transform(F.sequence(F.lit(0), F.least(F.lit(SLACK_BYTES), size - 2)), lambda s: F.transform(F.sequence(F.lit(0), F.least(F.lit(SLACK_BYTES) - s, size - 2 - s)), lambda e: F.xxhash64(F.substring(F.col("low"), s + 1, size - s - e)))))
-    asked = cut.select("text", "norm", "low", F.explode(F.array_distinct(parts)).alias("h"))
+    size, key_size, slack = F.char_length("low"), F.char_length("low_key"), F.lit(SLACK_BYTES)
+    hashed = lambda n, part: F.xxhash64(n, part)
+    begun = F.transform(F.sequence(F.lit(0), slack), lambda s: hashed(size, F.substring(F.col("low"), s + 1, size - slack)))
+    parts = F.flatten(F.transform(F.sequence(F.lit(0), F.least(slack, size - 2)), lambda s: F.transform(F.sequence(F.lit(0), F.least(slack - s, size - 2 - s)), lambda e: hashed(F.lit(0), F.substring(F.col("low"), s + 1, size - s - e)))))
+    asked = cut.select("text", "norm", "low", F.explode(F.array_distinct(F.when(size < SHORT_CHARS, parts).otherwise(begun))).alias("h"))
     keyed = words.select(T.normalize_once(F.col("original_text")).alias("key"), "translated_text", "status", "updated_at", "id").withColumn("low_key", F.lower("key"))
-    keyed = best_per_key(keyed.where(F.char_length("low_key") >= 2), ["low_key"], [F.col("status"), F.col("updated_at"), -F.col("id")]).select("low_key", "key", F.col("translated_text").alias("found"), F.xxhash64("low_key").alias("h"))
+    keyed = keyed.where((key_size >= 2) & (F.octet_length("low_key") <= CONTAINED_BYTES))
+    keyed = best_per_key(keyed, ["low_key"], [F.col("status"), F.col("updated_at"), -F.col("id")]).select("low_key", "key", F.col("translated_text").alias("found"))
+    whole = F.when(key_size < SHORT_CHARS, F.array(hashed(F.lit(0), F.col("low_key")))).otherwise(F.array().cast("array<long>"))
+    meets = F.when(key_size + slack >= SHORT_CHARS, F.transform(F.sequence(F.greatest(key_size, F.lit(SHORT_CHARS)), key_size + slack), lambda n: hashed(n, F.substring(F.col("low_key"), F.lit(1), n - slack)))).otherwise(F.array().cast("array<long>"))
+    keyed = keyed.withColumn("h", F.explode(F.concat(whole, meets)))
     shown = F.lower("found")
     met = asked.join(keyed, "h").where(F.contains("low", F.col("low_key")) & (F.col("low") != F.col("low_key")) & (F.octet_length("low") <= F.octet_length("low_key") + SLACK_BYTES))
-    met = met.where(~F.contains("low", shown) | (shown == F.col("low_key")))
+    met = met.dropDuplicates(["text", "low_key"]).where(~F.contains("low", shown) | (shown == F.col("low_key")))
     pattern = F.concat(F.lit("(?iu)\\Q"), F.replace("key", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     written = F.regexp_replace(as_text(F.col("found")), r"([\\$])", r"\\$1")
     made = met.withColumn("to", F.regexp_replace(_references(F.col("norm")), pattern, written)).where(F.col("to") != _references(F.col("norm")))
@@ -347,9 +357,9 @@ def image_edits(images: DataFrame, tm: DataFrame, home: str = "") -> DataFrame:
 
 def edits_of(found: DataFrame, tm: DataFrame, script: str | None = None, home: str = "") -> DataFrame:
     """All edits of slots; found should be a stored table, as several steps read it."""
-    memory = usable_memory(tm)
+    memory = stored(usable_memory(tm), "memory")  # rules and keys are Columns of it: computed once each
     technical = lambda c: P.any_of(P.technical_render(F.col(c)))
-    words = memory.where(~F.col("context").startswith("media.src") & ~technical("original_text") & ~technical("translated_text"))
+    words = stored(memory.where(~F.col("context").startswith("media.src") & ~technical("original_text") & ~technical("translated_text")), "words")
     body = found.where("kind in ('text', 'element', 'attribute')")
     asked = body.withColumn("k", F.md5(T.normalize_lookup(F.col("raw")))).join(_by_key(words, T.normalize_lookup(F.col("original_text"))), "k", "left")
     shown = F.when(F.col("kind") == "attribute", as_attribute(F.col("found"))).otherwise(T.carry_blanks(F.col("raw"), as_text(F.col("found"))))
