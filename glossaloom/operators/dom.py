@@ -1,4 +1,4 @@
-"""Text nodes of pages with what their place says about them, elements of shops, and SEO fields of posts."""
+"""Text nodes of pages with what their place says about them, and SEO fields of posts."""
 
 from __future__ import annotations
 
@@ -36,8 +36,6 @@ GLOBAL_TAGS = ("header", "footer", "nav")
 GLOBAL_IDS = ("masthead", "colophon", "header", "footer", "sidebar")
 GLOBAL_CLASSES = ("site-header", "site-footer", "sidebar", "widget-area", "navigation", "menu")
 NODE_CONTEXTS = {"title": "page_title", "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "p": "paragraph", "li": "list_item", "button": "button_text", "label": "form_label", "td": "table_cell", "th": "table_cell"}
-#: Class words of a shop's elements, by kind.
-COMMERCE = {"price": ("price", "amount"), "cart": ("add_to_cart_button", "cart", "checkout"), "product": ("product_title", "product-title"), "stock": ("stock", "availability"), "badge": ("onsale", "badge"), "message": ("woocommerce-message", "woocommerce-info", "woocommerce-error")}
 #: Levels of ancestors that can exclude a text, and that can place it in a global container; None: all.
 MOST_LEVELS, MOST_GLOBAL_LEVELS = 8, 50
 
@@ -109,22 +107,6 @@ def dom_stats(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("page_id").agg(F.count("*").alias("n_nodes"), F.sum((F.col("kind") == "attribute").cast("long")).alias("n_attributes"), F.sum(F.col("in_global").cast("long")).alias("n_global"), F.sum(F.col("excluded").cast("long")).alias("n_excluded"))
 
 
-def _shop(html: str | None) -> Iterator[tuple]:
-    for pos, n in enumerate(parse(html).walk()):
-        own = set((n.attrs.get("class") or "").lower().split())
-        for kind, words in COMMERCE.items():
-            if own & set(words) and not n.skip and 0 < len(n.text().encode()) < 500:
-                yield pos, kind, n.text()
-                break
-
-
-def shop_items(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, kind, text) of a shop's elements, each text of a kind once."""
-    schema = pa.schema([("page_id", pa.int64()), ("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string())])
-    rows = _rows(pages, _shop, schema, "page_id long, pos int, kind string, text string")
-    return rows.groupBy("page_id", "kind", "text").agg(F.min("pos").alias("pos"))
-
-
 def seo_fields(posts: DataFrame, titles: list[str], descriptions: list[str], variables: dict[str, Column] | None = None, template: str | None = None) -> DataFrame:
     """Posts with seo_title and meta_description: the first filled of the named columns; else the template, else the excerpt or the first 20 words."""
     filled = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c))

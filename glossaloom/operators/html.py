@@ -176,9 +176,12 @@ def _is_breadcrumb(n: Node) -> bool:
     return any(c in own for c in BREADCRUMBS) or n.tag == "nav" and n.attrs.get("aria-label") == BREADCRUMB_LABEL
 
 
-def page_items(html: str | None) -> Iterator[tuple]:
-    """(pass_no, pos, type, context, attribute, original) of a page, in passes as an editor shows them."""
-    every = list(parse(html).walk())
+def page_items(html: str | None, mark=None) -> Iterator[tuple]:
+    """(pass_no, pos, type, context, attribute, original) of a page, in passes as an editor shows them; mark(root) may set more elements apart."""
+    root = parse(html)
+    if mark:
+        mark(root)
+    every = list(root.walk())
     nodes = [(pos, n) for pos, n in enumerate(every) if not n.skip and not n.in_head and n.tag != "head"]
     crumbs: set[int] = set()
     for pos, n in nodes:  # 1: links and spans of breadcrumbs
@@ -274,15 +277,19 @@ def strings_of(pages: DataFrame) -> DataFrame:
     return rows.groupBy("page_id", "kind", "text").agg(F.min("pos").alias("pos"))
 
 
-def raw_items(pages: DataFrame) -> DataFrame:
-    """All items of all passes, as they are found."""
+def raw_items(pages: DataFrame, no_translate: tuple[str, ...] = ()) -> DataFrame:
+    """All items of all passes, as they are found, but for what further selectors set apart."""
+    from glossaloom.operators.selectors import compiled, mark
+
+    compiled((("", no_translate),))  # a list that isn't understood fails here, not in a task
+    set_apart = (lambda root: mark(root, no_translate)) if no_translate else None
     schema = pa.schema([("page_id", pa.int64()), ("pass_no", pa.int32()), ("pos", pa.int32()), ("type", pa.string()), ("context", pa.string()), ("attribute", pa.string()), ("original", pa.string())])
-    return _rows(pages, page_items, schema, "page_id long, pass_no int, pos int, type string, context string, attribute string, original string")
+    return _rows(pages, lambda h: page_items(h, set_apart), schema, "page_id long, pass_no int, pos int, type string, context string, attribute string, original string")
 
 
-def items_of(pages: DataFrame) -> DataFrame:
-    """Items that aren't technical, equal ones of passes 1 to 4 and 6 once, with their groups."""
-    rows = raw_items(pages)
+def items_of(pages: DataFrame, no_translate: tuple[str, ...] = ()) -> DataFrame:
+    """Items that aren't technical, equal ones of passes 1 to 4 and 6 once, with their groups."""
+    rows = raw_items(pages, no_translate)
     src = F.col("attribute") == "src"
     rows = rows.where((F.octet_length("original") >= 2) & (F.coalesce(src, F.lit(False)) | ~P.any_of(P.technical_item(F.col("original")))))
     once = F.col("pass_no").isin(1, 2, 3, 4, 6)

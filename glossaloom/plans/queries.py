@@ -21,6 +21,7 @@ from glossaloom.operators import memory as M
 from glossaloom.operators import precedence as PR
 from glossaloom.operators import rewrite as RW
 from glossaloom.operators import search as SE
+from glossaloom.operators import selectors as S
 from glossaloom.operators import stats as ST
 from glossaloom.streaming import lookups as SL
 
@@ -746,6 +747,25 @@ def localized_pages(spark, sf):
     return RW.localize(pages, tm).select("page_id", "html", "n_translated")
 
 
+#: What the fixture's pages have, by selectors of every kind.
+PAGE_SELECTORS = {"menu": ("nav > ul li > a[href^='/']",), "ad": ("div.ad",), "headline": ("body article > h1, body main > h1",), "notice_before": ("div[class=ad] + article > h1",), "footer": ("html body > footer", "body > p.footer")}
+_PLAIN_SQL = "trim(regexp_replace(" + _DECODED_SQL.format(x="t") + r", '\s+', ' ', 'g'))"
+
+
+@query(
+    "selected_elements",
+    f"""WITH found AS (
+  SELECT page_id, 'menu' AS name, unnest(regexp_extract_all(html, '<li><a href="/[^"]*">([^<]*)</a></li>', 1)) AS t FROM pages
+  UNION ALL SELECT page_id, 'ad', unnest(regexp_extract_all(html, '<div class="ad">([^<]*)</div>', 1)) FROM pages
+  UNION ALL SELECT page_id, 'headline', unnest(regexp_extract_all(html, '<article><h1>([^<]*)</h1>', 1)) FROM pages
+  UNION ALL SELECT page_id, 'notice_before', unnest(regexp_extract_all(html, '<div class="ad">[^<]*</div><article><h1>([^<]*)</h1>', 1)) FROM pages
+  UNION ALL SELECT page_id, 'footer', unnest(regexp_extract_all(html, '<footer>([^<]*)</footer>', 1)) FROM pages)
+SELECT page_id, name, {_PLAIN_SQL} AS text, count(*) AS n FROM found GROUP BY ALL""",
+)
+def selected_elements(spark, sf):
+    return S.selected(_t(spark, sf, "pages"), PAGE_SELECTORS).groupBy("page_id", "name", "text").agg(F.count("*").alias("n"))
+
+
 @query("localization_summary", "SELECT " + f"CASE WHEN string_split(ltrim({_PATH_SQL}, '/'), '/')[1] IN ({_CODES_SQL}) THEN string_split(ltrim({_PATH_SQL}, '/'), '/')[1] END AS language_code, count(*) AS n_pages, CAST(sum(len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS BIGINT) AS n_links, CAST(sum(CASE WHEN octet_length(encode(html)) >= 100 AND regexp_matches(html, '(?i)<html|<!DOCTYPE') THEN 1 ELSE 0 END) AS BIGINT) AS n_valid FROM pages GROUP BY 1")
 def localization_summary(spark, sf):
     pages = _t(spark, sf, "pages").select(U.language_of(F.col("url"), LANGS).alias("language_code"), F.size(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("links"), P.valid_page(F.col("html")).alias("valid"))
