@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from glossaloom.config import HUMAN_REVIEWED, MACHINE_TRANSLATED, EngineConfig
 from glossaloom.functions import text as T
+from glossaloom.session import stored
 
 
 def best_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -274,6 +275,46 @@ def upsert(tm: DataFrame, updates: DataFrame) -> DataFrame:
     return old.join(new, same, "full_outer").select(*[value(c) for c in tm.columns])
 
 
+def save_strings(tm: DataFrame, edits: DataFrame) -> DataFrame:
+    """Edited strings replace their rows and are passed on to the same string's gettext rows.
+
+    edits(id, original_text, translated_text, language_code, context, source, gettext_domain, updated_at). Texts are
+    sanitized; a saved row is human-reviewed. Of several edits of a string, language and context the latest counts. The
+    latest edit of a string and language that isn't a gettext edit itself goes to all gettext rows of other contexts that
+    aren't edited themselves; these are machine-translated. Null keys are keys; rows with a plural form stay.
+    """
+    key = ["original_text_hash", "language_code", "context"]
+    clean = edits.withColumns({c: T.sanitize(F.col(c)) for c in ("original_text", "translated_text", "language_code", "context", "source", "gettext_domain")})
+    latest = best_per_key(clean.withColumn("original_text_hash", F.md5("original_text")), key, [F.col("updated_at"), F.col("id")])
+    new = latest.select(*[F.col(c).alias(f"n_{c}") for c in (*key, "id", "original_text", "translated_text", "source", "gettext_domain", "updated_at")])
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"n_{k}")) for k in key)) & F.col("plural_form").isNull()
+    both = tm.join(new, same, "full_outer")
+    edited, fresh = F.col("n_id").isNotNull(), F.col("id").isNull()
+    of_edit = {c: F.col(f"n_{c}") for c in (*key, "original_text", "translated_text", "source", "gettext_domain", "updated_at")} | {"status": F.lit(HUMAN_REVIEWED)}
+    one = {c: F.when(edited, v).otherwise(F.col(c)).alias(c) for c, v in of_edit.items()} | {"id": F.coalesce("id", "n_id").alias("id")}
+    merged = both.select(*[one.get(c, F.when(fresh, F.lit(None)).otherwise(F.col(c)).alias(c)) for c in tm.columns], edited.alias("__edited"))
+
+    passed = best_per_key(latest.where(F.coalesce("source", F.lit("")) != "gettext"), key[:2], [F.col("updated_at"), F.col("id")])
+    passed = passed.select(*[F.col(c).alias(f"p_{c}") for c in (*key[:2], "translated_text", "updated_at")])
+    told = merged.join(passed, F.col("original_text_hash").eqNullSafe(F.col("p_original_text_hash")) & F.col("language_code").eqNullSafe(F.col("p_language_code")), "left")
+    takes = F.col("p_updated_at").isNotNull() & (F.col("source") == "gettext") & ~F.col("__edited")
+    changed = {"translated_text": F.col("p_translated_text"), "updated_at": F.col("p_updated_at"), "status": F.lit(MACHINE_TRANSLATED)}
+    return told.select(*[F.when(takes, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in tm.columns])
+
+
+def save_to(path: str, edits: DataFrame) -> list[str]:
+    """save_strings on a memory that is stored by language_code; only partitions of languages that are edited are read and written. Returns these languages.
+
+    The new rows go to the shared folder first, then replace the partitions, so a failed write can be repeated.
+    """
+    spark = edits.sparkSession
+    languages = sorted(r[0] for r in edits.select(T.sanitize(F.col("language_code"))).distinct().collect() if r[0] is not None)  # as many as there are languages
+    tm = spark.read.parquet(path)
+    after = stored(save_strings(tm.where(F.col("language_code").isin(languages)), edits.where("language_code is not null")), "saved_strings")
+    after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("language_code").parquet(path)
+    return languages
+
+
 def expand_forms(items: DataFrame) -> DataFrame:
     """M2: a row per plural form of items whose `forms` map isn't empty, else one row with null form."""
     plural = items.where(F.size("forms") > 0).select("*", F.explode("forms").alias("plural_form", "form_text")).withColumn("translated_text", F.col("form_text")).drop("form_text", "forms")

@@ -498,6 +498,35 @@ def upsert_merge(spark, sf):
     return M.upsert(tm, updates).select("id", F.md5("translated_text").alias("translated_hash"), "gettext_domain", "status")
 
 
+_CLEAN_SQL = r"trim(regexp_replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(
+    "saved_strings",
+    rf"""WITH {TM_SQL},
+edits AS (
+  SELECT id, md5({_CLEAN_SQL.format(x='original_text')}) AS h, {_CLEAN_SQL.format(x="'new  <b>' || original_text || '</b> '")} AS t, language_code, CASE WHEN pos % 2 = 0 THEN context ELSE context || '_x' END AS context, TIMESTAMP '2025-01-01 00:00:00' + to_seconds(doc_id % 50) AS made
+  FROM tm WHERE doc_id % 6 = 1 AND doc_id % 5 <> 0 AND language_code = 'fr'),
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY h, language_code, context ORDER BY made DESC, id DESC) AS r FROM edits) WHERE r = 1),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY h, language_code ORDER BY made DESC, id DESC) AS r2 FROM u) WHERE r2 = 1),
+saved AS (
+  SELECT coalesce(tm.id, u.id) AS id, coalesce(u.h, tm.original_text_hash) AS h, coalesce(u.language_code, tm.language_code) AS language_code, u.id IS NOT NULL AS edited,
+         CASE WHEN u.id IS NOT NULL THEN u.t ELSE tm.translated_text END AS t, CASE WHEN u.id IS NOT NULL THEN 2 ELSE tm.status END AS status, CASE WHEN u.id IS NOT NULL THEN 'custom' ELSE tm.kind END AS source
+  FROM tm FULL OUTER JOIN u ON tm.original_text_hash = u.h AND tm.language_code = u.language_code AND tm.context = u.context)
+SELECT s.id, s.source, s.language_code, md5(CASE WHEN f.id IS NOT NULL AND s.source = 'gettext' AND NOT s.edited THEN f.t ELSE s.t END) AS translated_hash,
+       CAST(CASE WHEN f.id IS NOT NULL AND s.source = 'gettext' AND NOT s.edited THEN 1 ELSE s.status END AS INTEGER) AS status
+FROM saved s LEFT JOIN f ON f.h = s.h AND f.language_code = s.language_code""",
+)
+def saved_strings(spark, sf):
+    """French strings of every sixth document edited, in their own or a new context, and passed on to gettext rows."""
+    tm = _tm(spark, sf)
+    doc, pos = F.expr("id div 4000000"), F.expr("id div 4 % 1000000")
+    edits = tm.where((doc % 6 == 1) & (doc % 5 != 0) & (F.col("language_code") == "fr"))
+    edits = edits.withColumn("context", F.when(pos % 2 == 0, F.col("context")).otherwise(F.concat("context", F.lit("_x"))))
+    edits = edits.withColumn("translated_text", F.concat(F.lit("new  <b>"), "original_text", F.lit("</b> "))).withColumn("updated_at", F.expr("timestamp'2025-01-01 00:00:00' + make_dt_interval(0, 0, 0, id div 4000000 % 50)"))
+    return M.save_strings(tm, edits).select("id", "source", "language_code", F.md5("translated_text").alias("translated_hash"), "status")
+
+
 @query(
     "delete_on_empty",
     f"""WITH {TM_SQL}, edits AS (SELECT original_text_hash, context, language_code, CASE WHEN pos % 2 = 0 THEN 'seo' ELSE 'content' END AS kind FROM tm WHERE doc_id % 7 = 0 AND pos % 3 = 0)
@@ -788,4 +817,12 @@ def stream_lookup(spark, sf):
     return found.select("conv_id", "turn", F.md5("text").alias("text_hash"), F.col("translated_text").cast("long").alias("id"))
 
 
+@query("stream_strings_once", "SELECT DISTINCT conv_id, md5(text) AS text_hash FROM conversations")
+def stream_strings_once(spark, sf):
+    """The strings of each conversation that a stream has to look up: none twice within an hour."""
+    path, schema = f"{sf}/conversations.parquet", _t(spark, sf, "conversations").schema
+    stream = SL.table_stream(spark, path, schema).select("conv_id", F.md5("text").alias("text_hash"), F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce("turn", F.lit(0))).alias("seen_at"))
+    return SL.run_available(spark, SL.asked_once(stream, "1 hour", ("conv_id", "text_hash")), "strings_once").select("conv_id", "text_hash")
+
+
 from glossaloom.plans import single as _single  # noqa: E402, F401  registers its queries here
