@@ -219,11 +219,13 @@ def _residual(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     listed = rows.join(shared, ["r", "f"]).groupBy("r", "sid").agg(F.array_sort(F.collect_list(F.struct("df", "f"))).alias("fs"))
     listed = stored(own.drop("features").join(listed, ["r", "sid"]), "shared_differences")
     least = F.greatest(F.lit(1), F.floor((F.col("e") - F.col("s.e")) / (2 * up)) + 1, F.ceil(F.col("e") / up)).cast("int")
-    index = listed.withColumn("o", least).where(F.size("fs") >= F.col("o")).select("r", "sid", "n", "e", "part", F.explode(F.slice("fs", F.lit(1), F.size("fs") - F.col("o") + 1)).alias("x"))
-    index = index.select("r", F.col("x.f").alias("f"), "sid", "n", "e", "part")
-    asked = listed.where("e > -s.e").select("r", F.explode("fs").alias("x"), *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "e", "part")]).select("r", F.col("x.f").alias("f"), "sid2", "n2", "e2", "part2")
+    index = listed.withColumn("o", least).where(F.size("fs") >= F.col("o")).select("r", "sid", "n", "e", "part", F.size("fs").alias("k"), F.posexplode(F.slice("fs", F.lit(1), F.size("fs") - F.col("o") + 1)).alias("i", "x"))
+    index = index.select("r", F.col("x.f").alias("f"), "sid", "n", "e", "part", "k", "i")
+    asked = listed.where("e > -s.e").select("r", F.posexplode("fs").alias("i2", "x"), F.size("fs").alias("k2"), *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "e", "part")]).select("r", F.col("x.f").alias("f"), "sid2", "n2", "e2", "part2", "k2", "i2")
     close = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
-    met = index.join(asked, ["r", "f"]).where("part != part2 and (e2 > e or e2 = e and sid2 > sid)").where(close)
+    # in the order common to all, at most min(i, i2) shared differences come before this one
+    reach = 2 * up * (F.least("i", "i2") + F.least(F.col("k") - F.col("i"), F.col("k2") - F.col("i2"))) >= F.col("e") + F.col("e2")
+    met = index.join(asked, ["r", "f"]).where("part != part2 and (e2 > e or e2 = e and sid2 > sid)").where(close & reach)
     met = met.select("r", F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct()
     side = lambda sid, no: listed.select("r", F.col("sid").alias(sid), F.col("e").alias(f"e{no}"), F.col("fs.f").alias(f"f{no}"))
     both = met.join(side("a", 1), ["r", "a"]).join(side("b", 2), ["r", "b"])
