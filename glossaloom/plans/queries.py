@@ -238,12 +238,6 @@ def reverse_lookup(spark, sf):
     return M.reverse_lookup(asked, _tm(spark, sf)).select(F.md5("text").alias("text_hash"), F.md5("original_text").alias("original_hash"), "gettext_domain")
 
 
-@query("contained_keys", f"WITH {STRINGS_SQL}, t AS (SELECT DISTINCT text FROM strings WHERE octet_length(encode(text)) <= 500), k AS (SELECT DISTINCT text AS key FROM strings WHERE length(text) BETWEEN 8 AND 60) SELECT text, key FROM t JOIN k ON contains(text, key) AND length(text) > length(key)")
-def contained_keys(spark, sf):
-    rows = _strings(spark, sf).select("text").distinct()
-    return M.contained_keys(rows.where("octet_length(text) <= 500"), rows.where("char_length(text) between 8 and 60").select(F.col("text").alias("key")))
-
-
 @query("contained_keys_all", f"WITH {STRINGS_SQL}, t AS (SELECT DISTINCT text FROM strings) SELECT t.text, k.text AS key, octet_length(encode(t.text)) <= 500 AS node FROM t JOIN t k ON contains(t.text, k.text) AND length(t.text) > length(k.text)")
 def contained_keys_all(spark, sf):
     """J16 to J18 over all lines; J16 takes the rows with node, as only nodes have a limit."""
@@ -251,18 +245,6 @@ def contained_keys_all(spark, sf):
     return M.contained_keys(rows, rows.select(F.col("text").alias("key"))).withColumn("node", F.octet_length("text") <= 500)
 
 
-@query(
-    "prefix_match",
-    f"""WITH {STRINGS_SQL}, t AS (SELECT DISTINCT text FROM strings WHERE contains(text, '|')),
-p AS (SELECT text, trim(substring(text, 1, k - 1)) AS key FROM (SELECT text, unnest(generate_series(1, length(text))) AS k FROM t) WHERE regexp_matches(substring(text, k, 1), '[|:–—-]')),
-w AS (SELECT DISTINCT regexp_extract(text, '^([^|]*[^| ]) *\\|', 1) AS key FROM t)
-SELECT text, max_by(key, (length(key), key)) AS key FROM p JOIN w USING (key) WHERE key <> '' GROUP BY text""",
-)
-def prefix_match(spark, sf):
-    texts = _strings(spark, sf).where(F.contains("text", F.lit("|"))).select("text").distinct()
-    return M.prefix_match(texts, texts.select(F.regexp_extract("text", r"^([^|]*[^| ]) *\|", 1).alias("key")))
-
-
 @query(
     "prefix_match_all",
     f"""WITH {STRINGS_SQL}, t AS (SELECT DISTINCT text FROM strings),
@@ -442,16 +424,6 @@ def save_dedupe(spark, sf):
     return _items(spark, sf).groupBy(M.save_fingerprint(F.col("original"), F.lit(None).cast("int"), seo).alias("fingerprint")).agg(F.min("idx").alias("idx"))
 
 
-@query(
-    "plaintext_conflict",
-    f"""WITH {TM_SQL}, k AS (SELECT *, lower(trim(regexp_replace(regexp_replace(original_text, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'))) AS plain FROM (SELECT id, language_code, CASE WHEN doc_id % 2 = 0 THEN '<b>' || original_text || '</b>' ELSE original_text END AS original_text FROM tm WHERE NOT regexp_matches(original_text, '[&<–—‐ёЁ“”‟„«»‘’‛‹›…]')))
-SELECT md5(plain) AS plain_hash, language_code, id FROM (SELECT *, row_number() OVER (PARTITION BY plain, language_code ORDER BY CAST(regexp_matches(original_text, '<[^>]*>') AS INTEGER) DESC, length(original_text) DESC, id) AS r FROM k) WHERE r = 1""",
-)
-def plaintext_conflict(spark, sf):
-    rows = _tm(spark, sf).where(~F.col("original_text").rlike("[&<–—‐ёЁ“”‟„«»‘’‛‹›…]")).select("id", "language_code", F.when(F.expr("id div 4000000 % 2 = 0"), F.concat(F.lit("<b>"), "original_text", F.lit("</b>"))).otherwise(F.col("original_text")).alias("original_text"))
-    return M.plaintext_keys(rows).select(F.md5("plain").alias("plain_hash"), "language_code", "id")
-
-
 def _n3_sql(x: str) -> str:
     x = f"regexp_replace(regexp_replace({_decode_sql(x)}, '(?i)<br\\s*/?\\s*>', ' ', 'g'), '<[^>]*>', '', 'g')"
     x = _plain_sql(f"translate(translate({x}, chr(160), ' '), 'ёЁ', 'еЕ')", T.DOUBLE_QUOTES, '"')
