@@ -3,10 +3,12 @@
 Learned per language from labelled rows: relative frequencies of words and of n-grams (with a space on either side of a
 word). A word known in any language scores -log10 of its frequency there, or a penalty where it is absent. An unseen
 word is scored by its known n-grams of the greatest length that has any, averaged. The mean over a text's words decides;
-`score` is the softmax of the means, weighted by the words up to a limit. The model comes from a sample of about
-`rows_per_lang` labelled rows per language (whole texts, chosen by a hash of the id), of every label that there is, and
-keeps the words and n-grams whose share among those of their length and language is `least_share` or more. There can be
-no more than 1 / least_share of these, which bounds the model for each label at any size of the corpus.
+`score` is the softmax of the means, weighted by the words up to a limit. The model comes from a sample of whole
+labelled texts, chosen by a hash of the id: about `rows_per_lang` rows of each label, and fewer where their texts would
+exceed about `chars_per_lang` characters. Every label, and every word and n-gram of the sample, is kept. The model is
+sparse: a token's 64-bit hash with the labels that have it and their scores, at most 24 bytes for each (token, label), so
+it grows with the number of labels, not with its square. (Two tokens of one length share a hash once in about 10^7 models
+of a million tokens.)
 
 Words are letters with the combining marks that follow them.
 
@@ -22,7 +24,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,32 +86,40 @@ def _pieces(part: pa.RecordBatch) -> Counter:
     return found
 
 
-def train(labelled: DataFrame, rows_per_lang: int = 2000, least_share: float = 5e-6) -> dict:
+def train(labelled: DataFrame, rows_per_lang: int = 2000, chars_per_lang: int = 8_000_000) -> dict:
     """Model of labelled(id, text, lang), of all its labels."""
-    counts = stored(labelled.groupBy("lang").count(), "labels")  # a table, so that Spark knows its size when it plans the join
+    sums = labelled.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars"))
+    counts = stored(sums, "labels")  # a table, so that Spark knows its size when it plans the join
     chance = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
-    sample = labelled.join(counts, "lang").where(chance < F.lit(float(rows_per_lang)) / F.col("count")).select("text", "lang")
+    taken = F.least(F.lit(float(rows_per_lang)) / F.col("rows"), F.lit(float(chars_per_lang)) / F.greatest("chars", F.lit(1)))
+    sample = labelled.join(counts, "lang").where(chance < taken).select("text", "lang")
     words = stored(_counted(sample, ["lang", "token"], _words).select("token", "lang", "n"), "words")  # n-grams come from different words, once each
-    tokens = stored(_counted(words, ["lang", "length", "token"], _pieces), "tokens")
-    totals = stored(tokens.groupBy("lang", "length").agg(F.sum("n").alias("total")), "totals")
-    rows = tokens.join(totals, ["lang", "length"]).where(F.col("n") >= F.col("total") * least_share).select("lang", "length", "token", (-F.log10(F.col("n") / F.col("total"))).alias("s")).toArrow()
+    tokens = _counted(words, ["lang", "length", "token"], _pieces)
+    rows = tokens.select("lang", "length", F.xxhash64("token").alias("hash"), "n").toArrow()
     langs = sorted(r["lang"] for r in counts.select("lang").collect())
-    if not langs:
-        return {"langs": [], "known": [{}] * (LONGEST + 1), "scores": np.zeros((1, 0), np.float32), "key": "none"}
-    at = {lang: k for k, lang in enumerate(langs)}
-    known: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]  # by length; words at 0
-    lang_of, length_of, token_of = (rows.column(c).to_pylist() for c in ("lang", "length", "token"))
-    where, size = [], 0
-    for length, token in zip(length_of, token_of):
-        row = known[length].setdefault(token, size)
-        size += row == size
-        where.append(row)
-    scores = np.full((size + 1, len(langs)), PENALTY, np.float32)
-    scores[where, [at[x] for x in lang_of]] = rows.column("s").to_numpy()
-    import hashlib
-
-    key = hashlib.sha1(repr((langs, size)).encode() + scores.tobytes()).hexdigest()
-    return {"langs": langs, "known": known, "scores": scores, "key": key}
+    label = pc.index_in(rows.column("lang"), pa.array(langs, pa.string())).to_numpy().astype(np.int32)
+    return _model(langs, label, *(rows.column(c).to_numpy() for c in ("length", "hash", "n")))
+
+
+def _model(langs: list[str], label: np.ndarray, length: np.ndarray, code: np.ndarray, n: np.ndarray) -> dict:
+    """The sparse model of (label, length, hash, count) entries: hashes of each length (words at 0) with the places of their entries."""
+    order = np.lexsort((label, code, length))
+    label, length, code, n = label[order], length[order], code[order], n[order].astype(np.float64)
+    group = length.astype(np.int64) * max(1, len(langs)) + label
+    totals = np.bincount(group, weights=n, minlength=1)
+    scores = -np.log10(n / totals[group]) if len(n) else n
+    hashes, starts = [], []
+    for k in range(LONGEST + 1):
+        a, b = np.searchsorted(length, (k, k + 1))
+        own, first = np.unique(code[a:b], return_index=True)
+        hashes.append(own)
+        starts.append(np.append(first + a, b))
+    key = xxhash.xxh64_hexdigest(repr(langs).encode() + label.tobytes() + code.tobytes() + scores.tobytes())
+    return {"langs": langs, "hashes": hashes, "starts": starts, "labels": label, "scores": scores.astype(np.float32), "key": key}
+
+
+def model_bytes(model: dict) -> int:
+    return sum(x.nbytes for x in (*model["hashes"], *model["starts"], model["labels"], model["scores"]))
 
 
 class _Rows(dict):
@@ -132,16 +144,23 @@ class Scorer:
         room = max(1000, min(_KEPT_WORDS, _TABLE_BYTES // (4 * n)))
         self.table, self.over, self.rows = np.zeros((room, n), np.float32), np.zeros(n), _Rows(self, room)
 
+    def _entries(self, tokens: list[str], length: int) -> tuple[int, np.ndarray]:
+        """How many of the tokens are known, and the places of their entries."""
+        known, starts = self.model["hashes"][length], self.model["starts"][length]
+        codes = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 42) for t in tokens], np.uint64).view(np.int64)
+        at = np.searchsorted(known, codes)
+        at = at[at < len(known)] if not len(known) else at[known[np.minimum(at, len(known) - 1)] == codes]
+        return len(at), np.concatenate([np.arange(starts[k], starts[k + 1]) for k in at] or [np.zeros(0, np.int64)])
+
     def word(self, word: str) -> np.ndarray:
-        known, scores = self.model["known"], self.model["scores"]
-        row = known[0].get(word)
-        if row is not None:
-            return scores[row]
-        for n in range(LONGEST, 0, -1):
-            rows = [r for r in map(known[n].get, _grams(word, n)) if r is not None]
-            if rows:
-                return scores[rows].mean(axis=0)
-        return scores[-1]  # the penalty everywhere
+        """Score of each label: of the word, else the mean of its known n-grams of the greatest length that has any, else the penalty."""
+        n_labels = len(self.model["langs"])
+        for n in (0, *range(LONGEST, 0, -1)):
+            k, at = self._entries([word] if n == 0 else _grams(word, n), n)
+            if k:
+                less = np.bincount(self.model["labels"][at], weights=self.model["scores"][at] - PENALTY, minlength=n_labels)
+                return PENALTY + less / k
+        return np.full(n_labels, PENALTY)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text) if text else []

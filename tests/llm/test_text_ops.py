@@ -42,7 +42,7 @@ def test_backoff_and_und(spark):
     assert all(got[k] == ("und", 0.0) for k in (3, 4, 5, 6))
 
 
-def brute_language(model_rows, texts, least_share=5e-6):
+def brute_language(model_rows, texts):
     """(language, score) of each text by the rule, from (text, lang) rows, with plain dictionaries."""
     grams = lambda w, n: [f" {w} "[k : k + n] for k in range(len(w) + 3 - n)]
     split = lambda t: [w for w in re.split(r"[\W\d_]+", t.lower()) if w]
@@ -56,7 +56,7 @@ def brute_language(model_rows, texts, least_share=5e-6):
                     counts[lang, n][g] += k
     langs = sorted({lang for _, lang in model_rows})
     total = {k: sum(c.values()) for k, c in counts.items()}
-    share = {k: {t: n / total[k] for t, n in c.items() if n / total[k] >= least_share} for k, c in counts.items()}
+    share = {k: {t: n / total[k] for t, n in c.items()} for k, c in counts.items()}
     for text in texts:
         words = split(text or "")
         sums = np.zeros(len(langs))
@@ -95,6 +95,29 @@ def test_many_labels_and_marks(spark):
     assert own.predict("\u0928\u092e\u0938\u094d\u0924\u0947")[0] == "hi"
 
 
+def test_model_is_linear_in_labels(spark):
+    """300 labels: no more than 24 bytes for each token of a label; every token is there, however rare."""
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(k, " ".join("".join(rng.choices(letters, k=7)) for _ in range(40)), f"l{k % 300}") for k in range(900)]
+    model = langid.train(spark.createDataFrame(rows, "id long, text string, lang string"))
+    words = {(lang, w) for _, t, lang in rows for w in t.split()}
+    tokens = {(lang, n, f" {w} "[k : k + n]) for lang, w in words for n in range(1, 6) for k in range(len(w) + 3 - n)}
+    assert len(model["langs"]) == 300 and len(model["labels"]) == len(words) + len(tokens)
+    assert langid.model_bytes(model) <= 24 * len(model["labels"]) + 48
+    half = langid.train(spark.createDataFrame([r for r in rows if int(r[2][1:]) < 150], "id long, text string, lang string"))
+    assert langid.model_bytes(model) < 2.2 * langid.model_bytes(half)
+
+
+def test_sample_is_bounded_by_characters(spark):
+    """About 40 of 400 rows of 5,000 characters make 200,000; each has a word of its own."""
+    letters = "abcdefghij"
+    rows = [(k, f"own{letters[k // 100]}{letters[k // 10 % 10]}{letters[k % 10]} " + "word " * 1000, "en") for k in range(400)]
+    model = langid.train(spark.createDataFrame(rows, "id long, text string, lang string"), chars_per_lang=200_000)
+    assert 15 < len(model["hashes"][0]) - 1 < 80
+    assert len(langid.train(spark.createDataFrame(rows, "id long, text string, lang string"))["hashes"][0]) == 401
+
+
 def test_nothing_to_learn(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = langid.train_on(empty)
