@@ -39,6 +39,9 @@ LONGEST, PENALTY, WEIGHT_WORDS = 5, 7.0, 25
 #: Bytes of the score table in a Python worker, and words kept in it.
 _TABLE_BYTES, _KEPT_WORDS = 32 << 20, 400_000
 
+#: Of a string's UTF-8, as Spark's xxhash64.
+_HASH = xxhash.xxh64_intdigest
+
 _SCORERS: dict[str, "Scorer"] = {}
 
 
@@ -123,18 +126,13 @@ def model_bytes(model: dict) -> int:
 
 
 class _Rows(dict):
-    """Row of the score table by word. Words beyond the table's room are added to `over`, at row 0."""
+    """Row of the score table by word. Words that the table lacks are added to `over`, at row 0."""
 
     def __init__(self, scorer: "Scorer", room: int):
         self.scorer, self.room = scorer, room
 
     def __missing__(self, word: str) -> int:
-        score = self.scorer.word(word)
-        if len(self) + 1 < self.room and len(word) <= 40:
-            self[word] = row = len(self) + 1
-            self.scorer.table[row] = score
-            return row
-        self.scorer.over += score
+        self.scorer.over += self.scorer.scores([word])[0]
         return 0
 
 
@@ -144,26 +142,51 @@ class Scorer:
         room = max(1000, min(_KEPT_WORDS, _TABLE_BYTES // (4 * n)))
         self.table, self.over, self.rows = np.zeros((room, n), np.float32), np.zeros(n), _Rows(self, room)
 
-    def _entries(self, tokens: list[str], length: int) -> tuple[int, np.ndarray]:
-        """How many of the tokens are known, and the places of their entries."""
-        known, starts = self.model["hashes"][length], self.model["starts"][length]
-        codes = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 42) for t in tokens], np.uint64).view(np.int64)
-        at = np.searchsorted(known, codes)
-        at = at[at < len(known)] if not len(known) else at[known[np.minimum(at, len(known) - 1)] == codes]
-        return len(at), np.concatenate([np.arange(starts[k], starts[k + 1]) for k in at] or [np.zeros(0, np.int64)])
-
-    def word(self, word: str) -> np.ndarray:
-        """Score of each label: of the word, else the mean of its known n-grams of the greatest length that has any, else the penalty."""
+    def scores(self, words: list[str]) -> np.ndarray:
+        """(words, labels): of the word, else the mean of its known n-grams of the greatest length that has any, else the penalty."""
         n_labels = len(self.model["langs"])
+        out, left = np.full((len(words), n_labels), PENALTY), np.arange(len(words))
         for n in (0, *range(LONGEST, 0, -1)):
-            k, at = self._entries([word] if n == 0 else _grams(word, n), n)
-            if k:
-                less = np.bincount(self.model["labels"][at], weights=self.model["scores"][at] - PENALTY, minlength=n_labels)
-                return PENALTY + less / k
-        return np.full(n_labels, PENALTY)
+            known, starts = self.model["hashes"][n], self.model["starts"][n]
+            if not len(left) or not len(known):
+                continue
+            tokens = [[words[k]] if n == 0 else _grams(words[k], n) for k in left]
+            owner = np.repeat(np.arange(len(left)), [len(t) for t in tokens])
+            codes = np.fromiter((_HASH(g, 42) for t in tokens for g in t), np.uint64).view(np.int64)
+            at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+            hit = known[at] == codes
+            at, owner = at[hit], owner[hit]
+            size = starts[at + 1] - starts[at]
+            entry = np.arange(size.sum()) + np.repeat(starts[at] - (np.cumsum(size) - size), size)
+            place = np.repeat(owner, size) * n_labels + self.model["labels"][entry]
+            less = np.bincount(place, weights=self.model["scores"][entry] - PENALTY, minlength=len(left) * n_labels).reshape(-1, n_labels)
+            k = np.bincount(owner, minlength=len(left))
+            out[left[k > 0]] += less[k > 0] / k[k > 0, None]
+            left = left[k == 0]
+        return out
+
+    def learn(self, words: set[str]) -> None:
+        """Puts new words into the score table, many at once; if they have no room, the table begins anew."""
+        new = [w for w in words if w not in self.rows and len(w) <= 40]
+        if len(self.rows) + len(new) >= self.rows.room:
+            self.rows.clear()
+            new = [w for w in words if len(w) <= 40][: self.rows.room - 1]
+        step = max(16, (1 << 20) // self.table.shape[1] // 8)
+        for k in range(0, len(new), step):
+            part, first = new[k : k + step], len(self.rows) + 1
+            self.table[first : first + len(part)] = self.scores(part)
+            self.rows.update(zip(part, range(first, first + len(part))))
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        words = [words_of(t) if t else [] for t in texts]
+        if self.model["langs"]:
+            self.learn(set().union(*words))
+        return list(map(self._best, words))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text) if text else []
+        return self._best(words_of(text) if text else [])
+
+    def _best(self, words: list[str]) -> tuple[str, float]:
         if not self.model["langs"] or not any(c.isalpha() for w in words for c in w):
             return "und", 0.0
         self.over[:] = 0
@@ -203,7 +226,7 @@ def predict_languages(docs: DataFrame, model: dict, text_col: str = "text") -> D
         own = scorer(shared.value)
         for batch in batches:
             for part in slices(batch, text_col):
-                found = [own.predict(t) for t in part.column(text_col).to_pylist()]
+                found = own.predict_all(part.column(text_col).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(rows, schema)

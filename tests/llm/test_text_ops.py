@@ -133,6 +133,11 @@ def test_scorer_without_room_gives_the_same(spark):
     narrow.rows.room = 1
     for text in ("one zwei", "tworeihe eins", "two two three unknown"):
         assert wide.predict(text)[0] == narrow.predict(text)[0] and abs(wide.predict(text)[1] - narrow.predict(text)[1]) < 1e-6
+    small = langid.Scorer(model)
+    small.rows.room = 4  # the table begins anew for most texts, or has no room for all their words
+    for text in ("one zwei", "tworeihe eins", "two two three unknown", "zwei eins drei one two three", "x" * 50):
+        (lang, score), wanted = small.predict_all([text])[0], wide.predict(text)
+        assert lang == wanted[0] and abs(score - wanted[1]) < 1e-6
 
 
 # SimHash.
