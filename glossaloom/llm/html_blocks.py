@@ -6,9 +6,9 @@ block has a vector of hashed tags, classes and ids on its path and one of hashed
 bidirectional LSTM in numpy reads the whole sequence, so that every block is judged in the page's context, and labels it
 as article or not. Pages of made-up layouts (`made_page`) with known labels train it, among them many whose containers
 have no names or invented ones. No corpus is needed, so the model is the same for every table; its weights (about
-120 kB) may be broadcast, and are kept in the shared folder under their version.
+120 kB) may be broadcast. They lie beside this module and are made again by running it; without the file a task trains them.
 
-Blocks of probability 0.5 and more make the text. A page with prose always has some (see `cut`).
+Blocks of probability 0.5 and more make the text; a page without such blocks has none.
 
 Reading is linear in the page: elements are nodes that know their parent and the vector of their path, tags end at the
 next > when quotes don't, and what can be closed is counted instead of sought.
@@ -30,6 +30,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -445,14 +446,16 @@ def made_page(rng: random.Random) -> tuple[str, list[int]]:
         mark = {".": f' class="{at[3]}"', "#": f' id="{at[3]}"', None: ""}[at[2]]
         return f"<{at[1]}{mark}>", f"</{at[1]}>"
 
-    plain = rng.random() < 0.5  # containers without names, or with invented ones
+    bare = rng.random() < 0.12  # no article
+    plain = not bare and rng.random() < 0.5  # containers without names, or with invented ones
     grid = plain and rng.random() < 0.4  # the page is a table
 
     def anonymous() -> tuple[str, str]:
         if grid:
             return "<td>", "</td>"
-        name = "".join(rng.choices(_SYLLABLES[:30], k=2))
-        return tag(rng.choice(("div", "div", f"div.{name}", f"div#{name}", f"section.{name}", "section")))
+        part = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 8)))
+        name = rng.choice("-_ ").join(part() for _ in range(rng.choice((1, 1, 2, 3))))
+        return tag(rng.choice(("div", "div", f"div.{name}", f"div.{name}", f"div#{name}", f"section.{name}", "section")))
 
     def block(open_: str, text: str, close: str, y: int) -> None:
         if rng.random() < 0.1:
@@ -490,6 +493,35 @@ def made_page(rng: random.Random) -> tuple[str, list[int]]:
                 block(*rng.choice((("<p>", "</p>"), ("<div>", "</div>"), ("<li>", "</li>"))[: 1 if kind != "comments" else 3])[:1], words(rng.randint(4, 50)), "</p>" if kind != "comments" else "", 0)
         html.append(close)
 
+    def figures() -> None:
+        """A table, list or listing of the article."""
+        kind, size = rng.choice(("table", "table", "dl", "list", "list", "code")), rng.randint(2, 7)
+        if kind == "table":
+            columns, cell = rng.randint(2, 4), rng.choice(("td", "td", "th"))
+            html.append("<table>" + rng.choice(("", "<tbody>")))
+            for row in range(size):
+                html.append("<tr>")
+                for _ in range(columns):
+                    name = cell if row == 0 else "td"
+                    block(f"<{name}>", rng.choice((str(rng.randint(0, 5000)), words(rng.randint(1, 3)), words(rng.randint(1, 9)))), f"</{name}>", 1)
+                html.append("</tr>")
+            html.append("</table>")
+        elif kind == "dl":
+            html.append("<dl>")
+            for _ in range(size):
+                block("<dt>", words(rng.randint(1, 4)), "</dt>", 1)
+                block("<dd>", words(rng.randint(3, 30)), "</dd>", 1)
+            html.append("</dl>")
+        elif kind == "list":
+            name = rng.choice(("ul", "ol"))
+            html.append(f"<{name}>")
+            for _ in range(rng.randint(2, 14)):
+                block("<li>", words(rng.randint(1, 25)), "</li>", 1)
+            html.append(f"</{name}>")
+        else:
+            lines = (f"{words(1)} = {words(1)}({rng.randint(0, 99)});" for _ in range(size))
+            block(*rng.choice((("<pre>", "\n".join(lines), "</pre>"), ("<pre><code>", "\n".join(lines), "</code></pre>"))), 1)
+
     def maybe(kinds: str, p: float) -> None:
         for kind in kinds.split():
             if rng.random() < p:
@@ -497,7 +529,7 @@ def made_page(rng: random.Random) -> tuple[str, list[int]]:
 
     html.append("<!DOCTYPE html><html><head>")
     title = words(rng.randint(3, 12))
-    if rng.random() < 0.9:
+    if rng.random() < 0.75:
         html.append(f"<title>{title}</title>")
         labels.append(0)
     html.append("<style>p{margin:0}</style><script>var t='</p>';</script></head><body>")
@@ -505,16 +537,29 @@ def made_page(rng: random.Random) -> tuple[str, list[int]]:
     html.append(shell)
     maybe("notice header menu advert", 0.5)
     maybe("menu form", 0.3)
-    open_, close = anonymous() if plain or rng.random() < 0.2 else tag(rng.choice(_ARTICLES))
+    if bare:
+        for kind in rng.sample(sorted(_PLACES), rng.randint(1, 4)):
+            place(kind)
+        html.append("</div>" if shell else "")
+        maybe("footer", 0.9)
+        return "".join(html) + "</body></html>", labels
+    outer = "" if grid or rng.random() < 0.7 else tag(rng.choice(("main", "main", "div.row", "div.layout", "section")))[0]
+    html.append(outer)
+    if outer and rng.random() < 0.5:
+        place(rng.choice(("header", "menu")) if not plain else "menu")
+    open_, close = anonymous() if plain or rng.random() < (0.6 if outer else 0.35) else tag(rng.choice(_ARTICLES))
     if plain and not grid and rng.random() < 0.3:
         open_ = close = ""  # right in the page
-    inner = rng.choice(("p", "p", "p", "div")) if plain else "p"
+    inner = rng.choice(("p", "p", "div")) if plain else "p"
     html.append(open_)
-    if rng.random() < 0.85:
+    if rng.random() < 0.75:
         inside = rng.random() < 0.15
         block("<header><h1>" if inside else "<h1>", title, "</h1></header>" if inside else "</h1>", 1)
     table_like = rng.random() < 0.25
+    rich = rng.random() < 0.35
     for _ in range(rng.randint(1, 16)):
+        if rich and not grid and rng.random() < 0.25:
+            figures()
         n = rng.choice((rng.randint(1, 8), rng.randint(5, 60), rng.randint(40, 200)))
         text = words(n)
         if table_like:
@@ -528,14 +573,14 @@ def made_page(rng: random.Random) -> tuple[str, list[int]]:
         block(*rng.choice(((f"<{inner}>", text, f"</{inner}>"),) * 9 + (("<h2>", words(5), "</h2>"), ("<blockquote>", text, "</blockquote>"), ("<ul><li>", text, "</li></ul>"), ("<div>", text, "</div>"))), 1)
         if rng.random() < 0.06 and not plain:
             place(rng.choice(("advert", "sidebar", "share", "notice")))
-    html.append(close)
+    html.append(close + (re.sub(r"<(\w+).*", r"</\1>", outer) if outer else ""))
     maybe("share comments form sidebar advert", 0.3)
     html.append("</tr></table>" if grid else "</div>" if shell else "")
     maybe("footer", 0.9)
     return "".join(html) + ("</body></html>" if rng.random() < 0.9 else ""), labels
 
 
-def train(pages: int = 3200, epochs: int = 6, batch: int = 32, seed: int = 7) -> dict[str, np.ndarray]:
+def train(pages: int = 8000, epochs: int = 5, batch: int = 32, seed: int = 8) -> dict[str, np.ndarray]:
     """Weights after Adam over made-up pages."""
     rng = random.Random(seed)
     data = []
@@ -569,13 +614,18 @@ def train(pages: int = 3200, epochs: int = 6, batch: int = 32, seed: int = 7) ->
 
 _TRAINED: list[dict] = []
 #: Part of the weights' file name; changes with made_page, vectors or train.
-VERSION = 2
+VERSION = 3
+#: Made by `python -m glossaloom.llm.html_blocks`.
+SHIPPED = Path(__file__).with_name(f"block_labeller_v{VERSION}.npz")
 
 
 def trained(spark: SparkSession) -> dict[str, np.ndarray]:
-    """The weights: of this process, or from the shared folder, or trained in a task (executors run numpy with one thread, which small matrices need) and kept there."""
+    """The weights: of this process, else the file beside this module (what train() gives for this version), else from the shared folder, or trained in a task (executors run numpy with one thread, which small matrices need) and kept there."""
     if _TRAINED:
         return _TRAINED[0]
+    if SHIPPED.is_file():
+        _TRAINED.append(dict(np.load(SHIPPED)))
+        return _TRAINED[0]
     fs, folder = open_fs(shared_dir(spark))
     path = f"{folder}/block_labeller_v{VERSION}.npz"
     if not fs.get_file_info(path).is_file:
@@ -596,15 +646,6 @@ def trained(spark: SparkSession) -> dict[str, np.ndarray]:
     return _TRAINED[0]
 
 
-def cut(blocks: list[tuple[Node, str, int]], p: np.ndarray) -> float:
-    """The probability from which blocks are the article's: 0.5.
-
-    If a page has prose but none of it gets there, its layout is strange to the network: then half of what the likeliest prose gets.
-    """
-    prose = [q for (_, text, links), q in zip(blocks, p) if 2 * links < len(text) and text.count(" ") >= 20]
-    return 0.5 if not prose or max(prose) >= 0.5 else float(max(prose)) / 2
-
-
 def main_texts(htmls: list[str | None], w: dict) -> list[str]:
     """The article text of each page."""
     pages = [leaf_blocks(h) for h in htmls]
@@ -615,8 +656,7 @@ def main_texts(htmls: list[str | None], w: dict) -> list[str]:
         group, order = order[:n], order[n:]
         x, lengths = padded([vectors(pages[k]) for k in group])
         for k, p in zip(group, label(x, lengths, w)):
-            least = cut(pages[k], p)
-            texts[k] = " ".join(b[1] for b, q in zip(pages[k], p) if q >= least)
+            texts[k] = " ".join(b[1] for b, q in zip(pages[k], p) if q >= 0.5)
     return texts
 
 
@@ -640,3 +680,7 @@ def op7_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op7_block_labeller": op7_block_labeller}
 ORACLES: dict[str, str] = {}
+
+
+if __name__ == "__main__":
+    np.savez_compressed(SHIPPED, **train())
