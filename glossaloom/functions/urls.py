@@ -95,13 +95,34 @@ def classify_link(href: Column, host: Column) -> Column:
 
 
 def rewrite_links(html: Column, language: Column, languages: tuple[str, ...], host: str) -> Column:
-    """A language prefix for every href to the host or to a path; assets, admin paths and prefixed links stay."""
+    """A language prefix for every href to the host or to a path, and for the host's addresses in share parameters; assets, admin paths and prefixed links stay."""
     codes = "|".join(re.escape(x) for x in languages)
     skip = rf"(?!/?(?:{codes})(?:[/?#\"'])|wp-(?:admin|login|content|includes|json)|[^\"'?#]*\.(?:jpg|jpeg|png|gif|webp|svg|ico|css|js|pdf|zip|mp4|mp3)(?:[\"'?#]))"
-    absolute = rf"(?i)((?:href|data-href|data-url|data-link|action)=[\"'](?:https?:)?//{re.escape(host)})/" + skip
-    relative = r"(?i)((?:href|data-href|data-url|data-link|action)=[\"'])/(?!/)" + skip
+    absolute = rf"(?i)((?:href|data-href|data-url|data-link|data-share-url|action)=[\"'](?:https?:)?//{re.escape(host)})/" + skip
+    relative = r"(?i)((?:href|data-href|data-url|data-link|data-share-url|action)=[\"'])/(?!/)" + skip
     to = F.concat(F.lit("$1/"), language, F.lit("/"))
-    return F.regexp_replace(F.regexp_replace(html, F.lit(absolute), to), F.lit(relative), to)
+    own = F.regexp_replace(F.regexp_replace(html, F.lit(absolute), to), F.lit(relative), to)
+    return rewrite_shared_links(own, language, languages, host)
+
+
+#: Query parameters of share links that carry an address, and endings of files that have no language.
+SHARED_PARAMETERS = ("u", "url", "text", "link")
+SHARED_FILES = ("css", "js", "png", "jpg", "jpeg", "gif", "svg", "woff", "woff2", "ttf", "eot", "ico", "webp", "pdf", "zip", "xml")
+
+
+def rewrite_shared_links(html: Column, language: Column, languages: tuple[str, ...], host: str) -> Column:
+    """A language prefix for the host's addresses inside share parameters, plain or with %2F (and %3A); the rest of the link stays as it is.
+
+    Addresses that have a prefix, or whose path ends like a file, stay. Null stays null.
+    """
+    codes, files = "|".join(re.escape(x) for x in languages), "|".join(SHARED_FILES)
+    begin = rf"(?i)((?:[?&]|&amp;)(?:{'|'.join(SHARED_PARAMETERS)})="
+    end = r"(?:[&\"'\s]|$)"
+    skip = rf"|[^&\"'\s]*\.(?:{files}){end})"
+    plain = begin + rf"https?://{re.escape(host)})/(?!(?:{codes})(?:[/?#]|{end})" + skip
+    encoded = begin + rf"https?(?::|%3A)%2F%2F{re.escape(host)})%2F(?!(?:{codes})(?:%2F|%3F|%23|{end})" + skip
+    once = F.regexp_replace(html, F.lit(plain), F.concat(F.lit("$1/"), language, F.lit("/")))
+    return F.regexp_replace(once, F.lit(encoded), F.concat(F.lit("$1%2F"), language, F.lit("%2F")))
 
 
 def hreflangs(pages: DataFrame, url_col: str, languages: tuple[str, ...], default: str, home: str = "") -> DataFrame:

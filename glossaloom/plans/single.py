@@ -12,6 +12,7 @@ from glossaloom.functions import masking as MK
 from glossaloom.functions import predicates as P
 from glossaloom.functions import text as T
 from glossaloom.functions import urls as U
+from glossaloom.operators import graphs as G
 from glossaloom.operators import html as H
 from glossaloom.operators import memory as M
 from glossaloom.operators import precedence as PR
@@ -337,6 +338,55 @@ def rewritten_links(spark, sf):
     return _t(spark, sf, "pages").select("page_id", F.md5(U.rewrite_links(F.col("html"), F.lit("de"), LANGS, "example.com")).alias("html_hash"))
 
 
+_SHARED_SQL = """
+WITH whole AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS own FROM pages),
+parts AS (SELECT page_id, own, regexp_replace(own, '^/[a-z][a-z]/', '/') AS path FROM whole),
+moved AS (SELECT page_id, path, CASE WHEN path = '' OR regexp_matches(path, '(?i)^/(en|fr|de|es)(/|$)') OR regexp_matches(path, '(?i)\\.(css|js|png|jpg|jpeg|gif|svg|woff|woff2|ttf|eot|ico|webp|pdf|zip|xml)$') THEN path ELSE '/de' || path END AS to_path,
+          own || '-x' AS other FROM parts),
+links AS (SELECT page_id, to_path, CASE WHEN other = '-x' OR regexp_matches(other, '(?i)^/(en|fr|de|es)(/|$)') THEN other ELSE '/de' || other END AS to_other FROM moved)
+SELECT page_id, md5('<a href="https://share.example/x?u=https://example.com' || to_path || '&amp;t=1">s</a><a href=''/de/send?id=1&url=https%3A%2F%2Fexample.com' || replace(to_path, '/', '%2F') || chr(39) || '>m</a><b data-share-url="https://share.example/?text=https:%2F%2Fexample.com' || replace(to_other, '/', '%2F') || '&link=https://other.example/a">t</b>') AS html_hash,
+       to_path AS path FROM links"""
+
+
+@query("shared_links", _SHARED_SQL)
+def shared_links(spark, sf):
+    """Share links to the paths of all pages, plain and encoded without the language, half-encoded with it."""
+    own = F.regexp_extract("url", r"^https?://[^/?#]*([^?#]*)", 1)
+    path = F.regexp_replace(own, "^/[a-z][a-z]/", "/")
+    coded = F.replace(path, F.lit("/"), F.lit("%2F"))
+    html = F.concat(F.lit('<a href="https://share.example/x?u=https://example.com'), path, F.lit("&amp;t=1\">s</a><a href='/send?id=1&url=https%3A%2F%2Fexample.com"), coded, F.lit("'>m</a><b data-share-url=\"https://share.example/?text=https:%2F%2Fexample.com"), F.replace(own, F.lit("/"), F.lit("%2F")), F.lit('-x&link=https://other.example/a">t</b>'))
+    out = U.rewrite_links(html, F.lit("de"), LANGS, "example.com")
+    return _t(spark, sf, "pages").select("page_id", F.md5(out).alias("html_hash"), F.regexp_extract(out, "u=https://example.com([^&]*)", 1).alias("path"))
+
+
+_GRAPHS_SQL = f"""
+WITH {TM_SQL}, words AS (SELECT doc_id, original_text, id, translated_text || ' </' || id AS shown FROM tm WHERE language_code = 'de' AND translated_text <> ''),
+own AS (SELECT doc_id, original_text, arg_max(shown, id) AS own FROM words GROUP BY ALL),
+anywhere AS (SELECT original_text, arg_max(shown, id) AS anywhere FROM words GROUP BY ALL)
+SELECT s.doc_id, s.pos, md5(coalesce(own, anywhere, s.text)) AS name_hash, md5(coalesce(own, anywhere, s.text)) AS inner_hash, md5(s.text) AS kept_hash, md5(s.text) AS listed_hash,
+       CASE WHEN s.pos % 3 = 0 THEN 'https://example.com/fr/n' WHEN s.pos % 3 = 1 THEN 'https://example.com/de/n?x=' || s.pos ELSE 'https://example.community/n' END AS address
+FROM strings s LEFT JOIN own ON own.doc_id = s.doc_id AND own.original_text = s.text LEFT JOIN anywhere ON anywhere.original_text = s.text"""
+
+
+@query("localized_graphs", _GRAPHS_SQL)
+def localized_graphs(spark, sf):
+    """A page for each document whose structured data hold all its lines, nested, beside keys that stay."""
+    lines = _strings(spark, sf).select("doc_id", _pos(), "text")
+    address = F.when(F.col("pos") % 3 == 0, "https://example.com/fr/n").when(F.col("pos") % 3 == 1, F.concat(F.lit("https://example.com/n?x="), "pos")).otherwise("https://example.community/n")
+    inner = F.struct(F.col("text").alias("headline"), F.array("text").alias("name"))
+    node = F.struct(F.col("pos").alias("position"), F.col("text").alias("name"), F.col("text").alias("keywords"), address.alias("@id"), F.struct(F.array(inner).alias("part")).alias("about"))
+    graph = lines.select("doc_id", node.alias("node")).groupBy("doc_id").agg(F.to_json(F.struct(F.collect_list("node").alias("@graph"))).alias("graph"))
+    begin, end = '<head><script data-x="1" type="application/ld+json">', "</script></head><p>x</p>"
+    pages = graph.select(F.col("doc_id").alias("page_id"), F.concat(F.lit(begin), F.replace("graph", F.lit("</"), F.lit("<\\/")), F.lit(end)).alias("html"))
+    tm = _tm(spark, sf).where("language_code = 'de' and translated_text != ''").withColumn("translated_text", F.concat("translated_text", F.lit(" </"), "id"))
+    out = G.localize_graphs(pages, tm, "https://example.com", "de", LANGS)
+    body = F.expr(f"substring(html, {len(begin) + 1}, length(html) - {len(begin) + len(end)})")
+    shape = "`@graph` array<struct<position: long, name: string, keywords: string, `@id`: string, about: struct<part: array<struct<headline: string, name: array<string>>>>>>"
+    rows = out.select(F.col("page_id").alias("doc_id"), F.explode(F.from_json(body, shape)["@graph"]).alias("n"))
+    part = F.col("n.about.part")[0]
+    return rows.select("doc_id", F.col("n.position").alias("pos"), F.md5("n.name").alias("name_hash"), F.md5(part["headline"]).alias("inner_hash"), F.md5("n.keywords").alias("kept_hash"), F.md5(part["name"][0]).alias("listed_hash"), F.col("n.@id").alias("address"))
+
+
 @query("rewritten_srcsets", "SELECT page_id, '/new.jpg 300w, /other-' || page_id || '.jpg 2x, /new.jpg 1024w' AS srcset FROM pages")
 def rewritten_srcsets(spark, sf):
     """Entries of all sizes of an image."""
