@@ -20,7 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
-from html import escape, unescape
+from html import escape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -116,7 +116,7 @@ def page_slots(html: str | None, no_translate: tuple[str, ...] = ()) -> Iterator
             offset, attrs = m.start(3), []
             for a in _ATTRIBUTE.finditer(m[3]):
                 value = a[2] or ""
-                attrs.append((a[1].lower(), offset + a.start(2) if a[2] else -1, offset + a.end(2) if a[2] else -1, unescape(value[1:-1] if value[:1] in "\"'" else value)))
+                attrs.append((a[1].lower(), offset + a.start(2) if a[2] else -1, offset + a.end(2) if a[2] else -1, H.decoded(value[1:-1] if value[:1] in "\"'" else value)))
             own = {k: v for k, _, _, v in reversed(attrs)}
             skip = top.skip or tag in H.OPAQUE or own.get("translate") == "no" or H.NO_TRANSLATE_ATTRIBUTE in own or own.get("id") in H.NO_TRANSLATE_IDS or not set(classes).isdisjoint(own.get("class", "").split())
             in_head = top.in_head or top.tag == "head"
@@ -144,7 +144,7 @@ def page_slots(html: str | None, no_translate: tuple[str, ...] = ()) -> Iterator
                     stop = closed.start() if closed else len(html)
                     if tag == "title" and not skip and "title" not in seen and html[end:stop].strip():
                         seen.add("title")
-                        out.append(["title", "seo_title", end, stop, unescape(html[end:stop]), False, None])
+                        out.append(["title", "seo_title", end, stop, H.decoded(html[end:stop]), False, None])
                     pos = stop
     unclosed = html.find("<!--", pos)
     text(pos, unclosed if unclosed >= 0 else len(html))
