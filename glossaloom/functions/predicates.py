@@ -87,8 +87,9 @@ def matches_any(c: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def is_json(c: Column) -> Column:
-    """Any JSON value, scalars too."""
-    return F.try_parse_json(c).isNotNull()
+    """Any JSON value, scalars too. The parser stops behind the first value; within brackets and as a member it only fits if it is all of the text."""
+    fits = lambda head, tail: F.try_parse_json(F.concat(F.lit(head), c, F.lit(tail))).isNotNull()
+    return F.try_parse_json(c).isNotNull() & fits("[", "]") & fits('{"v":', "}")
 
 
 def _empty(c: Column) -> Column:
