@@ -23,6 +23,7 @@ from glossaloom.operators import rewrite as RW
 from glossaloom.operators import search as SE
 from glossaloom.operators import selectors as S
 from glossaloom.operators import stats as ST
+from glossaloom.session import stored
 from glossaloom.streaming import lookups as SL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -241,8 +242,8 @@ def reverse_lookup(spark, sf):
 @query("contained_keys_all", f"WITH {STRINGS_SQL}, t AS (SELECT DISTINCT text FROM strings) SELECT t.text, k.text AS key, octet_length(encode(t.text)) <= 500 AS node FROM t JOIN t k ON contains(t.text, k.text) AND length(t.text) > length(k.text)")
 def contained_keys_all(spark, sf):
     """J16 to J18 over all lines; J16 takes the rows with node, as only nodes have a limit."""
-    rows = _strings(spark, sf).select("text").distinct()
-    return M.contained_keys(rows, rows.select(F.col("text").alias("key"))).withColumn("node", F.octet_length("text") <= 500)
+    rows = stored(_strings(spark, sf).select("text").distinct(), "lines")
+    return M.contained_keys(rows, rows.select(F.col("text").alias("key")), distinct=True).withColumn("node", F.octet_length("text") <= 500)
 
 
 @query(
