@@ -94,7 +94,8 @@ def merge_page_and_global(tm: DataFrame) -> DataFrame:
     own = tm.withColumn("post_id", T.context_post_id(F.col("context")))
     pages = own.where("post_id is not null").select("post_id", "original_text", "translated_text", "id")
     shared = own.where(F.col("context").startswith("global_")).select("original_text", "translated_text", "id")
-    spread = pages.select("post_id", "original_text").distinct().join(shared, "original_text")
+    # one global row a text, or a text of many pages would meet all of its global rows
+    spread = pages.select("post_id", "original_text").distinct().join(best_per_key(shared, ["original_text"], [-F.col("id")]), "original_text")
     return by_priority([pages, spread], ["post_id", "original_text"], [-F.col("id")]).select("post_id", "original_text", "translated_text")
 
 
