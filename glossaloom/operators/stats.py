@@ -48,6 +48,12 @@ def plural_maps(tm: DataFrame) -> DataFrame:
     return rows.groupBy("original_text", "language_code").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("plural_form", "translated_text")))).alias("forms"), F.max_by("translated_text", "plural_form").alias("last_form"))
 
 
+def completeness_of(maps: DataFrame) -> DataFrame:
+    """A10 from the maps of plural_maps: the number of forms, and of those with a text."""
+    filled = F.filter(F.map_values("forms"), lambda t: F.coalesce(t, F.lit("")) != "")
+    return maps.withColumn("translated", F.size(filled).cast("long")).withColumn("forms", F.size("forms").cast("long"))
+
+
 def items_by_group(items: DataFrame) -> DataFrame:
     """A11, A12, H22."""
     return items.groupBy("page_id", "field_group", "type").agg(F.count("*").alias("n"))
@@ -57,7 +63,9 @@ def unified_structure(tm: DataFrame) -> DataFrame:
     """Per post a map group -> text -> translation; the row with the greatest id wins."""
     from glossaloom.functions.text import parse_context
 
-    rows = tm.withColumn("c", parse_context(F.col("context"))).where("c.scope = 'post'")
-    last = rows.groupBy(F.col("c.id").alias("post_id"), F.col("c.grp").alias("grp"), "language_code", "original_text").agg(F.max_by(F.coalesce("translated_text", "original_text"), "id").alias("translated"))
+    rows = tm.select(parse_context(F.col("context")).alias("c"), "language_code", "original_text", F.coalesce("translated_text", "original_text").alias("shown"), "id").where("c.scope = 'post'")
+    # a post is the unit of all three groupings, so its texts move once
+    rows = rows.select(F.col("c.id").alias("post_id"), F.col("c.grp").alias("grp"), "language_code", "original_text", "shown", "id").repartition("post_id", "language_code")
+    last = rows.groupBy("post_id", "grp", "language_code", "original_text").agg(F.max_by("shown", "id").alias("translated"))
     groups = last.groupBy("post_id", "language_code", "grp").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("original_text", "translated")))).alias("m"))
     return groups.groupBy("post_id", "language_code").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("grp", F.to_json("m"))))).alias("groups"))

@@ -150,8 +150,9 @@ def _mixed(spark, sf):
 
 @query("context_preference", _MIXED_SQL + " SELECT original_text_hash, language_code, id, md5(coalesce(translated_text, original_text)) AS shown_hash FROM (SELECT *, row_number() OVER (PARTITION BY original_text_hash, language_code ORDER BY CASE WHEN context = 'general' THEN 1 WHEN context LIKE 'group%' THEN 2 ELSE 3 END, status DESC, id) AS r FROM mixed) WHERE r = 1")
 def context_preference(spark, sf):
-    rows = M.preferred_context(_mixed(spark, sf).select("original_text_hash", "language_code", "context", "original_text", "translated_text", "status", "id"))
-    return rows.select("original_text_hash", "language_code", "id", F.md5("translated_text").alias("shown_hash"))
+    # the texts go by their hashes, as the result shows them
+    rows = _mixed(spark, sf).select("original_text_hash", "language_code", "context", F.md5("original_text").alias("original_text"), F.md5("translated_text").alias("translated_text"), "status", "id")
+    return M.preferred_context(rows).select("original_text_hash", "language_code", "id", F.col("translated_text").alias("shown_hash"))
 
 
 @query("paged_strings", f"WITH {TM_SQL} SELECT id, original_text_hash FROM tm WHERE language_code = 'de' AND kind = 'gettext' AND (contains(original_text, 'th') OR coalesce(contains(translated_text, 'th'), false)) ORDER BY updated_at DESC, id LIMIT 100 OFFSET 100")
@@ -394,8 +395,9 @@ def meta_maps(spark, sf):
 @query("unified_structure", f"WITH {TM_SQL} SELECT doc_id AS post_id, language_code, count(DISTINCT original_text) AS n_texts FROM tm GROUP BY 1, 2")
 def unified_structure(spark, sf):
     rows = ST.unified_structure(_tm(spark, sf))
-    texts = F.size(F.map_keys(F.from_json(F.col("groups")["content_blocks"], "map<string,string>")))
-    return rows.select("post_id", "language_code", texts.cast("long").alias("n_texts"))
+    # texts as keys may be longer than JSON readers take; without escapes, four quotes are left of each pair
+    quotes = F.regexp_count(F.regexp_replace(F.col("groups")["content_blocks"], r"\\.", ""), F.lit('"'))
+    return rows.select("post_id", "language_code", (quotes / 4).cast("long").alias("n_texts"))
 
 
 # Sets of items.
@@ -674,10 +676,13 @@ def plural_counts(spark, sf):
 SELECT md5(original_text) AS text_hash, language_code, count(*) AS forms, CAST(sum(CASE WHEN t <> '' THEN 1 ELSE 0 END) AS BIGINT) AS translated, md5(max_by(t, plural_form)) AS last_hash FROM forms GROUP BY original_text, language_code""",
 )
 def plural_maps(spark, sf):
-    pos = F.expr("id div 4 % 1000000")
-    rows = _tm(spark, sf).withColumn("plural_form", (pos % 3).cast("int")).groupBy("original_text", "original_text_hash", "language_code", "plural_form").agg(F.max(F.coalesce("translated_text", F.lit(""))).alias("translated_text"))
-    maps = ST.plural_maps(rows).select(F.md5("original_text").alias("text_hash"), "language_code", F.md5("last_form").alias("last_hash"))
-    return ST.plural_completeness(rows).withColumnRenamed("original_text_hash", "text_hash").join(maps, ["text_hash", "language_code"])
+    """A9, A10; the strings stand by their hashes, as the result has them, so texts move once."""
+    pos, empty = F.expr("id div 4 % 1000000"), F.col("t") == ""
+    rows = _tm(spark, sf).select("original_text_hash", "language_code", (pos % 3).cast("int").alias("plural_form"), F.coalesce("translated_text", F.lit("")).alias("t"))
+    rows = rows.groupBy("original_text_hash", "language_code", "plural_form").agg(F.max("t").alias("t"))
+    maps = ST.plural_maps(rows.select(F.col("original_text_hash").alias("original_text"), "language_code", "plural_form", F.when(empty, "").otherwise(F.md5("t")).alias("translated_text")))
+    last = F.when(F.col("last_form") == "", F.md5(F.lit(""))).otherwise(F.col("last_form"))
+    return ST.completeness_of(maps).select(F.col("original_text").alias("text_hash"), "language_code", "forms", "translated", last.alias("last_hash"))
 
 
 # Pages.
