@@ -50,6 +50,13 @@ def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", F.decode("content", "utf-8").alias("content"))
 
 
+def _entries(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """Catalogs as files(path, content), cut at empty lines, where entries end: a file of any size is many rows."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("lineSep", "\n\n").text(path)
+    name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return rows.select(name.alias("path"), F.col("value").alias("content"))
+
+
 def _explode(files: DataFrame, each, schema: pa.Schema, ddl: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,7 +79,7 @@ def catalog_rows(files: DataFrame) -> DataFrame:
 
 
 def read_catalogs(spark: SparkSession, path: str) -> DataFrame:
-    return catalog_rows(_files(spark, path, "*.po"))
+    return catalog_rows(_entries(spark, path, "*.po"))
 
 
 def reverse_map(catalog: DataFrame) -> DataFrame:
