@@ -1,8 +1,10 @@
 """MinHash near-duplicates by an inverted join over signature coordinates.
 
-A signature has COORDINATES minima of a text's set of word shingles. Sets are posted under each (coordinate, value) pair;
-two are candidates if they collide in at least `least_matches` coordinates, which sets of the wanted similarity fail to do
-with a chance below MISS. Collisions are counted as a T-occurrence problem:
+A signature has COORDINATES minima of a text's set of word shingles; two sets are candidates if they collide in at least
+`least_matches` coordinates, which sets of the wanted similarity fail to do with a chance below MISS. Sets are posted under
+the values of two neighbouring coordinates at a time: of c collisions at least c - COORDINATES / 2 make whole pairs, and
+unlike sets that share a frequent shingle seldom agree in both. Where the threshold warrants no whole pair, they are posted
+under single coordinates. Collisions are counted as a T-occurrence problem:
 
 - Values that one set alone holds are in no list. A set with fewer shared values than the threshold drops out.
 - Prefix: only the m - threshold + 1 rarest of a set's m shared values are merged; sets that reach the threshold meet there.
@@ -79,10 +81,16 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(rows, "id long, sid long, n long, sig array<int>")
 
 
-def postings(distinct: DataFrame, least: int) -> DataFrame:
+def least_values(least: int, coordinates: int = COORDINATES) -> tuple[int, int]:
+    """(width, values): how many coordinates make one posted value, and how many values of that width so many collisions share at least."""
+    return (2, least - coordinates // 2) if least > coordinates // 2 else (1, least)
+
+
+def postings(distinct: DataFrame, width: int, least: int) -> DataFrame:
     """(token, sid, n, m, i, weight): the merged part of the lists: of a set's m shared values the m - least + 1 rarest, i their places from 0."""
-    token = F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit((1 << 32) - 1)))
-    dealt = distinct.select("sid", "n", F.posexplode("sig").alias("k", "v")).select("sid", "n", token.alias("token")).repartition("token")
+    token = F.xxhash64("k", *[F.get("sig", F.col("k") + j) for j in range(width)])
+    places = F.explode(F.sequence(F.lit(0), F.lit(COORDINATES - width), F.lit(width)))
+    dealt = distinct.select("sid", "n", "sig", places.alias("k")).select("sid", "n", token.alias("token")).repartition("token")
     shared = dealt.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     own = dealt.join(shared, "token").groupBy("sid", "n").agg(F.collect_list(F.struct("df", "token")).alias("values"), F.sum("df").alias("weight"))
     able = own.withColumn("m", F.size("values")).where(F.col("m") >= least)
@@ -165,6 +173,14 @@ def _mixed(posted: DataFrame, parts: DataFrame) -> DataFrame:
     return placed.join(mixed, "token", "left_semi")
 
 
+def _placed(long: DataFrame, roots: DataFrame, parts: DataFrame) -> DataFrame:
+    """(r, sid, n, part): the sets of long lists, each once for a component that the lists' central sets are in; r is the most central of these."""
+    central = long.select("token").distinct().join(roots, "token").select("token", F.col("r.sid").alias("sid"), F.col("r.weight").alias("weight"))
+    central = central.join(parts, "sid").select("token", "sid", "weight", F.col("part").alias("of"))
+    most = central.groupBy("of").agg(F.max(F.struct("weight", "sid")).alias("r")).select("of", F.col("r.sid").alias("r"))
+    return long.join(central.select("token", "of"), "token").select("of", "sid", "n", "part").distinct().join(most, "of").select("r", "sid", "n", "part")
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     """(sid) of all sets of pairs (a, b)."""
     return pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
@@ -239,7 +255,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stored(signatures(docs, id_col, text_col, words), "signatures")
     distinct = rows.where("n > 0").groupBy("sid").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     distinct = stored(distinct, "distinct_signatures")
-    posted = stored(postings(distinct, least), "lists")
+    width, values = least_values(least)
+    posted = stored(postings(distinct, width, values), "lists")
     able = stored(posted.select("sid").distinct(), "able")
     sigs = stored(distinct.join(able, "sid", "left_semi").select("sid", "sig"), "able_signatures")
     other = [F.col(c).alias(f"{c}2") for c in ("sid", "n", "m", "i", "part")]
@@ -247,18 +264,18 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # each member of a list and the list's most central set
     roots = posted.groupBy("token").agg(F.max(F.struct("weight", "sid", "n", "m", "i")).alias("r"), F.count("*").alias("size")).where("size > 1")
     met = posted.join(roots, "token").where("sid != r.sid").select("sid", "n", "m", "i", *[F.col(f"r.{c}").alias(f"{c}2") for c in ("sid", "n", "m", "i")])
-    central = stored(_colliding(_merged(met, least, percent), sigs, least), "central")
+    central = stored(_colliding(_merged(met, values, percent), sigs, least), "central")
     sets = stored(_sets(docs, rows, _ends(central), id_col, text_col, words), "sets")
     links = stored(_confirmed(central, sets, percent), "links")
 
     # members of different components
-    mixed = _mixed(posted, _parts(able, links))
+    parts = _parts(able, links)
+    mixed = _mixed(posted, parts)
     mixed = stored(mixed.join(mixed.groupBy("token").agg(F.count("*").alias("size")), "token"), "mixed")
     short = mixed.where(F.col("size") <= SHORT)
-    across = _merged(short.join(short.select("token", *other), "token").where("part < part2"), least, percent).join(central, ["a", "b"], "left_anti")
+    across = _merged(short.join(short.select("token", *other), "token").where("part < part2"), values, percent).join(central, ["a", "b"], "left_anti")
     across = stored(_colliding(across, sigs, least), "across")
-    placed = mixed.where(F.col("size") > SHORT).join(roots.select("token", F.col("r.sid").alias("r")), "token")
-    placed = stored(placed.select("r", "sid", "n", "part").distinct(), "placed")
+    placed = stored(_placed(mixed.where(F.col("size") > SHORT), roots, parts), "placed")
     wanted = _ends(across).union(placed.select("sid")).union(placed.select("r")).distinct()
     sets = stored(_sets(docs, rows, wanted, id_col, text_col, words), "sets")
     links = stored(links.unionByName(_confirmed(across, sets, percent)).unionByName(_residual(placed, sets, percent)), "links")

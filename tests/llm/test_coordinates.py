@@ -107,3 +107,22 @@ def test_threshold():
     miss = lambda t, j: sum(comb(128, k) * j**k * (1 - j) ** (128 - k) for k in range(t))
     assert miss(t, 0.8) <= 1e-7 < miss(t + 1, 0.8)
     assert 1 - miss(t, 0.5) < 0.02
+
+
+def test_pairs_of_coordinates_lose_nothing():
+    rng = random.Random(5)
+    least = C.least_matches(80)
+    width, values = C.least_values(least)
+    assert (width, values) == (2, least - 64) and C.least_values(60) == (1, 60)
+    for _ in range(300):
+        same = set(rng.sample(range(128), least))
+        assert sum(k in same and k + 1 in same for k in range(0, 128, 2)) >= values
+
+
+def test_one_centre_for_a_component(spark):
+    """Lists whose central sets are in one component place a set once, at the most central of these."""
+    long = spark.createDataFrame([(t, s, 9, s) for t in (1, 2, 3) for s in (20, 21)], "token long, sid long, n long, part long")
+    roots = spark.createDataFrame([(1, (5, 10)), (2, (7, 11)), (3, (6, 12))], "token long, r struct<weight:long,sid:long>")
+    parts = spark.createDataFrame([(10, 10), (11, 10), (12, 12)], "sid long, part long")
+    rows = C._placed(long, roots, parts).collect()
+    assert sorted((r.r, r.sid, r.n, r.part) for r in rows) == [(11, 20, 9, 20), (11, 21, 9, 21), (12, 20, 9, 20), (12, 21, 9, 21)]
