@@ -37,7 +37,7 @@ WORD = re.compile(r"[^\W\d_]+")
 MARKED_WORD, MARK = regex.compile(r"[^\W\d_][^\W\d_\p{M}]*(?:\p{M}+[^\W\d_\p{M}]*)*"), regex.compile(r"\p{M}")
 LONGEST, PENALTY, WEIGHT_WORDS = 5, 7.0, 25
 #: Bytes of the score table in a Python worker, and words kept in it.
-_TABLE_BYTES, _KEPT_WORDS = 32 << 20, 400_000
+_TABLE_BYTES, _KEPT_WORDS = 32 << 20, 100_000
 
 #: Of a string's UTF-8, as Spark's xxhash64.
 _HASH = xxhash.xxh64_intdigest

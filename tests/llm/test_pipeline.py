@@ -95,3 +95,13 @@ def test_registered():
 
     names = e.queries()
     assert all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 14)) and "pipeline" in names
+
+
+def test_language_stage_moves_a_text_once(spark, sf, monkeypatch):
+    seen = []
+    predict = pipeline.langid.predict_languages
+    monkeypatch.setattr(pipeline.langid, "predict_languages", lambda docs, *a: (seen.append(docs.columns), predict(docs, *a))[1])
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("lang_pred", F.lit("x")).withColumn("score", F.lit(2))
+    kept = pipeline.language_id(spark, docs, sf)
+    assert kept.columns == docs.columns and kept.first().lang_pred == "x" and kept.first().score == 2
+    assert len(seen[0]) == len(docs.columns)
