@@ -29,7 +29,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossaloom.llm.common import slices, stored, table
@@ -39,8 +39,11 @@ from glossaloom.llm.minhash import set_id, shingle_hashes
 COORDINATES, MISS = 128, 1e-7
 #: Lists of up to so many sets are paired as they are.
 SHORT = 32
+#: Members of a group that choose the centre from which differences are counted.
+VOTERS = 64
 #: Shingles whose hashes are taken through all functions at once.
 _CHUNK = 1 << 11
+_OWN = np.int64(-1 << 63)
 _RANDOM = np.random.default_rng(12)
 _XOR = _RANDOM.integers(0, 1 << 64, COORDINATES, np.uint64)
 _ODD = _RANDOM.integers(0, 1 << 64, COORDINATES, np.uint64) | np.uint64(1)
@@ -187,7 +190,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _differences(placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """placed(r, sid, n, part) with features: the shingles that one of sid and r has alone, those of r hashed apart."""
+    """placed(r, sid, n, part) with features: the shingles that one of sid and r has alone; sid's are negative, r's are not."""
     both = placed.join(sets.select(F.col("sid").alias("r"), F.col("hashes").alias("y")), "r").join(sets.select("sid", F.col("hashes").alias("x")), "sid")
     kept = ("r", "sid", "n", "part")
     schema = pa.schema([*[(c, pa.int64()) for c in kept], ("features", pa.list_(pa.int64()))])
@@ -197,53 +200,69 @@ def _differences(placed: DataFrame, sets: DataFrame) -> DataFrame:
             found = []
             for x, y in zip(batch.column("x"), batch.column("y")):
                 x, y = x.values.to_numpy(), y.values.to_numpy()
-                own = np.setdiff1d(x, y, assume_unique=True)
-                found.append(np.concatenate([own, np.setdiff1d(y, x, assume_unique=True) ^ np.int64(0x5DEECE66D)]))
+                own, lost = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                found.append(np.concatenate([own | _OWN, lost & ~_OWN]))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found, pa.list_(pa.int64()))], schema=schema)
 
     return both.mapInArrow(differ, "r long, sid long, n long, part long, features array<long>")
 
 
+def _centred(own: DataFrame) -> DataFrame:
+    """own(r, features, ...) with the features counted from another centre: r, with every difference undone that most of its voters share.
+
+    The links found are the same for every centre; a good one has few differences. So VOTERS members choose it, whatever
+    the size of the group.
+    """
+    order = Window.partitionBy("r").orderBy(F.xxhash64("sid"), "sid")
+    voters = own.select("r", "sid", "features").withColumn("k", F.row_number().over(order)).where(F.col("k") <= VOTERS)
+    sizes = own.groupBy("r").agg(F.least(F.count("*"), F.lit(VOTERS)).alias("size"))
+    usual = voters.select("r", F.explode("features").alias("f")).groupBy("r", "f").agg(F.count("*").alias("df")).join(sizes, "r").where("2 * df > size")
+    usual = usual.groupBy("r").agg(F.collect_list("f").alias("usual"))  # at most twice as many as the voters' mean difference has
+    centred = own.join(usual, "r", "left").withColumn("usual", F.coalesce("usual", F.array().cast("array<long>")))
+    return centred.withColumn("features", F.array_sort(F.concat(F.array_except("features", "usual"), F.array_except("usual", "features")))).drop("usual")
+
+
+def _beginnings(own: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(index, asked): the differences of which sets of own must share one, as `_residual` says; i and i2 are their places from 0."""
+    up = 100 + percent
+    least = F.greatest(F.lit(1), F.floor((F.col("e") - F.col("s.e")) / (2 * up)) + 1, F.ceil(F.col("e") / up)).cast("int")
+    further = F.ceil((percent * F.col("e") - 100 * (100 - percent) * F.col("n")) / (percent * up))
+    most = F.greatest(F.lit(1), F.ceil((F.col("e") + F.col("s.e")) / (2 * up)), further).cast("int")
+    first = lambda o: F.posexplode(F.slice("features", F.lit(1), F.col("k") - o + 1))
+    index = own.where(F.col("k") >= least).select("r", "sid", "n", "e", "part", "k", first(least).alias("i", "f"))
+    asked = own.where("e > -s.e").where(F.col("k") >= most).select("r", *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "e", "part", "k")], first(most).alias("i2", "f"))
+    return index, asked
+
+
 def _residual(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b), exact, that connect all similar sets in different parts that meet at a central set r.
 
-    Let d(x) be the shingles by which x differs from a centre c: r, with every difference undone that most members share.
-    Sets x and y of sizes n and m are similar if and only if they differ in at most q (n + m) shingles, where
-    q = (100 - percent) / (100 + percent). With E(x) = |d(x)| - q n:
+    Let d(x) be the shingles by which x differs from a centre c (`_centred`), in an order common to all: those that r
+    lacks come first, as edits are rarer than what they replace. Sets x and y of sizes n and m are similar if and only if
+    they differ in at most q (n + m) shingles, where q = (100 - percent) / (100 + percent). With E(x) = |d(x)| - q n:
 
     - If E(x) + E(y) <= 0 they are similar, as they differ in |d(x)| + |d(y)| shingles at most. The member s of the least E
       is linked to every such x; pairs of this kind are connected by s.
     - Otherwise they must share (E(x) + E(y)) / 2 differences or more. Let E(x) >= E(y). Then E(x) > -E(s), or both were
-      linked to s. So more than (E(y) - E(s)) / 2 and at least E(y) are shared, and one of them is among the rarest of y's,
-      all but so many (prefix filter). Differences that one set alone has are in no list. The shared ones decide.
+      linked to s. So more than (E(y) - E(s)) / 2 and at least E(y) are shared, and at least (E(x) + E(s)) / 2. Nor can they
+      share more than |d(y)|, so E(y) >= E(x) - 2 q m, and at least E(x) - q m are shared, where m <= 100 n / percent.
+      The first that they share is therefore among the first of y's and the first of x's, all but so many (prefix
+      filter), and only these become rows: of a set of n, at most about n / 4. The shared ones decide.
     """
     up, down = 100 + percent, 100 - percent
     own = stored(_differences(placed, sets), "differences")
-    sizes = own.groupBy("r").agg(F.count("*").alias("size"))
-    usual = own.select("r", F.explode("features").alias("f")).groupBy("r", "f").agg(F.count("*").alias("df")).join(sizes, "r").where("2 * df > size")
-    usual = usual.groupBy("r").agg(F.collect_list("f").alias("usual"))  # at most twice as many as the mean difference has
-    none = F.array().cast("array<long>")
-    centred = own.join(usual, "r", "left").withColumn("usual", F.coalesce("usual", none))
-    centred = centred.withColumn("features", F.concat(F.array_except("features", "usual"), F.array_except("usual", "features"))).drop("usual")
-    centred = centred.withColumn("e", up * F.size("features") - down * F.col("n"))
+    centred = _centred(own).withColumn("k", F.size("features")).withColumn("e", up * F.col("k") - down * F.col("n"))
     nearest = centred.groupBy("r").agg(F.min(F.struct("e", "sid", "part")).alias("s"))
     own = stored(centred.join(nearest, "r"), "centred")
     links = own.where("e + s.e <= 0 and part != s.part").select(F.least("sid", "s.sid").alias("a"), F.greatest("sid", "s.sid").alias("b")).distinct()
 
-    rows = own.select("r", "sid", F.explode("features").alias("f"))
-    shared = rows.groupBy("r", "f").agg(F.count("*").alias("df")).where("df > 1")
-    listed = rows.join(shared, ["r", "f"]).groupBy("r", "sid").agg(F.array_sort(F.collect_list(F.struct("df", "f"))).alias("fs"))
-    listed = stored(own.drop("features").join(listed, ["r", "sid"]), "shared_differences")
-    least = F.greatest(F.lit(1), F.floor((F.col("e") - F.col("s.e")) / (2 * up)) + 1, F.ceil(F.col("e") / up)).cast("int")
-    index = listed.withColumn("o", least).where(F.size("fs") >= F.col("o")).select("r", "sid", "n", "e", "part", F.size("fs").alias("k"), F.posexplode(F.slice("fs", F.lit(1), F.size("fs") - F.col("o") + 1)).alias("i", "x"))
-    index = index.select("r", F.col("x.f").alias("f"), "sid", "n", "e", "part", "k", "i")
-    asked = listed.where("e > -s.e").select("r", F.posexplode("fs").alias("i2", "x"), F.size("fs").alias("k2"), *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "e", "part")]).select("r", F.col("x.f").alias("f"), "sid2", "n2", "e2", "part2", "k2", "i2")
+    index, asked = _beginnings(own, percent)
     close = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
     # in the order common to all, at most min(i, i2) shared differences come before this one
     reach = 2 * up * (F.least("i", "i2") + F.least(F.col("k") - F.col("i"), F.col("k2") - F.col("i2"))) >= F.col("e") + F.col("e2")
     met = index.join(asked, ["r", "f"]).where("part != part2 and (e2 > e or e2 = e and sid2 > sid)").where(close & reach)
     met = met.select("r", F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct()
-    side = lambda sid, no: listed.select("r", F.col("sid").alias(sid), F.col("e").alias(f"e{no}"), F.col("fs.f").alias(f"f{no}"))
+    side = lambda sid, no: own.select("r", F.col("sid").alias(sid), F.col("e").alias(f"e{no}"), F.col("features").alias(f"f{no}"))
     both = met.join(side("a", 1), ["r", "a"]).join(side("b", 2), ["r", "b"])
     same = both.where(2 * up * F.size(F.array_intersect("f1", "f2")) >= F.col("e1") + F.col("e2"))
     return links.unionByName(same.select("a", "b")).distinct()

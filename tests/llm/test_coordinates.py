@@ -126,3 +126,21 @@ def test_one_centre_for_a_component(spark):
     parts = spark.createDataFrame([(10, 10), (11, 10), (12, 12)], "sid long, part long")
     rows = C._placed(long, roots, parts).collect()
     assert sorted((r.r, r.sid, r.n, r.part) for r in rows) == [(11, 20, 9, 20), (11, 21, 9, 21), (12, 20, 9, 20), (12, 21, 9, 21)]
+
+
+def test_differences_of_a_large_group_make_few_rows(spark, monkeypatch):
+    """Sets far from their centre bring n / 4 of their differences at most, and a bounded number of sets chooses the centre."""
+    monkeypatch.setattr(C, "VOTERS", 8)
+    rng = random.Random(6)
+    hashes = lambda k, n: [rng.getrandbits(62) * 2 + k for _ in range(n)]
+    base, usual = hashes(0, 100), hashes(0, 20)
+    rows = [(1, base)] + [(k, [*rng.sample(base, 60), *usual, *hashes(1, 20)]) for k in range(2, 202)]
+    rows += [(k + 1000, h[:95] + hashes(0, 5)) for k, h in rows[1:40]]
+    sets = spark.createDataFrame(rows, "sid long, hashes array<long>")
+    placed = spark.createDataFrame([(1, k, 100, k) for k, _ in rows[1:]], "r long, sid long, n long, part long")
+    own = C._centred(C._differences(placed, sets)).selectExpr("*", "size(features) as k", "180 * size(features) - 20 * n as e")
+    own = own.join(own.groupBy("r").agg(C.F.min(C.F.struct("e", "sid", "part")).alias("s")), "r")
+    index, asked = C._beginnings(own, 80)
+    assert own.agg(C.F.avg("k")).first()[0] > 50
+    assert index.count() <= 13 * (len(rows) - 1) and asked.count() <= 27 * (len(rows) - 1)
+    assert {tuple(r) for r in C._residual(placed, sets, 80).collect()} == {(k, k + 1000) for k in range(2, 41)}
