@@ -6,6 +6,7 @@ is a list of (reason, Column); `any_of` tells whether one holds and `reasons` li
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,6 +17,7 @@ from glossaloom.functions.text import trim
 # Patterns of the rule sets (valid for Java and RE2).
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 URL = r"^https?://"
+JSON_BEGINS = r"^[\s\uFEFF]*(?:[\[{\"'+.0-9-]|true|false|null|NaN|Inf)"
 JSON_LIKE = r"""[{\[].*["']:\s*["'].*[}\]]"""
 ESCAPED_TAGS = r"<\\/span>|<\\/bdi>|<\\/ins>"
 VARIATION = r'"(sku|variation_id|variation_description|price_html|availability_html)"'
@@ -82,14 +84,23 @@ def reasons(rules: Rules) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in rules]))
 
 
+def _without(c: Column, tags: str) -> Column:
+    return F.when(F.contains(c, F.lit("<")), F.regexp_replace(c, tags, "")).otherwise(c)
+
+
 def matches_any(c: Column, patterns: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, (c.rlike(p) for p in patterns))
+    """One pass: patterns that begin with ^ are tried at the beginning alone."""
+    parts = [re.fullmatch(r"(\(\?\w+\))?(\^?)(.*)", p, re.S).groups(default="") for p in patterns]
+    first = [f"(?:{flags}{rest})" for flags, edge, rest in parts if edge]
+    found = [f"(?:{flags}{rest})" for flags, edge, rest in parts if not edge]
+    return reduce(lambda a, b: a | b, [c.rlike(p) for p in ("^(?:" + "|".join(first) + ")" if first else "", "|".join(found)) if p])
 
 
 def is_json(c: Column) -> Column:
     """Any JSON value, scalars too. The parser stops behind the first value; within brackets and as a member it only fits if it is all of the text."""
+    begins = c.rlike(JSON_BEGINS)  # spares other texts the parser
     fits = lambda head, tail: F.try_parse_json(F.concat(F.lit(head), c, F.lit(tail))).isNotNull()
-    return F.try_parse_json(c).isNotNull() & fits("[", "]") & fits('{"v":', "}")
+    return F.coalesce(begins, F.lit(False)) & F.try_parse_json(c).isNotNull() & fits("[", "]") & fits('{"v":', "}")
 
 
 def _empty(c: Column) -> Column:
@@ -114,14 +125,14 @@ def technical_memory(c: Column) -> Rules:
 
 def technical_render(c: Column) -> Rules:
     """As T1 with JSON only in brackets, and no markup but inline tags."""
-    rest = F.regexp_replace(c, INLINE_TAGS, "")
+    rest = _without(c, INLINE_TAGS)
     rules = [(n, x & c.rlike(r"^\s*[\[{]") if n == "json" else x) for n, x in technical_memory(c)]
     return [*rules, ("open_tag", rest.rlike(r"(?i)<[a-z][a-z0-9]*[\s>]")), ("close_tag", rest.rlike("(?i)</[a-z]")), ("attribute", rest.rlike(ATTRIBUTES)), ("doctype", rest.rlike("(?i)<!DOCTYPE|<!--")), ("css", c.rlike(r"\{[^}]*:[^}]*\}"))]
 
 
 def technical_item(c: Column) -> Rules:
     """What the page extractor drops."""
-    rest = F.regexp_replace(c, INLINE_TAGS.replace("|code)", "|code|kbd|samp|var)"), "")
+    rest = _without(c, INLINE_TAGS.replace("|code)", "|code|kbd|samp|var)"))
     keywords = reduce(lambda a, b: a + b, (F.contains(F.lower(c), F.lit(k)).cast("int") for k in JS_KEYWORDS))
     return [
         ("json", is_json(c)),

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from glossaloom.functions import predicates as P
 from glossaloom.functions.predicates import is_json
 from glossaloom.plans.queries import ORACLES, QUERIES
 from tests.test_oracles import rows_of
@@ -34,3 +37,21 @@ def test_whole_values_only(spark):
 
 def test_technical_lines(spark, folder):
     assert equal(spark, folder, "technical_lines")
+
+
+def test_rules_in_one_pass_are_those_of_each_pattern(spark):
+    """Patterns tried together, and JSON tried only where it may begin, find what they find one by one."""
+    texts = ["Posted by ", "x Posted by", "GDPR", "a GDPR", "12:30 pm", "5 min read", "By me", "Author: x", "wp-x", "a wp-x", "x woocommerce_loop", "RSD", "rsd", "#abc", "| |", "", "---", "ab1@c.de", "12px", "/a/g", "©  2020", "ABCDE", "two\nPosted by", "Posted by\n", None]
+    texts += ["{}", " [1]", "\ufeff{}", "true", "false x", "null", "nul", "-1", "1e5", '"a"', "'a'", "NaN", "Infinity", "text", "\t 7", "{} x", "+1", ".5", "# 1", "/* */ 1"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    c = F.col("text")
+    lists = (P.SKIP_PATTERNS, P.CAPTURE_SKIP_PATTERNS, P.FILTER_PATTERNS, P.METADATA, P.ITEM_PATTERNS, P.HIDDEN_STYLES)
+    one_by_one = [reduce(lambda a, b: a | b, [c.rlike(p) for p in ps]) for ps in lists]
+    fits = lambda head, tail: F.try_parse_json(F.concat(F.lit(head), c, F.lit(tail))).isNotNull()
+    for r in rows.select("text", F.array(*[P.matches_any(c, ps) for ps in lists]).alias("got"), F.array(*one_by_one).alias("want"), P.is_json(c).alias("json"), (F.try_parse_json(c).isNotNull() & fits("[", "]") & fits('{"v":', "}")).alias("parsed")).collect():
+        assert (r.got, r.json) == (r.want, r.parsed), r.text
+
+
+def test_a_list_of_patterns_is_read_at_most_twice(spark):
+    plan = spark.range(1).select(P.matches_any(F.col("id").cast("string"), P.ITEM_PATTERNS).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("RLIKE") <= 2
