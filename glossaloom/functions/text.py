@@ -29,9 +29,10 @@ def trim(c: Column) -> Column:
 
 def decode(c: Column) -> Column:
     """The common character references."""
+    out = c
     for ref, char in ENTITIES.items():
-        c = F.replace(c, F.lit(ref), F.lit(char))
-    return c
+        out = F.replace(out, F.lit(ref), F.lit(char))
+    return F.when(F.contains(c, F.lit("&")), out).otherwise(c)
 
 
 def decode_all(c: Column) -> Column:
@@ -47,25 +48,29 @@ def decode_all(c: Column) -> Column:
     return decode_series(c)
 
 
-def _plain(c: Column, frm: str, to: str) -> Column:
-    return F.translate(c, frm, to * len(frm))
+def _plain(c: Column, double: str, single: str, more: str = "", to: str = "", dots: bool = False) -> Column:
+    """Dashes and quotes made plain, and characters of `more` those of `to`; in one pass, for texts beyond ASCII, as these characters are."""
+    frm = DASHES + double + single + more
+    out = F.translate(c, frm, "-" * len(DASHES) + '"' * len(double) + "'" * len(single) + to)
+    out = F.replace(out, F.lit("…"), F.lit("...")) if dots else out
+    return F.when(F.octet_length(c) != F.char_length(c), out).otherwise(c)
 
 
 def nbsp_to_space(c: Column) -> Column:
-    return F.translate(c, " ", " ")
+    return F.replace(c, F.lit("\u00a0"), F.lit(" "))
 
 
 def break_tags(c: Column) -> Column:
     """<br> in any form becomes <br />, and white space behind it one space."""
-    return F.regexp_replace(F.regexp_replace(c, BR, "<br />"), r"<br\s*/>\s+", "<br /> ")
+    out = F.regexp_replace(F.regexp_replace(c, BR, "<br />"), r"<br\s*/>\s+", "<br /> ")
+    return F.when(F.contains(c, F.lit("<")), out).otherwise(c)
 
 
 def normalize_once(c: Column) -> Column:
     """N1."""
-    c = break_tags(nbsp_to_space(decode(F.coalesce(c, F.lit("")))))
-    c = F.translate(_plain(F.regexp_replace(c, r"\s{2,}", " "), DASHES, "-"), "ёЁ", "еЕ")
-    c = _plain(_plain(c, DOUBLE_QUOTES, '"'), SINGLE_QUOTES, "'")
-    return trim(F.replace(c, F.lit("…"), F.lit("...")))
+    # what is made plain is neither white space nor part of a tag, but for the no-break space, which comes first
+    c = _plain(decode(F.coalesce(c, F.lit(""))), DOUBLE_QUOTES, SINGLE_QUOTES, "\u00a0ёЁ", " еЕ", dots=True)
+    return trim(F.regexp_replace(break_tags(c), r"\s{2,}", " "))
 
 
 def normalize_lookup(c: Column) -> Column:
@@ -75,18 +80,16 @@ def normalize_lookup(c: Column) -> Column:
 
 def strip_for_matching(c: Column) -> Column:
     """Plain text in lower case, without tags."""
-    c = F.regexp_replace(F.regexp_replace(decode(F.coalesce(c, F.lit(""))), BR, " "), TAG, "")
-    c = F.translate(nbsp_to_space(c), "ёЁ", "еЕ")
-    c = _plain(_plain(_plain(c, DOUBLE_QUOTES, '"'), SINGLE_QUOTES, "'"), DASHES, "-")
-    c = F.regexp_replace(F.replace(c, F.lit("…"), F.lit("...")), r"\s+", " ")
-    return F.lower(trim(c))
+    c = decode(F.coalesce(c, F.lit("")))
+    c = F.when(F.contains(c, F.lit("<")), F.regexp_replace(F.regexp_replace(c, BR, " "), TAG, "")).otherwise(c)
+    c = _plain(c, DOUBLE_QUOTES, SINGLE_QUOTES, "\u00a0ёЁ", " еЕ", dots=True)
+    return F.lower(trim(F.regexp_replace(c, r"\s+", " ")))
 
 
 def normalize_phase2(c: Column) -> Column:
     """N4, for both sides of the fallback lookup. (N5, a second version of the same in SQL, would miss references.)"""
-    c = F.regexp_replace(nbsp_to_space(decode(F.coalesce(c, F.lit("")))), r"\s{2,}", " ")
-    c = F.translate(_plain(c, DASHES, "-"), "ёЁ", "еЕ")
-    return trim(_plain(_plain(c, "“”„«»", '"'), "‘’‹›", "'"))
+    c = _plain(decode(F.coalesce(c, F.lit(""))), "“”„«»", "‘’‹›", "\u00a0ёЁ", " еЕ")
+    return trim(F.regexp_replace(c, r"\s{2,}", " "))
 
 
 def normalize_seo(c: Column) -> Column:
@@ -97,8 +100,7 @@ def normalize_seo(c: Column) -> Column:
 def normalize_dynamic(c: Column) -> Column:
     """Keeps case and ё; NBSP last."""
     c = F.regexp_replace(break_tags(decode(F.coalesce(c, F.lit("")))), r"\s{2,}", " ")
-    c = _plain(_plain(_plain(c, DASHES, "-"), "“”‟", '"'), "‘’‛", "'")
-    return trim(nbsp_to_space(F.replace(c, F.lit("…"), F.lit("..."))))
+    return trim(_plain(c, "“”‟", "‘’‛", "\u00a0", " ", dots=True))
 
 
 def trim_block(c: Column) -> Column:

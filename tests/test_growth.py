@@ -6,7 +6,9 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from glossaloom.functions import text as T
 from glossaloom.operators import memory as M
 from glossaloom.operators import precedence as PR
 from glossaloom.plans.queries import ORACLES, QUERIES
@@ -67,3 +69,13 @@ def test_prefixes_bring_hashes(spark):
     got = M.prefix_match(texts, keys)
     assert {tuple(r) for r in got.collect()} == {("k1 | x", "k1"), ("k1 - y | z", "k1 - y")}
     assert "prefix" in plan_of(got)  # pairs come from the stored table of hits, not from exploded prefixes
+
+
+@pytest.mark.parametrize("normalize", [T.normalize_once, T.strip_for_matching, T.normalize_phase2, T.normalize_seo, T.normalize_dynamic])
+def test_normalizers_pass_over_plain_texts_once(spark, normalize):
+    # characters are translated at most once, and only in texts beyond ASCII; references are looked for once
+    texts = spark.createDataFrame([("Ёлка\u00a0– «x»… &amp;lt;<BR/>  y",), ("plain",), (None,)], "text string")
+    plan = plan_of(texts.select(normalize(F.col("text")).alias("x")))
+    assert "Contains(" in plan
+    assert all(f"translate({x}" not in plan for x in ("translate(", "replace(translate(translate"))
+    assert "translate(" not in plan or "octet_length(" in plan
