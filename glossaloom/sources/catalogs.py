@@ -88,14 +88,26 @@ def reverse_map(catalog: DataFrame) -> DataFrame:
     return rows.groupBy("msgstr").agg(F.min_by("msgid", F.struct(F.coalesce("form", F.lit(-1)), "msgid")).alias("msgid"))
 
 
+def catalog_found(texts: DataFrame, catalog: DataFrame, shown=lambda c: c) -> DataFrame:
+    """(text_hash, msgid): what catalog_lookup finds; texts and keys go by their hashes. shown: what is made of a msgid."""
+    plain = F.regexp_replace("text", r"^\d+\s+", "")
+    keys = texts.select(F.md5("text").alias("text_hash"), F.md5(plain).alias("plain")).distinct()
+    # 2 only where it differs: the same key would come second
+    keys = keys.select("text_hash", F.explode(F.when(F.col("plain") == F.col("text_hash"), F.array("text_hash")).otherwise(F.array("text_hash", "plain"))).alias("k"))
+    keys = keys.withColumn("prio", F.when(F.col("k") == F.col("text_hash"), 1).otherwise(2))
+    form = F.when(F.coalesce("form", F.lit(0)) > 0, 1).otherwise(0)
+    of_str = F.when(F.col("msgstr") != "", F.struct(F.md5("msgstr").alias("k"), form.alias("p")))
+    sides = catalog.select("msgid", F.explode(F.array_compact(F.array(of_str, F.struct(F.md5("msgid").alias("k"), F.lit(2).alias("p"))))).alias("x"))
+    # a rank of a text is one key of one kind, so the least msgid of these is all that counts
+    least = sides.where("x.k is not null").groupBy("x.k", "x.p").agg(F.min("msgid").alias("msgid")).select("k", "p", shown(F.col("msgid")).alias("msgid"))
+    found = keys.join(least, "k")
+    return found.groupBy("text_hash").agg(F.min(F.struct((F.col("p") * 10 + F.col("prio")).alias("rank"), "msgid"))["msgid"].alias("msgid"))
+
+
 def catalog_lookup(texts: DataFrame, catalog: DataFrame) -> DataFrame:
     """Msgid of each text, by msgstr, else by msgstr without a leading number, else as a plural, else as a msgid itself."""
-    plain = F.regexp_replace("text", r"^\d+\s+", "")
-    keys = texts.select("text").distinct().select("text", F.explode(F.array(F.struct(F.lit(1).alias("prio"), F.col("text").alias("k")), F.struct(F.lit(2).alias("prio"), plain.alias("k")))).alias("x")).select("text", "x.*")
-    forms = catalog.where("msgstr != ''").select(F.col("msgstr").alias("k"), F.when(F.coalesce("form", F.lit(0)) > 0, 1).otherwise(0).alias("p"), "msgid")
-    ids = catalog.select(F.col("msgid").alias("k"), F.lit(2).alias("p"), "msgid")
-    found = keys.join(forms.unionByName(ids).distinct(), "k")
-    return found.groupBy("text").agg(F.min(F.struct((F.col("p") * 10 + F.col("prio")).alias("rank"), "msgid"))["msgid"].alias("msgid"))
+    found = catalog_found(texts, catalog)
+    return texts.select("text").distinct().withColumn("text_hash", F.md5("text")).join(found, "text_hash").select("text", "msgid")
 
 
 _TOKEN = re.compile(r"""//[^\n]*|\#[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[A-Za-z_][A-Za-z0-9_]*|\S""", re.S)

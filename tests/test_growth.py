@@ -79,3 +79,14 @@ def test_normalizers_pass_over_plain_texts_once(spark, normalize):
     assert "Contains(" in plan
     assert all(f"translate({x}" not in plan for x in ("translate(", "replace(translate(translate"))
     assert "translate(" not in plan or "octet_length(" in plan
+
+
+def test_catalog_keys_go_by_their_hashes(spark):
+    from glossaloom.sources import catalogs as C
+
+    catalog = spark.createDataFrame([("b", "X", None), ("a", "X", None), ("a", "X", None), ("c", "Y", 1), ("12 c", "", None), ("X", "Z", None)], "msgid string, msgstr string, form int")
+    texts = spark.createDataFrame([("X",), ("7 X",), ("12 c",), ("Y",), ("none",), (None,), ("X",)], "text string")
+    want = {"X": "a", "7 X": "a", "12 c": "12 c", "Y": "c"}
+    assert {r.text: r.msgid for r in C.catalog_lookup(texts, catalog).collect()} == want
+    found = C.catalog_found(texts, catalog, shown=F.md5)
+    assert "text#" not in plan_of(found).split("Exchange")[1] and found.count() == 4
