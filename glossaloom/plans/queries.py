@@ -209,8 +209,9 @@ SELECT text, md5(coalesce(t1, t2)) AS translated_hash, CAST(CASE WHEN t1 IS NOT
 FROM asked LEFT JOIN e ON trim(text) = k1 LEFT JOIN f ON {_n4_sql('text')} = k2""",
 )
 def exact_then_normalized_lookup(spark, sf):
-    own = _tm(spark, sf).where(M.usable(CONFIG, contexts=False) & (F.col("language_code") == "de"))
-    return M.lookup(_asked(spark, sf), own).select("text", F.md5("translated_text").alias("translated_hash"), "phase")
+    # the translations go by their hashes, as the result shows them
+    own = _tm(spark, sf).where(M.usable(CONFIG, contexts=False) & (F.col("language_code") == "de")).withColumn("translated_text", F.md5("translated_text"))
+    return M.lookup(_asked(spark, sf), own).select("text", F.col("translated_text").alias("translated_hash"), "phase")
 
 
 @query(

@@ -81,6 +81,11 @@ def test_normalizers_pass_over_plain_texts_once(spark, normalize):
     assert "translate(" not in plan or "octet_length(" in plan
 
 
+def test_lookup_joins_hashes(spark, sf):
+    plan = plan_of(QUERIES["exact_then_normalized_lookup"](spark, sf))
+    assert "md5(cast(trim(" in plan
+
+
 def test_catalog_keys_go_by_their_hashes(spark):
     from glossaloom.sources import catalogs as C
 
