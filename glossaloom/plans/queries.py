@@ -171,9 +171,12 @@ def longest_strings(spark, sf):
 _ASKED_SQL = "asked AS (SELECT DISTINCT CASE WHEN doc_id % 3 = 0 THEN replace(text, ' ', '  ') ELSE text END AS text FROM strings)"
 
 
+def _asked_text():
+    return F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit(" "), F.lit("  "))).otherwise(F.col("text"))
+
+
 def _asked(spark, sf):
-    text = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit(" "), F.lit("  "))).otherwise(F.col("text"))
-    return _strings(spark, sf).select(text.alias("text")).distinct()
+    return _strings(spark, sf).select(_asked_text().alias("text")).distinct()
 
 
 def _decode_sql(x: str) -> str:
@@ -262,8 +265,11 @@ def prefix_match_all(spark, sf):
 
 @query("normalized_groups", f"WITH {STRINGS_SQL}, {_ASKED_SQL}, n AS (SELECT DISTINCT {_n4_sql('text')} AS norm, text FROM (SELECT text FROM strings UNION ALL SELECT text FROM asked)) SELECT md5(norm) AS norm_hash, count(*) AS n_originals, md5(min(text)) AS first_hash FROM n GROUP BY norm")
 def normalized_groups(spark, sf):
-    groups = M.normalized_groups(_strings(spark, sf).select("text").union(_asked(spark, sf)))
-    return groups.select(F.md5("norm").alias("norm_hash"), F.size("originals").cast("long").alias("n_originals"), F.md5(F.col("originals")[0]).alias("first_hash"))
+    # a group takes each original once, so lines needn't be distinct before; lines that are asked as they are give one row
+    text, asked = F.col("text"), _asked_text()
+    both = F.when(text == asked, F.array(text)).otherwise(F.array(text, asked))
+    groups = M.normalized_groups(_strings(spark, sf).select(F.explode(both).alias("text")))
+    return groups.select("norm_hash", F.size("originals").cast("long").alias("n_originals"), F.md5(F.col("originals")[0]).alias("first_hash"))
 
 
 @query("text_fingerprints", f"WITH {STRINGS_SQL} SELECT doc_id, pos, md5({_n1_sql('text')}) AS n1, md5(lower({_n1_sql('text')})) AS n2, md5(lower(trim(regexp_replace(translate({_decode_sql('text')}, chr(160), ' '), '\\s+', ' ', 'g')))) AS n6 FROM strings")

@@ -86,6 +86,10 @@ def test_lookup_joins_hashes(spark, sf):
     assert "md5(cast(trim(" in plan
 
 
+def test_normalized_groups_move_lines_once(spark, sf):
+    assert plan_of(QUERIES["normalized_groups"](spark, sf)).count("Exchange hashpartitioning") == 1
+
+
 def test_catalog_keys_go_by_their_hashes(spark):
     from glossaloom.sources import catalogs as C
 
