@@ -370,7 +370,7 @@ def edits_of(found: DataFrame, tm: DataFrame, script: str | None = None, home: s
     made = [exact]
     pieces = found.where("kind = 'link'").select("page_id", "start", "stop", "kind", "raw")
     if "element" in kinds:
-        plain = M.plaintext_keys(words).select(F.md5("plain").alias("k"), F.col("translated_text").alias("found")).where("k != md5('')")
+        plain = M.plaintext_keys(words).select(F.col("plain_hash").alias("k"), F.col("translated_text").alias("found")).where("k != md5('')")
         plain = best_per_key(plain, ["k"], [F.col("found")])
         elements = left.where("kind = 'element'").withColumn("k", F.md5(T.strip_for_matching(F.col("raw")))).join(plain, "k")
         marked = T.has_html(F.col("found"))

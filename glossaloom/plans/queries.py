@@ -448,8 +448,10 @@ SELECT md5(plain) AS plain_hash, language_code, id FROM (SELECT *, row_number()
 )
 def plaintext_conflict_all(spark, sf):
     """A20 over all rows of the memory."""
-    rows = _tm(spark, sf).select("id", "language_code", F.when(F.expr("id div 4000000 % 2 = 0"), F.concat(F.lit("<b>"), "original_text", F.lit("</b>"))).otherwise(F.col("original_text")).alias("original_text"))
-    return M.plaintext_keys(rows).select(F.md5("plain").alias("plain_hash"), "language_code", "id")
+    original = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<b>"), "text", F.lit("</b>"))).otherwise(F.col("text"))
+    sides = M.plain_sides(original)
+    rows = M.build_memory(_t(spark, sf, "documents"), CONFIG, sides).select("id", "language_code", *sides)
+    return M.plaintext_keys(rows).select("plain_hash", "language_code", "id")
 
 
 

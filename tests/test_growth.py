@@ -90,6 +90,12 @@ def test_normalized_groups_move_lines_once(spark, sf):
     assert plan_of(QUERIES["normalized_groups"](spark, sf)).count("Exchange hashpartitioning") == 1
 
 
+def test_plain_texts_are_made_once_a_line_and_stay_behind(spark, sf):
+    plan = plan_of(QUERIES["plaintext_conflict_all"](spark, sf))
+    assert plan.index("plain_hash") < plan.rindex("AS plain_hash") and "original_text" not in plan
+    assert plan.rindex("Generate explode") < plan.rindex("AS plain_hash")  # the plan is read from its end: lines first, then languages
+
+
 def test_catalog_keys_go_by_their_hashes(spark):
     from glossaloom.sources import catalogs as C
 
