@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from hashlib import md5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,11 +28,22 @@ from glossaloom.session import stored
 
 _SCRIPT = re.compile(r"""<script\b(?=[^>]*?\stype\s*=\s*["']?application/ld\+json\b)[^>]*+>""", re.I)
 _END = re.compile(r"</script(?=[\s/>])", re.I)
-_TOKEN = re.compile(r"""[ \t\r\n]*+(?:("(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|([\[\]{},:])|(?:-?(?:0|[1-9]\d*+)(?:\.\d++)?(?:[eE][+-]?\d++)?|true|false|null)(?![\w.]))""")
+_STRING = r'''("(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")'''
+_SCALAR = r"(?:-?(?:0|[1-9]\d*+)(?:\.\d++)?(?:[eE][+-]?\d++)?|true|false|null)(?![\w.])"
+_TOKEN = re.compile(rf"[ \t\r\n]*+(?:{_STRING}|([\[\]{{}},:])|{_SCALAR})")
+#: A key with a value that is no container.
+_PAIR = re.compile(rf"[ \t\r\n]*+{_STRING}[ \t\r\n]*+:[ \t\r\n]*+(?:{_STRING}|{_SCALAR})")
+_HALF = re.compile("[\ud800-\udfff]")
 _BLANK = re.compile(r"[ \t\r\n]*")
 _PLACES = pa.schema([("page_id", pa.int64()), ("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("raw", pa.string())])
 
 
+def _read(text: str, start: int, stop: int) -> str:
+    """The value of a string that is known to be well-formed."""
+    raw = text[start + 1 : stop - 1]
+    return json.loads(text[start:stop]) if "\\" in raw else raw
+
+
 def json_strings(text: str, start: int, stop: int) -> list[tuple[str, int, int]] | None:
     """(key, start, stop) of the string values of objects in text[start:stop], quotes included; None if that isn't JSON."""
     found: list[tuple[str, int, int]] = []
@@ -39,13 +51,18 @@ def json_strings(text: str, start: int, stop: int) -> list[tuple[str, int, int]]
     wanted, at = "value", start
     stop_at = stop
     while wanted != "end" or inside:
+        if wanted in ("key", "key or }") and (m := _PAIR.match(text, at, stop_at)):
+            at, wanted = m.end(), ", or end"
+            if m[2]:
+                found.append((_read(text, *m.span(1)), m.start(2), at))
+            continue
         m = _TOKEN.match(text, at, stop_at)
         if not m:
             return None
         at, string, mark = m.end(), m[1], m[2]
         if wanted in ("key", "key or }"):
             if string:
-                inside[-1], wanted = json.loads(string), ":"
+                inside[-1], wanted = _read(text, *m.span(1)), ":"
                 continue
             if mark != "}" or wanted == "key":
                 return None
@@ -89,11 +106,17 @@ def graph_places(html: str | None) -> Iterator[tuple[str, int, int, str]]:
         for key, a, b in json_strings(html, m.end(), at) or ():
             kind = "text" if key in GRAPH_TEXTS else "url" if key in GRAPH_URLS else None
             if kind and b - a > 2:
-                value = json.loads(html[a:b])
-                if not any("\ud800" <= c <= "\udfff" for c in value):
+                value = _read(html, a, b)
+                if value.isascii() or not _HALF.search(value):
                     yield kind, a, b, value
 
 
+def _hashed_places(html: str | None) -> Iterator[tuple[str, int, int, str]]:
+    """graph_places with the hashes of texts, by which they are looked up."""
+    for kind, a, b, value in graph_places(html):
+        yield kind, a, b, md5(value.encode()).hexdigest() if kind == "text" else value
+
+
 def as_json(c: Column) -> Column:
     """A JSON string that can't end its script."""
     whole = F.to_json(F.struct(c.alias("v")))
@@ -111,13 +134,13 @@ def prefixed(url: Column, site: str, language: str, languages: tuple[str, ...])
 def localize_graphs(pages: DataFrame, tm: DataFrame, site: str, language: str, languages: tuple[str, ...]) -> DataFrame:
     """(page_id, html, n_strings, n_translated) of pages(page_id, html); tm(id, original_text, translated_text, context) of the language."""
     site = site.rstrip("/")
-    found = stored(H._rows(pages, graph_places, _PLACES, "page_id long, kind string, start int, stop int, raw string"), "graph_places")
+    found = stored(H._rows(pages, _hashed_places, _PLACES, "page_id long, kind string, start int, stop int, raw string"), "graph_places")
     rows = tm.where((F.col("original_text") != "") & (F.col("translated_text") != ""))
     rows = rows.select(F.md5("original_text").alias("k"), "translated_text", "id", T.context_post_id(F.col("context")).cast("long").alias("post"), F.startswith("context", F.lit("global_")).alias("shared"))
     words = stored(rows, "graph_words")
     own = best_per_key(words.where("post is not null"), ["post", "k"], [F.col("id")]).select(F.col("post").alias("page_id"), "k", F.col("translated_text").alias("own"))
     anywhere = best_per_key(words, ["k"], [F.coalesce("shared", F.lit(False)), F.col("id")]).select("k", F.col("translated_text").alias("anywhere"))
-    texts = found.where("kind = 'text'").withColumn("k", F.md5("raw")).join(own, ["page_id", "k"], "left").join(anywhere, "k", "left")
+    texts = found.where("kind = 'text'").withColumnRenamed("raw", "k").join(own, ["page_id", "k"], "left").join(anywhere, "k", "left")
     shown = F.coalesce("own", "anywhere")
     edits = W._edit(texts.where(shown.isNotNull()), as_json(shown), 0)
     moved = prefixed(F.col("raw"), site, language, languages)

@@ -21,8 +21,10 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from html import escape
+from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -411,7 +413,11 @@ def apply_edits(pages: DataFrame, edits: DataFrame, counts: DataFrame) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in H._slices(batch):
-                out = [(r["page_id"], *merge(r["html"], [(e["start"], e["stop"], e["to"], e["rank"]) for e in r["edits"] or []]), r["n_strings"] or 0) for r in part.to_pylist()]
+                lists = part.column("edits")
+                flat = list(zip(*(c.to_pylist() for c in lists.flatten().flatten())))
+                ends = list(accumulate(n or 0 for n in pc.list_value_length(lists).to_pylist()))
+                pages_of = zip(part.column("page_id").to_pylist(), part.column("html").to_pylist(), [0, *ends], ends, part.column("n_strings").to_pylist())
+                out = [(i, *merge(h, flat[a:b]), n or 0) for i, h, a, b, n in pages_of]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(((x[k] for x in out) for k in (0, 1, 3, 2)), schema)], schema=schema)
 
     return joined.mapInArrow(run, "page_id long, html string, n_strings long, n_translated long")

@@ -105,3 +105,24 @@ def test_catalog_keys_go_by_their_hashes(spark):
     assert {r.text: r.msgid for r in C.catalog_lookup(texts, catalog).collect()} == want
     found = C.catalog_found(texts, catalog, shown=F.md5)
     assert "text#" not in plan_of(found).split("Exchange")[1] and found.count() == 4
+
+
+def test_values_of_structured_data_are_read_in_few_steps(monkeypatch):
+    from glossaloom.operators import graphs as G
+
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern, self.n = pattern, 0
+
+        def match(self, *a):
+            self.n += 1
+            return self.pattern.match(*a)
+
+    token = Counted(G._TOKEN)
+    monkeypatch.setattr(G, "_TOKEN", token)
+    monkeypatch.setattr(G.json, "loads", lambda x: (_ for _ in ()).throw(AssertionError(x)))
+    nodes = ", ".join('{"name": "é %d", "position": %d, "url": "u", "about": [{"headline": "y"}]}' % (k, k) for k in range(50))
+    page = '<script type="application/ld+json">{"@graph": [' + nodes + "]}</script>"
+    assert len(list(G.graph_places(page))) >= 100 and token.n < 14 * 50  # 27 tokens a node
+    assert G.json_strings('{"a": "x" "b": 1}', 0, 17) is None and G.json_strings('{"a": 1,}', 0, 9) is None
+    assert G.json_strings('{"a": 01}', 0, 9) is None and G.json_strings('{"a" : "x", "b":{}}', 0, 19) == [("a", 7, 10)]
