@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -38,3 +39,53 @@ def test_texts_bring_few_places(spark):
     lines = spark.createDataFrame([(word(400),) for _ in range(200)], "text string")
     filed = A.filed(lines.select(F.col("text").alias("key"))).cache()
     assert A.brought(lines, filed).count() < 2 * 200  # each meets itself; all grams were 78,600
+
+
+def _near_copies(r: random.Random, size: int, count: int) -> list[str]:
+    """Lines that begin alike and differ in one word each."""
+    words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(size)]
+    return [" ".join([*words[: size // 3 + k], f"changed{k}", *words[size // 3 + k + 1 :]]) for k in range(count)]
+
+
+def _all_pairs(texts: list[str], keys: list[str]) -> list[tuple[str, str]]:
+    return sorted((t, k) for t in texts for k in keys if k in t and len(t) > len(k))
+
+
+def _candidates(spark) -> int:
+    newest = max(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("contained_candidates_*"), key=lambda p: p.stat().st_mtime_ns)
+    return spark.read.parquet(str(newest)).count()
+
+
+def test_pairs_of_short_keys_and_near_copies_do_not_move(spark):
+    r = random.Random(8)
+    lines = [*_near_copies(r, 60, 40), "ab", "abc", "a", "bc d", "gh"]
+    rows = spark.createDataFrame([(t,) for t in lines], "text string")
+    got = sorted(tuple(x) for x in M.contained_keys(rows, rows.select(F.col("text").alias("key"))).collect())
+    assert got == _all_pairs(lines, lines) and len(got) >= 40
+    assert _candidates(spark) < 20  # each near copy met all others that are longer, and each short key most of them
+
+
+def test_copies_with_changes_anywhere(spark):
+    r = random.Random(9)
+    texts = _near_copies(r, 12, 5) + _near_copies(r, 40, 9) + _near_copies(r, 400, 9)
+    keys = {t[a : a + m] for t in texts for m in (9, 15, 16, 31, 32, 63, 64, 90, 300, 1087, 1088, 1100, 2000) for a in (0, 7, r.randrange(len(t)))}
+    keys |= {k[:-1] + "?" for k in keys} | {"?" + k[1:] for k in keys}
+    twelve = [" ".join(["the same words all over, " * 3] * n) for n in (A.APART // 3, A.APART + 4)]
+    texts, keys = [*texts, *twelve], [*keys, twelve[0], "words all over, the same words"]
+    got = M.contained_keys(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(k,) for k in keys], "key string"))
+    assert sorted(tuple(x) for x in got.collect()) == _all_pairs(texts, keys)
+
+
+def test_short_keys_beyond_the_block(spark, monkeypatch):
+    monkeypatch.setattr(A, "SHORT", 5)
+    r = random.Random(10)
+    text = "".join(r.choice("abcdefgh ") for _ in range(2 * A._PIECE + 100))
+    texts = [text, "ab", "xéy", "𝒳ab", "none", ""]
+    keys = ["a", "é", "ab", "𝒳a", text[A._PIECE - 3 : A._PIECE + 4], text[2 * A._PIECE - 1 : 2 * A._PIECE + 1], "zz", text[:3], text[-7:], "xéy"]
+    asked = spark.createDataFrame([(k,) for k in keys], "key string")
+    assert A.short_keys(asked)[0] == 1
+    got = M.contained_keys(spark.createDataFrame([(t,) for t in texts], "text string"), asked)
+    assert sorted(tuple(x) for x in got.collect()) == _all_pairs(texts, sorted(set(keys)))
+    monkeypatch.undo()
+    assert A.short_keys(asked)[0] == A.GRAM - 1
+    assert sorted(tuple(x) for x in M.contained_keys(spark.createDataFrame([(t,) for t in texts], "text string"), asked).collect()) == sorted(tuple(x) for x in got.collect())
